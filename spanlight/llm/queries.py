@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import arc, bpe, chat, htmltext, langid, mixing, quality, secrets, simhash
+from . import arc, bpe, chat, htmltext, langid, mixing, nndescent, quality, secrets, simhash
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op2_nn_descent": nndescent.op2_nn_descent,
     "op3_warc": arc.op3_warc,
     "op4_simhash": simhash.op4_simhash,
     "op5_chat_formatting": chat.op5_chat_formatting,
