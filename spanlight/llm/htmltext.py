@@ -133,11 +133,11 @@ def width(s: str) -> int:
 class Page:
     """Lines as they are laid out. Margins collapse; white space does outside `pre`."""
 
-    def __init__(self) -> None:
+    def __init__(self, in_list: bool = False) -> None:
         self.lines: list[str] = []
         self.line = ""
         self.margin = False
-        self.lead = ""  # a list item's mark, for its first line
+        self.in_list = in_list  # lists in lists have no margins
 
     def write(self, s: str, pre: bool) -> None:
         if pre:
@@ -160,8 +160,7 @@ class Page:
             if self.margin and self.lines:
                 self.lines.append("")
             self.margin = False
-            self.lines.append(self.lead + line)
-            self.lead = " " * len(self.lead)
+            self.lines.append(line)
 
     def space(self) -> None:
         self.end_line()
@@ -191,12 +190,10 @@ def render(node: Node, page: Page, pre: bool = False) -> None:
                 page.place(table_lines(kid), "")
                 page.space()
             elif tag in ("ul", "ol", "menu", "dir"):
-                if not page.lead.strip():
-                    page.space()
-                else:
-                    page.end_line()
+                margin = page.end_line if page.in_list else page.space
+                margin()
                 list_lines(kid, page)
-                page.space()
+                margin()
             elif tag in BLOCK:
                 page.space() if tag in SPACED else page.end_line()
                 if tag in ("dd", "blockquote"):
@@ -223,7 +220,7 @@ def list_lines(node: Node, page: Page) -> None:
         if not visible(kid):
             continue
         page.end_line()
-        own = Page()
+        own = Page(in_list=True)
         render(kid, own) if kid.tag in ("li", "ul", "ol") else render(_wrap(kid), own)
         own.end_line()
         if kid.tag == "li":
