@@ -73,14 +73,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
         filled.join(cut, F.col("source").eqNullSafe(F.col("source_")), "left")
         .select(F.col("source").alias("source_"), "source_size", "target", "whole", "extra", "bucket", "before")
     )
-    rows = sized.join(plan, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
     own = F.substring("h", 1, 3)
-    taken = F.when(own < F.col("bucket"), 1).otherwise(0)
-    ends_here = own == F.col("bucket")
-    order = Window.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    same_source = F.col("source").eqNullSafe(F.col("source_"))
+    # Rows of the bucket where a sample ends are joined by source and bucket: a large source is dealt over its buckets.
+    ends = plan.where("bucket is not null")
+    order = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("before") + F.sum("size").over(order) - F.col("size") / 2.0
-    edge = rows.where(ends_here).withColumn("more", F.when(middle <= F.col("extra"), 1).otherwise(0))
-    rest = rows.where(~F.coalesce(ends_here, F.lit(False))).withColumn("more", taken)
+    edge = sized.join(ends, same_source & (own == F.col("bucket"))).withColumn("more", F.when(middle <= F.col("extra"), 1).otherwise(0))
+    others = sized.join(plan, same_source).where(~F.coalesce(own == F.col("bucket"), F.lit(False)))
+    rest = others.withColumn("more", F.when(own < F.col("bucket"), 1).otherwise(0))
+    edge, rest = edge.drop("source_"), rest.drop("source_")
     reps = F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(F.col("whole"))
     return rest.unionByName(edge).withColumn("reps", reps.cast("long")).select("doc_id", "source", "h", "size", "source_size", "target", "reps")
 
