@@ -22,13 +22,16 @@ def ticks_in_windows(ticks: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def window_scores(hits: DataFrame, keys: list[str], how: str, frame_threshold: float = 0.3) -> DataFrame:
-    """One score a window (and channel): the greatest, the mean, the mean of the best fifth, or how many ticks reach a threshold."""
+    """One score a window (and channel): the greatest, the mean, the mean of the best fifth, or how many ticks reach a threshold.
+
+    The mean's sum is rounded to 9 places, so that the order of addition doesn't show.
+    """
     if how == "top20_mean":
         order = Window.partitionBy(*keys).orderBy(F.desc("score"), "tick_id")
         ranked = hits.withColumn("rn", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
         best = F.col("rn") <= F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(0.2)))
         return ranked.where(best).groupBy(*keys).agg(F.avg("score").alias("score"))
-    value = {"max": F.max("score"), "mean": F.avg("score"), "persistence": F.count_if(F.col("score") >= frame_threshold).cast("double")}[how]
+    value = {"max": F.max("score"), "mean": F.round(F.sum("score"), 9) / F.count("*"), "persistence": F.count_if(F.col("score") >= frame_threshold).cast("double")}[how]
     return hits.groupBy(*keys).agg(value.alias("score"))
 
 
