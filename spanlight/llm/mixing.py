@@ -4,8 +4,8 @@ The water level is found in closed form: sources are ordered by cap / weight, an
 the level is the first at which no later source is above its cap. Whole
 repetitions are the same for all documents of a source; the fractional rest is a
 seeded random sample without replacement: documents in hash order up to the rest
-in words. That prefix is located on sums over 4,096 hash buckets, so no task sorts
-a whole source; only the one bucket in which the prefix ends is ordered by row.
+in words. That prefix is located on sums over 4,096 hash buckets; rows are joined and
+ordered by source and bucket, so no task sorts a whole source.
 """
 
 from __future__ import annotations
@@ -73,18 +73,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
         filled.join(cut, F.col("source").eqNullSafe(F.col("source_")), "left")
         .select(F.col("source").alias("source_"), "source_size", "target", "whole", "extra", "bucket", "before")
     )
-    own = F.substring("h", 1, 3)
-    same_source = F.col("source").eqNullSafe(F.col("source_"))
-    # Rows of the bucket where a sample ends are joined by source and bucket: a large source is dealt over its buckets.
-    ends = plan.where("bucket is not null")
-    order = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    # Rows meet their source's plan by source and hash bucket, so a large source is dealt over its buckets.
+    spread = (
+        sums.select(F.col("source").alias("of"), F.col("bucket").alias("own"))
+        .join(plan.withColumnRenamed("bucket", "end"), F.col("of").eqNullSafe(F.col("source_")))
+        .drop("source_")
+    )
+    met = sized.join(spread, F.col("source").eqNullSafe(F.col("of")) & (F.substring("h", 1, 3) == F.col("own")))
+    order = Window.partitionBy("of", "own").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("before") + F.sum("size").over(order) - F.col("size") / 2.0
-    edge = sized.join(ends, same_source & (own == F.col("bucket"))).withColumn("more", F.when(middle <= F.col("extra"), 1).otherwise(0))
-    others = sized.join(plan, same_source).where(~F.coalesce(own == F.col("bucket"), F.lit(False)))
-    rest = others.withColumn("more", F.when(own < F.col("bucket"), 1).otherwise(0))
-    edge, rest = edge.drop("source_"), rest.drop("source_")
+    sampled = (F.col("own") < F.col("end")) | ((F.col("own") == F.col("end")) & (middle <= F.col("extra")))
+    taken = met.withColumn("more", F.when(sampled, 1).otherwise(0))
     reps = F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(F.col("whole"))
-    return rest.unionByName(edge).withColumn("reps", reps.cast("long")).select("doc_id", "source", "h", "size", "source_size", "target", "reps")
+    return taken.withColumn("reps", reps.cast("long")).select("doc_id", "source", "h", "size", "source_size", "target", "reps")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
