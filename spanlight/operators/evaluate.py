@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ratio
+from ..functions.exprs import ratio, t_iou
+from .intervals import islands, overlap_join
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -33,3 +34,95 @@ def latency(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def leaks(rows: DataFrame, group: str, split: str) -> DataFrame:
     """Groups that stand in more than one split."""
     return rows.groupBy(group).agg(F.countDistinct(split).alias("splits")).where("splits > 1")
+
+
+def rejection(families: DataFrame) -> DataFrame:
+    """(is_empty, returned_empty): scores of the event that an absent family is answered with the empty set."""
+    n = lambda c: F.count_if(c)
+    e, r = F.col("is_empty"), F.col("returned_empty")
+    counted = families.agg(n(e & r).alias("tp"), n(~e & r).alias("fp"), n(e & ~r).alias("fn"), n(e).alias("n_empty"), n(~e).alias("n_nonempty"))
+    return counted.select(*prf(F.col("tp"), F.col("fp"), F.col("fn")), "n_empty", "n_nonempty")
+
+
+def count_error(pairs: DataFrame) -> DataFrame:
+    """(pred, gt) as strings: mean absolute error of pairs resolved on both sides, null where there is none."""
+    p, g = F.expr("try_cast(pred AS BIGINT)"), F.expr("try_cast(gt AS BIGINT)")
+    return pairs.agg(F.avg(F.abs(p - g)).alias("mae"), F.count_if(p.isNull() | g.isNull()).alias("unresolved"))
+
+
+#: Outcomes that abstain, and those that assert (fixed values); an asserted count is a whole number.
+ABSTENTIONS = ["unobservable", "unresolved"]
+ASSERTIONS = ["satisfied", "not_satisfied", "visible_absence_supported", "present_contradicted"]
+
+
+def bounded_logic(items: DataFrame) -> DataFrame:
+    """(operator, gt, pred, under_stress): accuracy, abstention under stress, and assertions where the truth abstains."""
+    asserted = F.col("pred").isin(ASSERTIONS) | F.expr("try_cast(pred AS BIGINT)").isNotNull()
+    s = items.groupBy("operator").agg(
+        F.count("*").alias("n"), F.count_if(F.col("pred").eqNullSafe(F.col("gt"))).alias("right"), F.count_if("under_stress").alias("stressed"),
+        F.count_if(F.col("under_stress") & F.col("pred").isin(ABSTENTIONS)).alias("abstained"), F.count_if(F.col("gt").isin(ABSTENTIONS) & asserted).alias("false_clean"),
+    )
+    return s.select("operator", "n", ratio(F.col("right"), F.col("n")).alias("accuracy"), F.when(F.col("stressed") > 0, F.col("abstained") / F.col("stressed")).alias("abstention"), "false_clean")
+
+
+def best_overlap(truth: DataFrame, found: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """truth and found: keys, id, t0, t1. Each true interval with the greatest overlap ratio found for it (0 for none)."""
+    pairs = overlap_join(truth, found, keys, width)
+    iou = t_iou(F.col("l.t0"), F.col("l.t1"), F.col("r.t0"), F.col("r.t1"))
+    best = pairs.groupBy(F.col("l.id").alias("id")).agg(F.max(iou).alias("best"))
+    return truth.join(best, "id", "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
+
+
+def greedy_match(truth: DataFrame, found: DataFrame, key: str, width: int, threshold: float = 0.5) -> DataFrame:
+    """One-to-one matches by falling overlap ratio, ties to the lower true id, then the lower found id.
+
+    The choice is sequential, but intervals that no chain of overlaps links can't
+    compete: pairs are matched per key and island of overlapping intervals.
+    """
+    every = truth.select(key, "t0", "t1", "id", F.lit(0).alias("side")).unionByName(found.select(key, "t0", "t1", "id", F.lit(1).alias("side")))
+    marked = islands(every, [key], "t0", "t1", ["side", "id"], 0)
+    side = lambda n: marked.where(F.col("side") == n).drop("side")
+    iou = t_iou(F.col("l.t0"), F.col("l.t1"), F.col("r.t0"), F.col("r.t1"))
+    pairs = overlap_join(side(0), side(1), [key], width).select(F.col(f"l.{key}").alias(key), "l.island", F.col("l.id").alias("gt"), F.col("r.id").alias("pred"), iou.alias("iou"))
+
+    def match(pdf):
+        taken_gt, taken_pred, keep = set(), set(), []
+        pdf = pdf.sort_values(["iou", "gt", "pred"], ascending=[False, True, True])
+        for gt, pred in zip(pdf["gt"], pdf["pred"]):
+            keep.append(gt not in taken_gt and pred not in taken_pred)
+            if keep[-1]:
+                taken_gt.add(gt)
+                taken_pred.add(pred)
+        return pdf[keep]
+
+    return pairs.where((F.col("iou") >= threshold) & (F.col("iou") > 0)).groupBy(key, "island").applyInPandas(match, pairs.schema).drop("island")
+
+
+def annotation_faults(notes: DataFrame) -> DataFrame:
+    """notes: annotation_id (unique), target, pass_type, adjudicates (array), recorded_at, blind. (annotation_id, fault).
+
+    An adjudication names two independent passes recorded strictly before it;
+    independent passes of a target that has several are blind.
+    """
+    adj = notes.where("pass_type = 'adjudication'").select("annotation_id", "recorded_at", "adjudicates")
+    two = F.coalesce(F.size("adjudicates") == 2, F.lit(False))
+    refs = adj.where(two).select("annotation_id", "recorded_at", F.explode("adjudicates").alias("ref"))
+    named = notes.select(F.col("annotation_id").alias("ref"), F.col("pass_type").alias("kind"), F.col("recorded_at").alias("ref_at"))
+    met = refs.join(named, "ref", "left")
+    fault = lambda df, name: df.select("annotation_id", F.lit(name).alias("fault"))
+    independent = notes.where("pass_type = 'independent'")
+    several = independent.groupBy("target").count().where("count >= 2")
+    return (
+        fault(adj.where(~two), "not_two_passes")
+        .unionByName(fault(met.where("kind IS NULL"), "unknown_pass"))
+        .unionByName(fault(met.where("kind <> 'independent'"), "not_independent"))
+        .unionByName(fault(met.where("recorded_at <= ref_at"), "recorded_too_early"))
+        .unionByName(fault(independent.join(several, "target", "left_semi").where("NOT coalesce(blind, false)"), "not_blind"))
+        .distinct()
+    )
+
+
+def double_annotated(families: DataFrame, notes: DataFrame) -> DataFrame:
+    """Share of families (one column, family) with two or more independent passes; 0 for no family."""
+    passes = notes.where("pass_type = 'independent'").groupBy(F.col("target").alias("family")).agg(F.count("*").alias("passes"))
+    return families.join(passes, "family", "left").agg(F.coalesce(F.avg((F.coalesce("passes", F.lit(0)) >= 2).cast("double")), F.lit(0.0)).alias("fraction"))

@@ -24,3 +24,10 @@ def cluster(candidates: DataFrame, gap: int) -> DataFrame:
     """Intervals of one video and camera that overlap or lie at most gap apart become one cluster."""
     marked = islands(candidates, ["video_id", "camera_id"], "t0", "t1", [], gap)
     return marked.groupBy("video_id", "camera_id", "island").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.count("*").alias("members"), F.max(F.coalesce("rrf", F.lit(0.0))).alias("priority"))
+
+
+def union_merge(scored: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """scored: SCOPE, channel, score. Intervals of all channels merged; a channel stays where it reaches its own threshold."""
+    limits = F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv])
+    kept = scored.where(F.round("score", 9) >= limits[F.col("channel")])
+    return kept.groupBy(*SCOPE).agg(F.array_join(F.sort_array(F.collect_set("channel")), ",").alias("channels"), F.max("score").alias("best"))

@@ -44,3 +44,21 @@ def bounded_count(tracks: DataFrame, keys: list[str], at_most: int, tolerance: i
     out = per_group.groupBy(*keys).agg(F.count("*").alias("observed"), F.sum("broken").alias("broken"), F.sum(F.greatest(F.lit(0), F.col("n") - 1)).alias("fragments"))
     state = F.when(F.col("broken") + F.col("fragments") > tolerance, "undetermined").when(F.col("observed") <= at_most, "supported").otherwise("contradicted")
     return out.withColumn("state", state)
+
+
+def match_any(nodes: DataFrame, alternatives: list[str]) -> DataFrame:
+    """(node, label) bound to the first of the alternatives that its label is."""
+    wanted = F.array(*[F.lit(a) for a in alternatives])
+    return nodes.withColumn("alternative", F.array_position(wanted, F.col("label"))).where("alternative > 0").select("node", (F.col("alternative") - 1).cast("int").alias("alternative"))
+
+
+def track_matches(tracks: DataFrame, links: DataFrame, detections: DataFrame) -> DataFrame:
+    """Tracks linked to a matching detection, each once; links: (tracklet, detection)."""
+    return tracks.join(links.join(detections.select("detection"), "detection", "left_semi"), "tracklet", "left_semi")
+
+
+def put(incoming: DataFrame, existing: DataFrame, key: str, payload: str) -> DataFrame:
+    """Idempotent insert as states: new rows, equal ones, and collisions of one key with another payload."""
+    old = existing.select(F.col(key).alias("old_key"), F.col(payload).alias("old_payload"))
+    state = F.when(F.col("old_key").isNull(), "new").when(F.col(payload).eqNullSafe(F.col("old_payload")), "same").otherwise("collision")
+    return incoming.join(old, F.col(key) == F.col("old_key"), "left").withColumn("state", state).drop("old_key", "old_payload")

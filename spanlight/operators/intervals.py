@@ -47,3 +47,19 @@ def islands(df: DataFrame, keys: list[str], t0: str, t1: str, tie: list[str], ga
 
 def rank_by(partition: list[str], *order: Column) -> Column:
     return F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Pairs of half-open intervals (t0, t1) of equal keys that overlap, as structs l and r.
+
+    Both sides go to all buckets of `width` they touch; a pair counts in the bucket
+    of its later start only, so it is found once.
+    """
+    deal = lambda df, name: df.where("t1 > t0").select(
+        F.struct(*df.columns).alias(name), *[F.col(k).alias(f"{k}_{name}") for k in keys], F.explode(F.sequence(F.floor(F.col("t0") / width), F.floor((F.col("t1") - 1) / width))).alias(f"b{name}")
+    )
+    a, b = deal(left, "l"), deal(right, "r")
+    on = [F.col(f"{k}_l").eqNullSafe(F.col(f"{k}_r")) for k in keys] + [F.col("bl") == F.col("br")]
+    later = F.greatest("l.t0", "r.t0")
+    met = a.join(b, on).where((F.col("l.t0") < F.col("r.t1")) & (F.col("r.t0") < F.col("l.t1")) & (F.floor(later / width) == F.col("bl")))
+    return met.select("l", "r")

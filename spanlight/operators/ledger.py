@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import islands
@@ -55,3 +55,31 @@ def motion_intervals(samples: DataFrame, pad: int) -> DataFrame:
 def dense_ticks(intervals: DataFrame, step: int) -> DataFrame:
     """Inclusive grid in each interval; neighbours' common ticks count once."""
     return intervals.select("video_id", F.explode(F.sequence("t0", "t1", F.lit(step).cast("long"))).alias("target_pts")).distinct()
+
+
+def refinement_ticks(spans: DataFrame, step: int) -> DataFrame:
+    """Half-open grid in each candidate interval, starting at its start."""
+    last = F.floor((F.col("t1") - F.col("t0") - 1) / step)
+    steps = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.col("t0") + i * step)
+    return spans.where("t1 > t0").select("video_id", F.explode(steps).alias("target_pts")).distinct()
+
+
+def evidence_targets(spans: DataFrame, unit: int, least: int = 8, most: int = 24) -> DataFrame:
+    """Middles of equal parts of each interval: one a unit of time, but least to most of them."""
+    n = F.least(F.lit(most), F.greatest(F.lit(least), F.ceil((F.col("t1") - F.col("t0")) / unit)))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("part")
+    dealt = spans.select(*spans.columns, n.alias("parts"), parts)
+    return dealt.withColumn("target_pts", F.expr("t0 + ((t1 - t0) * (2 * part + 1)) div (2 * parts)"))
+
+
+def regressions(frames: DataFrame, key: str, order: str) -> DataFrame:
+    """Frames whose time lies before that of the frame read just before them."""
+    before = F.lag("pts").over(Window.partitionBy(key).orderBy(order))
+    return frames.withColumn("previous_pts", before).where("previous_pts > pts")
+
+
+def tick_set(expected: DataFrame, scored: DataFrame, key: str) -> DataFrame:
+    """Whether the scored ticks are exactly the expected ones: missing, extra and repeated ones."""
+    count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    both = count(expected, "e").join(count(scored, "s"), key, "full_outer")
+    return both.agg(F.count_if(F.col("s").isNull()).alias("missing"), F.count_if(F.col("e").isNull()).alias("extra"), F.count_if(F.col("s") > 1).alias("repeated"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from conftest import DATA
 from spanlight.functions.exprs import label_match, precedes, t_iou
 from spanlight.operators import assemble, decide, graph, intervals, ledger, retrieve
-from spanlight.plans import catalogue
+from spanlight.plans import registry
 from spanlight.streaming import ticks as streams
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -15,14 +15,14 @@ def plain(rows):
     return sorted((tuple(round(float(x), 7) if isinstance(x, float) else x for x in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    df = catalogue.QUERIES[name](spark, DATA)
+    df = registry.QUERIES[name](spark, DATA)
     names = sorted(df.columns)
-    cur = con.execute(catalogue.ORACLE_SQL[name])
+    cur = con.execute(registry.ORACLE_SQL[name])
     theirs = [c[0] for c in cur.description]
     assert sorted(theirs) == names
     want = [tuple(r[theirs.index(n)] for n in names) for r in cur.fetchall()]
@@ -95,3 +95,34 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert plain(spark.table("w").collect()) == plain(streams.windowed(t).collect())
+
+
+def test_greedy_match_against_brute_force(spark):
+    from spanlight.operators import evaluate
+
+    truth = [(q, i, 7 * i % 40, 7 * i % 40 + 6 + i % 5) for q in (1, 2) for i in range(25)]
+    found = [(q, i, 5 * i % 43, 5 * i % 43 + 4 + i % 7) for q in (1, 2) for i in range(30)]
+    cols = "q long, id long, t0 long, t1 long"
+
+    def iou(a, b):
+        inter = max(0, min(a[3], b[3]) - max(a[2], b[2]))
+        return inter / (a[3] - a[2] + b[3] - b[2] - inter)
+
+    want, used_g, used_f = set(), set(), set()
+    for s, g, f in sorted(((-iou(g, f), g, f) for g in truth for f in found if g[0] == f[0] and iou(g, f) >= 0.3), key=lambda x: (x[0], x[1][1], x[2][1])):
+        if g not in used_g and f not in used_f:
+            used_g.add(g)
+            used_f.add(f)
+            want.add((g[0], g[1], f[1]))
+    got = evaluate.greedy_match(spark.createDataFrame(truth, cols), spark.createDataFrame(found, cols), "q", 8, 0.3)
+    assert {(r.q, r.gt, r.pred) for r in got.collect()} == want
+
+
+def test_empty_tables_give_defined_metrics(spark):
+    from spanlight.operators import evaluate
+
+    none = spark.createDataFrame([], "is_empty boolean, returned_empty boolean")
+    assert evaluate.rejection(none).first()[:3] == (0.0, 0.0, 0.0)
+    assert evaluate.count_error(spark.createDataFrame([], "pred string, gt string")).first().mae is None
+    a = spark.createDataFrame([], "id long, video_id string, camera_id string, t0 long, t1 long")
+    assert assemble.rejections(a, a, 5).first()[:] == (0, 0, 0, 0)
