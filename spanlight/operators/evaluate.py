@@ -73,17 +73,21 @@ def best_overlap(truth: DataFrame, found: DataFrame, keys: list[str], width: int
     return truth.join(best, "id", "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
 
 
+#: Islands that one call matches together: few enough for memory, enough to pay for the call.
+ISLANDS = 64
+
+
 def greedy_match(truth: DataFrame, found: DataFrame, key: str, width: int, threshold: float = 0.5) -> DataFrame:
     """One-to-one matches by falling overlap ratio, ties to the lower true id, then the lower found id.
 
     The choice is sequential, but intervals that no chain of overlaps links can't
-    compete: pairs are matched per key and island of overlapping intervals.
+    compete: pairs are matched per key and run of ISLANDS islands of overlapping intervals.
     """
     every = truth.select(key, "t0", "t1", "id", F.lit(0).alias("side")).unionByName(found.select(key, "t0", "t1", "id", F.lit(1).alias("side")))
     marked = islands(every, [key], "t0", "t1", ["side", "id"], 0)
     side = lambda n: marked.where(F.col("side") == n).drop("side")
     iou = t_iou(F.col("l.t0"), F.col("l.t1"), F.col("r.t0"), F.col("r.t1"))
-    pairs = overlap_join(side(0), side(1), [key], width).select(F.col(f"l.{key}").alias(key), "l.island", F.col("l.id").alias("gt"), F.col("r.id").alias("pred"), iou.alias("iou"))
+    pairs = overlap_join(side(0), side(1), [key], width).select(F.col(f"l.{key}").alias(key), F.floor(F.col("l.island") / ISLANDS).alias("islands"), F.col("l.id").alias("gt"), F.col("r.id").alias("pred"), iou.alias("iou"))
 
     def match(pdf):
         taken_gt, taken_pred, keep = set(), set(), []
@@ -95,7 +99,7 @@ def greedy_match(truth: DataFrame, found: DataFrame, key: str, width: int, thres
                 taken_pred.add(pred)
         return pdf[keep]
 
-    return pairs.where((F.col("iou") >= threshold) & (F.col("iou") > 0)).groupBy(key, "island").applyInPandas(match, pairs.schema).drop("island")
+    return pairs.where((F.col("iou") >= threshold) & (F.col("iou") > 0)).groupBy(key, "islands").applyInPandas(match, pairs.schema).drop("islands")
 
 
 def annotation_faults(notes: DataFrame) -> DataFrame:
