@@ -31,6 +31,8 @@ BLOCKS = 4
 LEAF, RING, MAX_LEVELS = 20_000, 4, 4
 #: Fingerprints compared directly at the bottom of a tree.
 BOTTOM = 256
+#: A key of more than this part of a join's rows is joined by broadcast; so there are fewer such keys than this.
+HEAVY = 1000
 
 U64 = np.uint64
 
@@ -220,6 +222,20 @@ def edges(fps: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(run, "u long, v long").distinct()
 
 
+def attach(rows: DataFrame, key: str, values: DataFrame, n: int) -> DataFrame:
+    """rows joined with values on key; values: one row a key, deg is how often rows hold it, at most n rows in all.
+
+    Keys with more than n / HEAVY rows meet theirs by broadcast: there are fewer
+    than HEAVY of them, whatever n is. The others meet by shuffle, so no task gets
+    more than that share of the rows for one key.
+    """
+    heavy = values.where(F.col("deg") > n / HEAVY).drop("deg")
+    light = values.where(F.col("deg") <= n / HEAVY).drop("deg")
+    few = rows.join(F.broadcast(heavy), key)
+    many = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    return few.unionByName(many)
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """links: (u, v), u < v. Rows (node, root): root is the least node that links reach; all nodes of links.
 
@@ -227,24 +243,26 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     a join; written to the shared folder after each round, until nothing changes.
     """
     now = materialize(links.select("u", "v"), "links")  # v hangs on u, u < v
-    if not now.take(1):
+    n = now.count()
+    if not n:
         return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
     was = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("deg"))
         # large star: each greater neighbour hangs on the least one
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u < v")
+        large = materialize(attach(both.where("v > u"), "u", least, n).select(F.col("m").alias("u"), "v").where("u < v"), "links-large")
         # small star: a node's lesser neighbours and itself hang on the least of them
-        below = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(below, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u < v").distinct()
+        below = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("deg"))
+        small = attach(large, "v", below, n).select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u < v").distinct()
         nxt = materialize(small, "links")
         mark = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         discard(now)
+        discard(large)
         now = nxt
         if mark == was:
             break
-        was = mark
+        was, n = mark, mark["n"]
     return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
@@ -256,13 +274,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     all of its ids are null. Other columns are ignored.
     """
     prints = materialize(fingerprints(docs), "simhash")
-    owners = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-fps")
+    owners = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("deg")), "simhash-fps")
     found = components(edges(owners.select("fp")))
     linked = found.join(owners, found["node"] == owners["fp"]).select("fp", "root", "first")
-    of_root = linked.groupBy("root").agg(F.min("first").alias("component"))
-    own = linked.join(of_root, "root").select("fp", "component")
-    named = owners.join(own, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    of_root = linked.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("deg"))
+    own = attach(linked, "root", of_root, owners.count()).select("fp", "component")
+    named = owners.join(own, "fp", "left").select("fp", "deg", F.coalesce("component", "first").alias("component_id"))
+    return attach(prints, "fp", named, prints.count()).select("doc_id", "fp", "component_id")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
