@@ -50,6 +50,12 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_a and row_b, 128 bits that equal rows share and no others."""
+    nulls = F.concat(*[F.col(c).isNull().cast("string") for c in docs.columns])
+    return docs.select("*", F.xxhash64(nulls, *docs.columns).alias("row_a"), F.xxhash64(*docs.columns, nulls, F.lit(42)).alias("row_b"))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

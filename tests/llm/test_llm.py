@@ -257,3 +257,23 @@ def test_pipeline_keeps_its_contract(spark, odd):
             ids = [r.doc_id for r in docs.select("doc_id").collect()]
             assert len(ids) == len(set(ids))
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and docs.count() > 50
+
+
+def test_stage_finds_near_copies_of_similarity_08(spark):
+    import corpus_pipeline as p
+    from spanlight.llm import neardup
+
+    rng = random.Random(7)
+    rows, pairs = [], []
+    for k in range(120):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 400))]
+        copy = list(words)
+        for _ in range(rng.randint(1, len(words) // 20)):
+            copy[rng.randrange(len(copy))] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (words, copy))
+        pairs.append((k, len(a & b) / len(a | b)))
+    kept = {r.doc_id for r in p.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA).collect()}
+    assert sum(s < 0.9 for _, s in pairs if s >= 0.8) > 10 and sum(s < 0.8 for _, s in pairs) > 5
+    assert kept == {2 * k for k, _ in pairs} | {2 * k + 1 for k, s in pairs if s < 0.8}
+    assert neardup.similarity(neardup.shingles("a b c d e f"), neardup.shingles("A b  c d e g")) == 1 / 3
