@@ -45,8 +45,8 @@ def water_fill(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     return level.withColumn("target", target).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """docs: (doc_id, text, source, ...). Per row: doc_id, source, h, size, source_size, target, reps.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs: (doc_id, text, source, ...). Per row: doc_id, source, h, size, source_size, target, reps, and the columns of carry.
 
     size is the words of the text (null: 0). reps is how often the mix takes the
     row: the whole part of target / source_size, one more for the seeded sample
@@ -55,7 +55,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     nothing. Repeated rows are rows of their own; a null doc_id hashes as ''.
     """
     h = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = materialize(docs.select("doc_id", "source", h.alias("h"), word_count(F.col("text")).alias("size")), "mix-sizes")
+    sized = materialize(docs.select("doc_id", "source", h.alias("h"), word_count(F.col("text")).alias("size"), *carry), "mix-sizes")
     bucket = F.substring("h", 1, 3).alias("bucket")
     sums = sized.groupBy("source", bucket).agg(F.sum("size").alias("bucket_size"))
     filled = water_fill(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_epochs)
@@ -80,12 +80,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
         .drop("source_")
     )
     met = sized.join(spread, F.col("source").eqNullSafe(F.col("of")) & (F.substring("h", 1, 3) == F.col("own")))
-    order = Window.partitionBy("of", "own").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("of", "own").orderBy("h", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("before") + F.sum("size").over(order) - F.col("size") / 2.0
     sampled = (F.col("own") < F.col("end")) | ((F.col("own") == F.col("end")) & (middle <= F.col("extra")))
     taken = met.withColumn("more", F.when(sampled, 1).otherwise(0))
     reps = F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(F.col("whole"))
-    return taken.withColumn("reps", reps.cast("long")).select("doc_id", "source", "h", "size", "source_size", "target", "reps")
+    return taken.withColumn("reps", reps.cast("long")).select("doc_id", "source", "h", "size", "source_size", "target", "reps", *carry)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

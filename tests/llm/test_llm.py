@@ -277,3 +277,27 @@ def test_stage_finds_near_copies_of_similarity_08(spark):
     assert sum(s < 0.9 for _, s in pairs if s >= 0.8) > 10 and sum(s < 0.8 for _, s in pairs) > 5
     assert kept == {2 * k for k, _ in pairs} | {2 * k + 1 for k, s in pairs if s < 0.8}
     assert neardup.similarity(neardup.shingles("a b c d e f"), neardup.shingles("A b  c d e g")) == 1 / 3
+
+
+def test_stages_keep_rows_of_null_and_repeated_ids_apart(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    texts = [text() for _ in range(30)]
+    ids = [None] * 10 + [5] * 6 + list(range(100, 114))
+    rows = [(i, t, "s") for i, t in zip(ids, texts, strict=True)] + [(None, t + " end", "s") for t in texts[:20]] + [(5, texts[10], "s"), (7, texts[3], "s"), (None, None, "s"), (None, "", "s")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = p.near_dedup(spark, frame.repartition(3), DATA)
+    sets = [frozenset(tuple(x[i : i + 5]) for i in range(len(x) - 4)) for x in ((t or "").split() for _, t, _ in rows)]
+    groups = []
+    for k, s in enumerate(sets):
+        mine = [g for g in groups if any(s == sets[j] or len(s & sets[j]) >= 0.8 * len(s | sets[j]) for j in g)]
+        groups = [g for g in groups if g not in mine] + [sum(mine, [k])]
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(groups) == len(got) == 31
+    for g in groups:
+        least = min((rows[j][0] is None, rows[j][0] or 0) for j in g)
+        assert sum((d is None, d or 0) == least and (d, t) in {rows[j][:2] for j in g} for d, t in got) == 1
+    mixed = p.mix_sources(spark, kept.where("text <> ''"), DATA).groupBy("doc_id", "text").count().collect()
+    assert len(mixed) == 30 and all(r["count"] == 1 for r in mixed)
