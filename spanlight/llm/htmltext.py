@@ -16,7 +16,7 @@ from .common import table
 #: What HTML says of its elements (fixed values).
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = set("head script style template iframe noembed noframes object audio video canvas svg math datalist textarea select title link meta param source track area base col colgroup embed".split())
+HIDDEN = set("head script style template iframe noembed noframes object audio video canvas datalist title link meta param source track area base col colgroup embed".split())
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption tr td th thead tbody tfoot".split()
 )
@@ -37,6 +37,10 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "caption": ({"caption"}, {"table"}),
 }
+#: What svg and math hold besides what they show.
+UNSHOWN = set("desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml".split())
+#: Inputs that show no text of their own.
+NO_TEXT = set("hidden checkbox radio file image password range color".split())
 #: An end tag is not looked for beyond these.
 SCOPE = {"table", "td", "th", "caption", "html", "body"}
 #: Deeper elements become siblings, as in browsers (at a lesser depth).
@@ -111,7 +115,7 @@ def parse(html: str) -> Node:
             close(*IMPLIED[tag])
         node = Node(tag, attributes(m[3]) if m[3].strip() else None)
         stack[-1].kids.append(node)
-        if tag in RAW:
+        if tag in RAW and not (m[3].rstrip().endswith("/") and any(n.tag in ("svg", "math") for n in stack)):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(html, at)
             node.kids.append(html[at : end.start()] if end else html[at:])
             at = end.end() if end else n
@@ -173,6 +177,8 @@ class Page:
             self.end_line(True)
 
 
+_GAP = Node("option")
+_GAP.kids = [" "]
 _TO_SPACE = dict.fromkeys(map(ord, "\t\n\r\f"), " ")
 _RUN = re.compile(" +")
 
@@ -205,11 +211,59 @@ def render(node: Node, page: Page, pre: bool = False) -> None:
                     render(kid, page, pre or tag == "pre")
                 page.space() if tag in SPACED else page.end_line()
             elif tag == "input":
-                page.write(kid.attrs.get("value", "") if kid.attrs.get("type", "").lower() in ("submit", "button", "reset") else "", False)
+                page.write(kid.attrs.get("value", "") if kid.attrs.get("type", "").lower() not in NO_TEXT else "", False)
+            elif tag == "textarea":
+                page.write(unescape("".join(kid.kids).removeprefix("\n")), True)
+            elif tag == "select":
+                for option in shown_options(kid):
+                    page.write(option.attrs.get("label") or own_text(option), False)
+            elif tag in ("svg", "math"):
+                foreign(kid, page, tag)
             else:
                 render(kid, page, pre)
 
 
+def own_text(node: Node) -> str:
+    return "".join(k if isinstance(k, str) else own_text(k) for k in node.kids if isinstance(k, str) or visible(k))
+
+
+def shown_options(select: Node) -> list[Node]:
+    """The selected options, else the first; all of a list box (multiple, or a size above 1), separated by white space."""
+
+    def options(node: Node) -> Iterator[Node]:
+        for kid in node.kids:
+            if isinstance(kid, Node) and visible(kid):
+                if kid.tag == "option":
+                    yield kid
+                else:
+                    yield from options(kid)
+
+    every = list(options(select))
+    size = select.attrs.get("size", "")
+    if "multiple" in select.attrs or (size.isdecimal() and size.strip("0") not in ("", "1")):
+        return [x for o in every for x in (o, _GAP)][:-1]
+    return [o for o in every if "selected" in o.attrs][-1:] or every[:1]
+
+
+def foreign(node: Node, page: Page, kind: str) -> None:
+    """The text of svg and math in line; in svg a text element is a word of its own, and only text elements show text."""
+    for kid in node.kids:
+        if isinstance(kid, str):
+            if kind != "svg":
+                page.write(kid, False)
+        elif kid.tag in UNSHOWN or not visible(kid):
+            continue
+        elif kind == "svg" and kid.tag == "text":
+            page.write(" ", False)
+            render(kid, page)
+        elif kind == "svg" and kid.tag == "foreignobject":
+            page.end_line()
+            render(kid, page)
+            page.end_line()
+        else:
+            foreign(kid, page, kind)
+
+
 def list_lines(node: Node, page: Page) -> None:
     ordered = node.tag == "ol"
     n = int(node.attrs["start"]) if re.fullmatch(r"-?\d{1,9}", node.attrs.get("start", "")) else 1

@@ -301,3 +301,13 @@ def test_stages_keep_rows_of_null_and_repeated_ids_apart(spark):
         assert sum((d is None, d or 0) == least and (d, t) in {rows[j][:2] for j in g} for d, t in got) == 1
     mixed = p.mix_sources(spark, kept.where("text <> ''"), DATA).groupBy("doc_id", "text").count().collect()
     assert len(mixed) == 30 and all(r["count"] == 1 for r in mixed)
+
+
+def test_html_shows_formulas_drawings_and_forms():
+    say = htmltext.text_of
+    assert say("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> holds</p>") == "so x=2 holds"
+    assert say("<p>a<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><style/><style>no</style><text>one</text><g><text>t<tspan>wo</tspan></text></g></svg></p>") == "a one two"
+    assert say("<textarea>\na &amp; <b>\n  c</textarea>") == "a & <b>\n  c"
+    assert say("<select><option>no<option selected>yes<option>no</select>") == "yes"
+    assert say("<select><optgroup label=g><option>first<option>no</select> <select multiple><option>a<option>b</select>") == "first a b"
+    assert say("<input value=v> <input type=text value='w x'><input type=password value=no><input type=checkbox value=no><input type=hidden value=no>") == "v w x"
