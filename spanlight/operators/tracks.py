@@ -1,12 +1,16 @@
-"""Greedy tracklet association: inherently in order, so one task per (video, camera)."""
+"""Greedy tracklet association: inherently in order, so one task per (video, camera, label)."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..llm.common import materialize
 
 MIN_IOU, BREAK_GAP, CLOSE_GAP = 0.2, 1_000_000, 2_000_000
-SCHEMA = "video_id string, camera_id string, detection_id long, tracklet long, continuity string"
 
 
 def _iou(a, b) -> float:
@@ -22,27 +26,42 @@ def associate(detections: DataFrame, close_gap: int = CLOSE_GAP, break_gap: int
     A detection joins the open track of its label with the best overlap; of equal
     ones the track that ended first. A pause above break_gap marks the track
     interrupted, one above close_gap closes it.
+
+    The detections of a video, camera and label pass in time order, and only the
+    open tracks are held. A tracklet has the id of its first detection.
     """
+    keys = ["video_id", "camera_id", "label"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, open_, n = None, [], 0  # a track: [box, last pts, number, tracklet]
+        for batch in batches:
+            where, paused = [], []
+            for video, camera, label, d, pts, *box in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (video, camera, label) != group:
+                    group, open_, n = (video, camera, label), [], 0
+                open_ = [t for t in open_ if pts is not None and pts - t[1] <= close_gap]
+                fits = [(_iou(t[0], box), -t[1], -t[2], t) for t in open_ if t[1] < pts]
+                best = max((f for f in fits if f[0] >= min_iou), key=lambda f: f[:3], default=None)
+                if best is None:
+                    where.append(d)
+                    paused.append(False)
+                    if pts is not None:
+                        open_.append([box, pts, n, d])
+                        n += 1
+                else:
+                    t = best[3]
+                    where.append(t[3])
+                    paused.append(pts - t[1] > break_gap)
+                    t[0], t[1] = box, pts
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(where, pa.int64()), pa.array(paused, pa.bool_())], [*keys, "detection_id", "tracklet", "paused"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracks: list[dict] = []
-        open_: list[int] = []
-        where: list[int] = []
-        pdf = pdf.sort_values(["pts", "detection_id"])
-        for d in pdf.itertuples(index=False):
-            box = (d.x0, d.y0, d.x1, d.y1)
-            open_ = [i for i in open_ if d.pts - tracks[i]["t1"] <= close_gap]
-            fits = [(_iou(tracks[i]["box"], box), -tracks[i]["t1"], -i, i) for i in open_ if tracks[i]["label"] == d.label and tracks[i]["t1"] < d.pts]
-            best = max((f for f in fits if f[0] >= min_iou), default=None)
-            if best is None:
-                tracks.append({"label": d.label, "box": box, "t1": d.pts, "broken": False})
-                open_.append(len(tracks) - 1)
-                where.append(len(tracks) - 1)
-            else:
-                t = tracks[best[3]]
-                t["broken"] |= d.pts - t["t1"] > break_gap
-                t["box"], t["t1"] = box, d.pts
-                where.append(best[3])
-        return pd.DataFrame({"video_id": pdf.video_id, "camera_id": pdf.camera_id, "detection_id": pdf.detection_id, "tracklet": where, "continuity": ["interrupted" if tracks[i]["broken"] else "continuous" for i in where]})
-
-    return detections.groupBy("video_id", "camera_id").applyInPandas(run, SCHEMA)
+    own = detections.select(*[F.col(k).cast("string") for k in keys], F.col("detection_id").cast("long"), F.col("pts").cast("long"), *[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")])
+    ordered = own.repartition(*keys).sortWithinPartitions(*keys, F.col("pts").asc_nulls_last(), "detection_id")
+    placed = materialize(ordered.mapInArrow(run, "video_id string, camera_id string, label string, detection_id long, tracklet long, paused boolean"), "tracklets")
+    # A track is interrupted as a whole, so a pause marks its earlier detections too.
+    broken = placed.where("paused").select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("tracklet").alias("tracklet_"), F.lit(True).alias("broken")).distinct()
+    same = F.col("tracklet") == F.col("tracklet_")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    continuity = F.when(F.col("broken"), "interrupted").otherwise("continuous").alias("continuity")
+    return placed.join(broken, same, "left").select("video_id", "camera_id", "detection_id", "tracklet", continuity)

@@ -126,3 +126,25 @@ def test_empty_tables_give_defined_metrics(spark):
     assert evaluate.count_error(spark.createDataFrame([], "pred string, gt string")).first().mae is None
     a = spark.createDataFrame([], "id long, video_id string, camera_id string, t0 long, t1 long")
     assert assemble.rejections(a, a, 5).first()[:] == (0, 0, 0, 0)
+
+
+def test_tracklets_against_brute_force(spark):
+    import random
+
+    from spanlight.operators import tracks
+
+    rng = random.Random(4)
+    rows = [(v, None if k % 9 == 0 else "c", 1000 * v + k, rng.randrange(3000), rng.choice(["a", "b", None]), x := rng.random(), 0.0, x + 0.5, 1.0) for v in (1, 2) for k in range(300)]
+    want = {}
+    for group in {(r[0], r[1], r[4]) for r in rows}:
+        own = []
+        for r in sorted((r for r in rows if (r[0], r[1], r[4]) == group), key=lambda r: (r[3], r[2])):
+            fits = [(i, -t[-1][3], -k, t) for k, t in enumerate(own) if 0 < r[3] - t[-1][3] <= 90 and (i := tracks._iou(t[-1][5:], r[5:])) >= 0.2]
+            max(fits, key=lambda f: f[:3])[3].append(r) if fits else own.append([r])
+        for t in own:
+            broken = any(b[3] - a[3] > 30 for a, b in zip(t, t[1:]))
+            want |= {r[2]: (t[0][2], "interrupted" if broken else "continuous") for r in t}
+    got = tracks.associate(spark.createDataFrame(rows, "video_id int, camera_id string, detection_id long, pts long, label string, x0 double, y0 double, x1 double, y1 double"), 90, 30)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    assert {r.detection_id: (r.tracklet, r.continuity) for r in got.collect()} == want and len(want) == 600
+    assert len(set(want.values())) > 20
