@@ -51,6 +51,61 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def normalised(v: Column) -> Column:
+    """The unit vector; a zero vector is an error."""
+    n = norm(v)
+    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.raise_error(F.lit("a zero vector has no direction")))
+
+
+def finite(x: Column) -> Column:
+    """x; NaN and infinities are an error (null stays null)."""
+    odd = F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
+    return F.when(F.coalesce(odd, F.lit(False)), F.raise_error(F.lit("scores are finite"))).otherwise(x)
+
+
+def payload(text: Column) -> Column:
+    """A JSON payload as a variant; what is no object becomes {"value": it}, and what is no JSON the text itself so."""
+    said = F.try_parse_json(text)
+    own = F.schema_of_variant(said).startswith("OBJECT")
+    wrapped = F.to_variant_object(F.named_struct(F.lit("value"), said))
+    return F.when(said.isNull(), F.to_variant_object(F.named_struct(F.lit("value"), text))).when(own, said).otherwise(wrapped)
+
+
+def in_group_scope(payload: Column, group: str) -> Column:
+    """Whether a predicate_scope (JSON: a string, a list, or an object with group_id) names the group."""
+    said = F.try_parse_json(payload)
+    kind = F.schema_of_variant(said)
+    text = F.try_variant_get(said, "$", "string")
+    by_list = F.array_contains(F.try_variant_get(said, "$", "array<string>"), group)
+    hit = F.when(kind.startswith("ARRAY"), by_list).when(kind.startswith("OBJECT"), F.try_variant_get(said, "$.group_id", "string") == group).otherwise(text == group)
+    return F.coalesce(hit, F.lit(False))
+
+
+def luminance(pixels: Column) -> Column:
+    """Mean of a grey image's pixels, 0 to 1."""
+    return F.aggregate(pixels, F.lit(0.0), lambda s, x: s + x.cast("double")) / (F.size(pixels) * 255.0)
+
+
+def sharpness(pixels: Column, wide: int) -> Column:
+    """Variance of the Laplacian over the inner pixels of a row-major grey image; 0 for images without any."""
+    high = F.floor(F.size(pixels) / wide).cast("int")
+    at = lambda i: F.element_at(pixels, (i + 1).cast("int")).cast("double")
+    inner = F.filter(F.sequence(F.lit(0), F.size(pixels) - 1), lambda i: (i % wide > 0) & (i % wide < wide - 1) & (i >= wide) & (i < (high - 1) * wide))
+    lap = F.transform(inner, lambda i: at(i - 1) + at(i + 1) + at(i - wide) + at(i + wide) - 4 * at(i))
+    mean = F.aggregate(lap, F.lit(0.0), lambda s, x: s + x) / F.size(lap)
+    return F.when(F.size(lap) == 0, F.lit(0.0)).otherwise(F.aggregate(lap, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(lap))
+
+
+def frame_difference(a: Column, b: Column) -> Column:
+    """Mean absolute difference of two grey images, 0 to 1; images of different sizes are an error, empty ones don't differ."""
+    total = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("frames have equal dimensions"))).when(F.size(a) == 0, F.lit(0.0)).otherwise(total / (F.size(a) * 255.0))
+
+
 def ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num / den).otherwise(F.lit(0.0))
 

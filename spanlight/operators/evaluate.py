@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio, t_iou
-from .intervals import islands, overlap_join
+from ..sources.shared import discard, materialize
+from .intervals import overlap_join
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -73,33 +74,30 @@ def best_overlap(truth: DataFrame, found: DataFrame, keys: list[str], width: int
     return truth.join(best, "id", "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
 
 
-#: Islands that one call matches together: few enough for memory, enough to pay for the call.
-ISLANDS = 64
-
-
 def greedy_match(truth: DataFrame, found: DataFrame, key: str, width: int, threshold: float = 0.5) -> DataFrame:
     """One-to-one matches by falling overlap ratio, ties to the lower true id, then the lower found id.
 
-    The choice is sequential, but intervals that no chain of overlaps links can't
-    compete: pairs are matched per key and run of ISLANDS islands of overlapping intervals.
+    The order is total, so a pair that comes first for both of its ends is in the
+    greedy choice whatever else is. Each round takes those pairs, drops all pairs of
+    their ends and writes the rest to the shared folder, until none is left.
     """
-    every = truth.select(key, "t0", "t1", "id", F.lit(0).alias("side")).unionByName(found.select(key, "t0", "t1", "id", F.lit(1).alias("side")))
-    marked = islands(every, [key], "t0", "t1", ["side", "id"], 0)
-    side = lambda n: marked.where(F.col("side") == n).drop("side")
     iou = t_iou(F.col("l.t0"), F.col("l.t1"), F.col("r.t0"), F.col("r.t1"))
-    pairs = overlap_join(side(0), side(1), [key], width).select(F.col(f"l.{key}").alias(key), F.floor(F.col("l.island") / ISLANDS).alias("islands"), F.col("l.id").alias("gt"), F.col("r.id").alias("pred"), iou.alias("iou"))
-
-    def match(pdf):
-        taken_gt, taken_pred, keep = set(), set(), []
-        pdf = pdf.sort_values(["iou", "gt", "pred"], ascending=[False, True, True])
-        for gt, pred in zip(pdf["gt"], pdf["pred"]):
-            keep.append(gt not in taken_gt and pred not in taken_pred)
-            if keep[-1]:
-                taken_gt.add(gt)
-                taken_pred.add(pred)
-        return pdf[keep]
-
-    return pairs.where((F.col("iou") >= threshold) & (F.col("iou") > 0)).groupBy(key, "islands").applyInPandas(match, pairs.schema).drop("islands")
+    pairs = overlap_join(truth, found, [key], width).select(F.col(f"l.{key}").alias(key), F.col("l.id").alias("gt"), F.col("r.id").alias("pred"), iou.alias("iou"))
+    rest = materialize(pairs.where((F.col("iou") >= threshold) & (F.col("iou") > 0)), "greedy-pairs")
+    order = F.struct((-F.col("iou")).alias("by"), "gt", "pred")
+    taken = rest.limit(0)
+    while rest.take(1):
+        of_gt = rest.groupBy(F.col(key).alias("k"), F.col("gt").alias("g")).agg(F.min(order).alias("best"))
+        of_pred = rest.groupBy(F.col(key).alias("k2"), F.col("pred").alias("p")).agg(F.min(order).alias("best2"))
+        both = of_gt.join(of_pred, F.col("k").eqNullSafe(F.col("k2")) & (F.col("best.pred") == F.col("p"))).where("best = best2")
+        won = materialize(both.select(F.col("k").alias(key), F.col("g").alias("gt"), F.col("p").alias("pred"), (-F.col("best.by")).alias("iou")), "greedy-won")
+        taken = taken.unionByName(won)
+        gone = lambda c: rest[key].eqNullSafe(F.col("wk")) & (rest[c] == F.col("w"))
+        ends = lambda c: won.select(F.col(key).alias("wk"), F.col(c).alias("w"))
+        left = materialize(rest.join(ends("gt"), gone("gt"), "left_anti").join(ends("pred"), gone("pred"), "left_anti"), "greedy-pairs")
+        discard(rest)
+        rest = left
+    return taken
 
 
 def annotation_faults(notes: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import islands
+from .intervals import islands, ranked
 
 RRF_K = 60
 SCOPE = ["video_id", "camera_id", "t0", "t1"]
@@ -13,9 +13,8 @@ SCOPE = ["video_id", "camera_id", "t0", "t1"]
 
 def fuse(scored: DataFrame, k: int = RRF_K) -> DataFrame:
     """scored: SCOPE, channel, score (thresholded). One row an interval: channels in order, best score, rrf."""
-    order = Window.partitionBy("channel").orderBy(F.desc(F.round("score", 9)), "video_id", "t0", "t1")
-    ranked = scored.withColumn("rank", F.row_number().over(order))
-    return ranked.groupBy(*SCOPE).agg(
+    score = F.round("score", 9)
+    return ranked(scored, ["channel"], [-F.floor(score * 4096)], [F.desc(score), F.col("video_id"), F.col("t0"), F.col("t1")]).groupBy(*SCOPE).agg(
         F.array_join(F.sort_array(F.collect_set("channel")), ",").alias("channels"), F.max("score").alias("best"), F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("rrf")
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import dot
+from ..functions.exprs import dot, finite
 from .intervals import range_join
 from .ledger import HOUR
 
@@ -13,8 +13,8 @@ AGGREGATES = ("max", "mean", "top20_mean", "persistence")
 
 
 def exact_scores(vectors: DataFrame, query: list[float]) -> DataFrame:
-    """(vec_id, embedding) against one query vector: every row gets exactly one score."""
-    return vectors.select("vec_id", dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])).alias("score"))
+    """(vec_id, embedding) against one query vector: every row gets exactly one score; one that isn't finite is an error."""
+    return vectors.select("vec_id", finite(dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query]))).alias("score"))
 
 
 def ticks_in_windows(ticks: DataFrame, windows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..llm.common import materialize
+from ..sources.shared import materialize
 
 MIN_IOU, BREAK_GAP, CLOSE_GAP = 0.2, 1_000_000, 2_000_000
 
@@ -23,8 +23,8 @@ def _iou(a, b) -> float:
 def associate(detections: DataFrame, close_gap: int = CLOSE_GAP, break_gap: int = BREAK_GAP, min_iou: float = MIN_IOU) -> DataFrame:
     """(video_id, camera_id, detection_id, pts, label, x0, y0, x1, y1). Each detection's tracklet.
 
-    A detection joins the open track of its label with the best overlap; of equal
-    ones the track that ended first. A pause above break_gap marks the track
+    A detection joins the open track of its label with the best overlap, also one of
+    its own time; of equal ones the track that ended first, then the older one. A pause above break_gap marks the track
     interrupted, one above close_gap closes it.
 
     The detections of a video, camera and label pass in time order, and only the
@@ -40,7 +40,7 @@ def associate(detections: DataFrame, close_gap: int = CLOSE_GAP, break_gap: int
                 if (video, camera, label) != group:
                     group, open_, n = (video, camera, label), [], 0
                 open_ = [t for t in open_ if pts is not None and pts - t[1] <= close_gap]
-                fits = [(_iou(t[0], box), -t[1], -t[2], t) for t in open_ if t[1] < pts]
+                fits = [(_iou(t[0], box), -t[1], -t[2], t) for t in open_]
                 best = max((f for f in fits if f[0] >= min_iou), key=lambda f: f[:3], default=None)
                 if best is None:
                     where.append(d)

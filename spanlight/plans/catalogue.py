@@ -36,7 +36,8 @@ def _round(df, *names):
 
 def exact_score(spark, d):
     e = src.parquet(spark, d, "embeddings")
-    query = e.where("vec_id = 0").first()["embedding"]
+    first = e.where("vec_id = 0").first()
+    query, e = (first["embedding"], e) if first else ([], e.limit(0))
     return _round(retrieve.exact_scores(e, query), "score")
 
 
@@ -124,7 +125,7 @@ def pending_ticks(spark, d):
 
 def nearest_frame(spark, d):
     planned = ledger.expected_ticks(src.videos(spark, d).select("video_id", "duration"), HOUR)
-    return intervals.nearest_join(planned, src.ticks(spark, d).select("video_id", "pts", "tick_id").withColumnRenamed("pts", "target_pts"), ["video_id"], "target_pts", "tick_id")
+    return intervals.nearest_join(planned, src.ticks(spark, d).select("video_id", "pts", "tick_id").withColumnRenamed("pts", "target_pts"), ["video_id"], "target_pts", "tick_id").drop("error_code")
 
 
 def motion_merge(spark, d):
@@ -141,8 +142,11 @@ def co_occurs_edges(spark, d):
 
 
 def belongs_to_track_edges(spark, d):
+    """Bridge rows of every tick; detections are the embedded ticks, tracklets the actors with a purchase."""
     t = src.ticks(spark, d)
-    return t.groupBy(F.col("actor").alias("tracklet"), "video_id").agg(F.count("*").alias("detections"), F.min("pts").alias("t0"), F.max("pts").alias("t1"))
+    bridge = t.select(F.col("actor").alias("tracklet"), F.col("tick_id").alias("detection"))
+    seen = t.where("status = 'embedded'").select(F.col("tick_id").alias("detection"), "pts")
+    return graph.track_edges(bridge, seen, t.where("label = 'purchase'").select(F.col("actor").alias("tracklet")).distinct())
 
 
 def text_search(spark, d):
@@ -191,16 +195,21 @@ def visible_none(spark, d):
     s = graph.safety(t, ["video_id", "day"])
     m = t.where("label = 'purchase'").groupBy("video_id", "day").agg(F.count("*").alias("matches"))
     both = s.join(m, ["video_id", "day"], "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
-    return both.select("video_id", "day", graph.visible_none(F.col("matches"), F.col("complete"), F.col("assessable"), F.col("expected")).alias("state"))
+    return both.select("video_id", "day", graph.visible_none(F.col("matches"), F.col("observed") >= F.col("expected"), F.col("assessable") > 0).alias("state"))
 
 
 def bounded_count(spark, d):
-    t = _day(spark, d).select("video_id", "day", F.lit(None).cast("string").alias("fragment_group"), F.concat(F.col("actor"), F.lit("-"), F.col("label")).alias("tracklet_id"), F.when(F.col("status") == "embedded", "continuous").otherwise("interrupted").alias("continuity"))
-    return graph.bounded_count(t, ["video_id", "day"], 3, 1)
+    """Tracks of an hour of all videos of a parity: some hours have tracks of several cameras. Every third actor's tracks are fragments of one."""
+    t = src.ticks(spark, d).where("label = 'purchase'")
+    t = t.select(
+        F.floor(F.col("pts") / HOUR).alias("hour"), (F.expr("cast(substring(video_id, 2) AS BIGINT)") % 4).alias("part"), "video_id", "camera_id", F.when(F.col("actor") % 3 == 0, F.concat(F.lit("g"), "actor")).alias("fragment_group"),
+        F.concat(F.lit("t"), "tick_id").alias("tracklet_id"), F.when(F.col("status") == "embedded", "continuous").otherwise("interrupted").alias("continuity"),
+    )
+    return graph.bounded_count(t, ["hour", "part"], 1, 2, 1)
 
 
 def _anchors(spark, d, label):
-    return src.ticks(spark, d).where(F.col("label") == label).select(F.col("tick_id").alias("id"), "video_id", "camera_id", F.col("pts").alias("t0"), F.col("pts").alias("t1"), "actor")
+    return src.ticks(spark, d).where(F.col("label") == label).select(F.col("tick_id").alias("id"), "video_id", "camera_id", F.col("pts").alias("t0"), F.col("pts").alias("t1"), "actor", "score")
 
 
 def temporal_before(spark, d):
@@ -213,7 +222,7 @@ def same_actor_join(spark, d):
 
 def three_atom_episode(spark, d):
     a, b, c = (_anchors(spark, d, x) for x in ("view", "click", "purchase"))
-    e = assemble.chain(a, b, c, HOUR)
+    e = assemble.episodes({"a": a, "b": b, "c": c}, [("a", "b", HOUR, False), ("b", "c", HOUR, False)])
     return e.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("c.id").alias("c"), F.col("a.t0").alias("t0"), F.col("c.t1").alias("t1"))
 
 
@@ -221,7 +230,7 @@ _ANCHORS = f"{_TICKS}, p AS (SELECT a.tick_id AS first_id, b.tick_id AS second_i
 
 
 def interval_cluster(spark, d):
-    i = intervals.islands(src.order_intervals(spark, d), ["camera"], "t0", "t1", ["o_orderkey"], 12)
+    i = intervals.islands(src.order_intervals(spark, d), ["camera"], "t0", "t1", ["o_orderkey"], 12, 24 * 30)
     return i.groupBy("camera", "island").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.count("*").alias("members"))
 
 
@@ -289,21 +298,31 @@ def _evidence(spark, d):
     return li.select(F.col("l_orderkey").alias("candidate"), F.col("l_linenumber").alias("constraint"), state.alias("state"))
 
 
+def _judged(spark, d):
+    """Candidates whose verification has the two required constraints; lines 1 and 2 of an order."""
+    e = _evidence(spark, d)
+    whole = e.where("constraint IN (1, 2)").groupBy(F.col("candidate").alias("c")).agg(F.countDistinct("constraint").alias("n")).where("n = 2")
+    return decide.candidates(e.join(whole, F.col("candidate") == F.col("c"), "left_semi"), [1, 2])
+
+
 def decide_candidates(spark, d):
-    return decide.candidates(_evidence(spark, d))
+    return _judged(spark, d)
 
 
 def near_miss_rank(spark, d):
-    return decide.near_misses(decide.candidates(_evidence(spark, d))).where("rank <= 50").drop("bucket")
+    rows = _judged(spark, d).withColumn("priority", (F.col("candidate") % 10) / 10)
+    return decide.near_misses(rows).select("candidate", "supported", "contradicted", "rank")
 
 
 def archive_conclusion(spark, d):
-    return decide.conclusion(decide.candidates(_evidence(spark, d)))
+    """Every thirty-second of the candidates is an archive of few; of five archives one was cut short."""
+    rows = _judged(spark, d).where("candidate % 7 < 2").withColumn("archive", F.floor(F.col("candidate") / 16))
+    return decide.conclusion(rows, ["archive"], F.col("archive") % 5 != 0, mixed="insufficient_visual_evidence")
 
 
-_DECIDED = """e AS (SELECT l_orderkey AS candidate, CASE WHEN l_returnflag = 'N' THEN 'supported' WHEN l_returnflag = 'A' THEN CASE WHEN l_linestatus = 'O' THEN 'undetermined' ELSE 'contradicted' END ELSE 'unobservable' END AS state FROM lineitem),
-dc AS (SELECT candidate, CASE WHEN bool_and(state = 'supported') THEN 'match' WHEN bool_or(state = 'contradicted') THEN 'near_miss' WHEN bool_or(state = 'unobservable') THEN 'insufficient_visual_evidence' ELSE 'undetermined' END AS bucket,
-  count(*) FILTER (state = 'supported') AS supported, count(*) FILTER (state = 'contradicted') AS n_contradicted FROM e GROUP BY candidate)"""
+_DECIDED = """e AS (SELECT l_orderkey AS candidate, l_linenumber AS k, CASE WHEN l_returnflag = 'N' THEN 'supported' WHEN l_returnflag = 'A' THEN CASE WHEN l_linestatus = 'O' THEN 'undetermined' ELSE 'contradicted' END ELSE 'unobservable' END AS state FROM lineitem WHERE l_linenumber IN (1, 2)),
+f AS (SELECT candidate, count(*) FILTER (state = 'supported') AS supported, count(*) FILTER (state = 'contradicted') AS contradicted, count(*) FILTER (state = 'unobservable') AS unobservable, count(*) FILTER (state = 'undetermined') AS undetermined FROM e GROUP BY candidate HAVING count(DISTINCT k) = 2),
+dc AS (SELECT candidate, supported = 2 AS verified_match, contradicted > 0 AS rejected_near_match, contradicted = 0 AND unobservable > 0 AS unresolved_visual, contradicted = 0 AND undetermined > 0 AS unresolved_system, supported, contradicted, unobservable, undetermined FROM f)"""
 
 
 def budget_split(spark, d):
@@ -371,14 +390,14 @@ ORACLE_SQL = {
     "motion_merge": _T + f", p AS (SELECT video_id, greatest(pts - {HOUR // 2}, 0) AS t0, least(pts + {HOUR // 2}, duration) AS t1 FROM ticks JOIN videos USING (video_id, camera_id) WHERE score >= 0.3), m AS (SELECT *, max(t1) OVER (PARTITION BY video_id ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p), i AS (SELECT *, CAST(sum(CASE WHEN reach IS NULL OR t0 > reach THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY t0, t1 ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM m) SELECT video_id, island, min(t0) AS t0, max(t1) AS t1, count(*) AS samples FROM i GROUP BY ALL",
     "contains_edges": _T + "SELECT tick_id, scale, t0 FROM hits",
     "co_occurs_edges": "SELECT a.l_orderkey AS frame_id, 2 * count(*) AS edges, CAST(sum(a.l_linenumber + b.l_linenumber) AS BIGINT) AS subjects FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber > a.l_linenumber GROUP BY ALL",
-    "belongs_to_track_edges": _T + "SELECT actor AS tracklet, video_id, count(*) AS detections, min(pts) AS t0, max(pts) AS t1 FROM ticks GROUP BY ALL",
+    "belongs_to_track_edges": _T + "SELECT 'd' || tick_id AS subject, 'belongs_to_track' AS predicate, 't' || actor AS object, pts AS t0 FROM ticks WHERE status = 'embedded' AND actor IN (SELECT actor FROM ticks WHERE label = 'purchase')",
     "text_search": "SELECT doc_id, lang FROM documents WHERE list_has_all(regexp_split_to_array(lower(trim(text)), '[^a-z0-9]+'), ['the', 'and'])",
     "label_match": "SELECT o_orderkey, o_orderpriority FROM orders WHERE list_contains(regexp_split_to_array(lower(o_orderpriority), '[^a-z0-9]+'), 'high')",
     "pattern_join": f"WITH {_GRAPH} SELECT a, b FROM ab",
     "pattern_optional_edge": f"WITH {_GRAPH} SELECT a, b, e.object AS c FROM ab LEFT JOIN edges e ON e.subject = ab.b AND e.predicate = 'returned_by'",
     "observation_safety": _DAY + "SELECT video_id, day, expected, observed, assessable, complete FROM s",
-    "visible_none": _DAY + "SELECT video_id, day, CASE WHEN matches > 0 THEN 'contradicted' WHEN assessable = 0 THEN 'unobservable' WHEN NOT complete OR assessable < expected THEN 'undetermined' ELSE 'supported' END AS state FROM s",
-    "bounded_count": _DAY + ", g AS (SELECT video_id, day, actor || '-' || label AS g, count(*) AS n, count(*) FILTER (status <> 'embedded') AS broken FROM t GROUP BY ALL), o AS (SELECT video_id, day, count(*) AS observed, CAST(sum(broken) AS BIGINT) AS broken, CAST(sum(n - 1) AS BIGINT) AS fragments FROM g GROUP BY ALL) SELECT *, CASE WHEN broken + fragments > 1 THEN 'undetermined' WHEN observed <= 3 THEN 'supported' ELSE 'contradicted' END AS state FROM o",
+    "visible_none": _DAY + "SELECT video_id, day, CASE WHEN observed < expected THEN 'undetermined' WHEN assessable = 0 THEN 'unobservable' WHEN matches > 0 THEN 'contradicted' ELSE 'supported' END AS state FROM s",
+    "bounded_count": _T + f", t AS (SELECT pts // {HOUR} AS hour, CAST(video_id[2:] AS BIGINT) % 4 AS part, video_id || camera_id AS cam, CASE WHEN actor % 3 = 0 THEN 'g' || actor END AS fg, coalesce(CASE WHEN actor % 3 = 0 THEN 'g' || actor END, 't' || tick_id) AS g, status <> 'embedded' AS broke FROM ticks WHERE label = 'purchase'), s AS (SELECT hour, part, count(DISTINCT g) AS observed, count(*) FILTER (broke) AS broken, count(fg) - count(DISTINCT fg) AS fragments, count(DISTINCT cam) > 1 AS several_cameras FROM t GROUP BY ALL), r AS (SELECT *, CASE WHEN several_cameras THEN 'cross_camera_count' WHEN broken + fragments > 1 THEN 'excessive_track_fragmentation' WHEN observed BETWEEN 1 AND 2 THEN 'count_within_bounds' ELSE 'count_out_of_bounds' END AS reason FROM s) SELECT *, CASE reason WHEN 'count_within_bounds' THEN 'supported' WHEN 'count_out_of_bounds' THEN 'contradicted' ELSE 'undetermined' END AS state FROM r",
     "temporal_before": f"WITH {_ANCHORS} SELECT first_id, second_id, gap FROM p",
     "same_actor_join": f"WITH {_ANCHORS} SELECT first_id, second_id, gap FROM p WHERE same",
     "three_atom_episode": _T + f"SELECT a.tick_id AS a, b.tick_id AS b, c.tick_id AS c, a.pts AS t0, c.pts AS t1 FROM ticks a JOIN ticks b ON a.video_id = b.video_id AND a.camera_id = b.camera_id AND b.pts - a.pts BETWEEN 0 AND {HOUR} JOIN ticks c ON b.video_id = c.video_id AND b.camera_id = c.camera_id AND c.pts - b.pts BETWEEN 0 AND {HOUR} WHERE a.label = 'view' AND b.label = 'click' AND c.label = 'purchase'",
@@ -392,9 +411,9 @@ ORACLE_SQL = {
     "split_leakage": "SELECT o_custkey, count(DISTINCT o_orderkey % 3) AS splits FROM orders GROUP BY ALL HAVING count(DISTINCT o_orderkey % 3) > 1",
     "dataset_summary": "SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(grouping(lang, source) AS INT) AS level FROM documents GROUP BY CUBE (lang, source)",
     "decide_candidates": f"WITH {_DECIDED} SELECT * FROM dc",
-    "near_miss_rank": f"WITH {_DECIDED}, r AS (SELECT candidate, supported, n_contradicted, CAST(row_number() OVER (ORDER BY supported DESC, n_contradicted, candidate) AS INT) AS rank FROM dc WHERE bucket = 'near_miss') SELECT * FROM r WHERE rank <= 50",
-    "archive_conclusion": f"WITH {_DECIDED} SELECT CASE WHEN count(*) FILTER (bucket = 'match') > 0 THEN 'matches_found' WHEN count(*) FILTER (bucket = 'insufficient_visual_evidence') > 0 THEN 'insufficient_visual_evidence' WHEN count(*) FILTER (bucket = 'undetermined') > 0 THEN 'search_incomplete' ELSE 'no_match' END AS conclusion, count(*) FILTER (bucket = 'match') AS matches, count(*) FILTER (bucket = 'near_miss') AS near_misses FROM dc",
-    "budget_split": f"WITH c AS ({_CLUSTER}), r AS (SELECT *, CAST(row_number() OVER (ORDER BY priority DESC, video_id, t0) AS INT) AS rank FROM c) SELECT video_id, t0, rank, CASE WHEN rank <= 10 THEN 'verify' ELSE 'timeout' END AS state FROM r",
+    "near_miss_rank": f"WITH {_DECIDED} SELECT candidate, supported, contradicted, CAST(row_number() OVER (ORDER BY supported DESC, contradicted, (candidate % 10) / 10.0 DESC, candidate) AS INT) AS rank FROM dc WHERE rejected_near_match",
+    "archive_conclusion": f"WITH {_DECIDED}, a AS (SELECT *, candidate // 16 AS archive FROM dc WHERE candidate % 7 < 2) SELECT archive, CASE WHEN bool_or(verified_match) THEN 'verified_matches_found' WHEN archive % 5 = 0 THEN 'search_incomplete' WHEN bool_or(unresolved_visual) THEN 'insufficient_visual_evidence' WHEN bool_or(unresolved_system) THEN 'not_applicable' ELSE 'no_verified_match' END AS conclusion, count(*) FILTER (verified_match) AS matches, count(*) FILTER (rejected_near_match) AS near_misses FROM a GROUP BY archive",
+    "budget_split": f"WITH c AS ({_CLUSTER}), r AS (SELECT *, CAST(row_number() OVER (ORDER BY priority DESC, video_id, t0, t1) AS INT) AS rank FROM c) SELECT video_id, t0, rank, CASE WHEN rank <= 10 THEN 'verify' ELSE 'timeout' END AS state FROM r",
     "boundary_refine": _T + f", g AS (SELECT video_id, camera_id, t0, t1, min(pts) FILTER (score >= 0.3) AS a, max(pts) FILTER (score >= 0.3) AS b FROM hits WHERE scale = {30 * HOUR} GROUP BY ALL) SELECT video_id, camera_id, t0, t1, greatest(coalesce(a, t0) - {HOUR}, t0) AS onset, least(coalesce(b, t1) + {HOUR}, t1) AS offset FROM g".replace(" AS offset", ' AS "offset"'),
     "detection_resume_check": _T + ", o AS (SELECT tick_id, label FROM ticks WHERE tick_id % 5 <> 0), n AS (SELECT tick_id, CASE WHEN tick_id % 11 = 0 THEN 'changed' ELSE label END AS label FROM ticks WHERE tick_id % 7 <> 0) SELECT CASE WHEN o.tick_id IS NULL THEN 'added' WHEN n.tick_id IS NULL THEN 'missing' WHEN o.label <> n.label THEN 'diverged' ELSE 'same' END AS state, count(*) AS n FROM o FULL JOIN n ON o.tick_id = n.tick_id GROUP BY 1",
     "window_stream": _T + ", w AS (SELECT label, score, unnest([h, h - 2]) AS t0, hh FROM (SELECT label, score, pts / 3600000000.0 AS hh, (pts // 7200000000) * 2 AS h FROM ticks)) SELECT t0, t0 + 4 AS t1, label, count(*) AS ticks, round(max(score), 6) AS score FROM w GROUP BY ALL",

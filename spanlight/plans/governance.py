@@ -159,7 +159,9 @@ def tick_set_check(spark, d):
 
 
 def pts_regression(spark, d):
-    return ledger.regressions(src.ticks(spark, d), "video_id", "tick_id").select("video_id", "tick_id", "previous_pts", "pts")
+    """Frames as a decoder hands them out: every fifth one late."""
+    t = src.ticks(spark, d).withColumn("read", F.col("pts") + F.when(F.col("tick_id") % 5 == 0, 6 * HOUR).otherwise(0))
+    return ledger.regressions(t, "video_id", "read").select("video_id", "tick_id", "previous_pts", "pts")
 
 
 def overlapping_clips(spark, d):
@@ -168,7 +170,7 @@ def overlapping_clips(spark, d):
 
 def refinement_ticks(spark, d):
     spans = ledger.windows(src.videos(spark, d), ((4 * HOUR, 2 * HOUR),))
-    return ledger.refinement_ticks(spans.where(f"t0 < {48 * HOUR}"), HOUR // 4)
+    return ledger.refinement_ticks(spans, HOUR // 4)
 
 
 def dense_ticks(spark, d):
@@ -220,9 +222,9 @@ ORACLE_SQL = {
     "node_collisions": "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'new' WHEN o_orderkey % 10 = 0 THEN 'collision' ELSE 'same' END AS state, count(*) AS n FROM orders GROUP BY ALL",
     "active_generation": _T + "SELECT video_id, tick_id % 3 AS generation, tick_id FROM ticks WHERE tick_id % 3 = CAST(video_id[2:] AS BIGINT) % 3",
     "tick_set_check": _T + "SELECT count(*) FILTER (status <> 'embedded' AND tick_id % 31 <> 1) AS missing, count(*) FILTER (tick_id % 50 = 0) AS extra, count(*) FILTER (status = 'embedded' AND tick_id % 31 = 1) AS repeated FROM ticks",
-    "pts_regression": _T + ", l AS (SELECT *, lag(pts) OVER (PARTITION BY video_id ORDER BY tick_id) AS previous_pts FROM ticks) SELECT video_id, tick_id, previous_pts, pts FROM l WHERE previous_pts > pts",
+    "pts_regression": _T + ", l AS (SELECT *, lag(pts) OVER (PARTITION BY video_id ORDER BY pts + CASE WHEN tick_id % 5 = 0 THEN 21600000000 ELSE 0 END, tick_id) AS previous_pts FROM ticks) SELECT video_id, tick_id, previous_pts, pts FROM l WHERE previous_pts > pts",
     "overlapping_clips": _T + f"SELECT video_id, camera_id, t0, t1 FROM windows WHERE scale = {12 * HOUR}",
-    "refinement_ticks": _T + f"SELECT DISTINCT video_id, unnest(generate_series(t0, t1 - 1, {HOUR // 4})) AS target_pts FROM windows WHERE scale = {4 * HOUR} AND t0 < {48 * HOUR}",
+    "refinement_ticks": _T + f"SELECT DISTINCT video_id, unnest(generate_series(t0, t1 - 1, {HOUR // 4})) AS target_pts FROM windows WHERE scale = {4 * HOUR}",
     "dense_ticks": f"WITH m AS ({base.ORACLE_SQL['motion_merge']}) SELECT DISTINCT video_id, unnest(generate_series(t0, t1, {HOUR // 4})) AS target_pts FROM m",
     "evidence_targets": _T + f", p AS (SELECT *, CAST(least(24, greatest(8, ceil((t1 - t0)::DOUBLE / {HOUR}))) AS BIGINT) AS n FROM windows), q AS (SELECT *, unnest(generate_series(0, n - 1)) AS part FROM p) SELECT {', '.join(base.WINDOW)}, part, t0 + ((t1 - t0) * (2 * part + 1)) // (2 * n) AS target_pts FROM q",
     "box_rates": "WITH b AS (SELECT l_returnflag, l_discount AS x0, l_tax AS y0, l_discount + 0.3::DOUBLE AS x1, l_quantity / 45 AS y1 FROM lineitem), v AS (SELECT *, greatest(x0, y0, x1, y1) <= 1 AND least(x0, y0) >= 0 AND x1 > x0 AND y1 > y0 AS valid, greatest(least(x1, 0.25::DOUBLE) - greatest(x0, 0.05::DOUBLE), 0) * greatest(least(y1, 0.55::DOUBLE) - greatest(y0, 0.05::DOUBLE), 0) AS i FROM b) SELECT l_returnflag, count(*) FILTER (valid) AS valid, count(*) AS boxes, round(avg(i / ((x1 - x0) * (y1 - y0) + 0.1::DOUBLE - i)) FILTER (valid), 6) AS mean_iou FROM v GROUP BY ALL",

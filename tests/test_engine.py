@@ -41,6 +41,45 @@ def test_nearest_frame_takes_the_earlier_of_a_tie(spark):
     assert [r.frame_id for r in got] == [1, 2, 4]
 
 
+@pytest.mark.parametrize("width", [3, 40, 10_000])
+def test_nearest_frame_in_buckets(spark, width):
+    import random
+
+    rng = random.Random(2)
+    t = [(v, rng.randrange(2000)) for v in ("a", None, "none") for _ in range(60)]
+    f = [(v, rng.randrange(300, 1500), i) for i, v in enumerate(["a", None] * 40)]
+    got = intervals.nearest_join(spark.createDataFrame(t, "video_id string, at long"), spark.createDataFrame(f, "video_id string, at long, id long"), ["video_id"], "at", "id", 100, width).collect()
+    assert len(got) == len(t)
+    for r in got:
+        own = [x[1] for x in f if x[0] == r.video_id]
+        best = min(own, key=lambda x: (abs(x - r.at), x), default=None)
+        far = best is not None and abs(best - r.at) > 100
+        assert r.frame_pts == (None if far else best)
+        assert r.error_code == ("no_decodable_frame" if best is None else "nearest_frame_too_far" if far else None)
+
+
+@pytest.mark.parametrize("width", [5, 1000])
+def test_islands_and_ranks_in_buckets(spark, width):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, a, a + rng.randrange(1, 9)) for k in ("x", None) for a in (rng.randrange(400) for _ in range(80))]
+    d = spark.createDataFrame(rows, "k string, t0 long, t1 long")
+    want = []
+    for k in ("x", None):
+        reach, n = None, 0
+        for a, b in sorted(r[1:] for r in rows if r[0] == k):
+            n += reach is None or a > reach + 2
+            reach = b if reach is None else max(reach, b)
+            want.append((str(k), a, b, n))
+    got = intervals.islands(d, ["k"], "t0", "t1", [], 2, width)
+    assert sorted((str(r.k), r.t0, r.t1, r.island) for r in got.collect()) == sorted(want)
+    ranks = intervals.ranked(d.distinct(), ["k"], [-F.floor(F.col("t1") / width)], [F.desc("t1"), F.desc("t0")])
+    for k in ("x", None):
+        own = sorted({r for r in rows if r[0] == k}, key=lambda r: (-r[2], -r[1]))
+        assert [(r.t0, r.t1) for r in ranks.where(F.col("k").eqNullSafe(F.lit(k))).orderBy("rank").collect()] == [r[1:] for r in own]
+
+
 def test_range_join_has_null_cameras_and_no_doubles(spark):
     p = spark.createDataFrame([("v", None, 5), ("v", "c", 5)], "video_id string, camera_id string, pts long")
     s = spark.createDataFrame([("v", None, 0, 30), ("v", None, 5, 6), ("v", None, 6, 9)], "video_id string, camera_id string, t0 long, t1 long")
@@ -76,14 +115,30 @@ def test_pairs_stay_in_their_camera(spark):
 
 
 def test_absence_needs_a_complete_interval(spark):
-    d = spark.createDataFrame([(0, True, 10, 10), (0, False, 9, 10), (0, False, 0, 10), (1, False, 9, 10)], "m int, c boolean, a int, e int")
-    got = [r[0] for r in d.select(graph.visible_none(*[F.col(x) for x in "mcae"])).collect()]
-    assert got == ["supported", "undetermined", "unobservable", "contradicted"]
+    d = spark.createDataFrame([(0, True, True), (0, False, True), (0, True, False), (1, True, True), (1, False, True)], "m int, c boolean, a boolean")
+    got = [r[0] for r in d.select(graph.visible_none(*[F.col(x) for x in "mca"])).collect()]
+    assert got == ["supported", "undetermined", "unobservable", "contradicted", "undetermined"]
+
+
+def test_decisions_keep_visual_and_system_causes_apart(spark):
+    e = [(1, "a", "supported"), (1, "b", "supported"), (2, "a", "contradicted"), (2, "b", "unobservable"), (3, "a", "unobservable"), (3, "b", "undetermined"), (4, "a", "undetermined"), (4, "b", "supported"), (1, "extra", "contradicted")]
+    df = spark.createDataFrame(e, "candidate long, constraint string, state string")
+    got = {r.candidate: r[1:5] for r in decide.candidates(df, ["a", "b"]).collect()}
+    assert got == {1: (True, False, False, False), 2: (False, True, False, False), 3: (False, False, True, True), 4: (False, False, False, True)}
+    with pytest.raises(Exception, match="required constraints are missing"):
+        decide.candidates(df, ["a", "c"]).collect()
+    with pytest.raises(ValueError):
+        decide.candidates(df, [])
 
 
-def test_an_unclear_search_is_no_clean_negative(spark):
-    e = spark.createDataFrame([(1, 1, "contradicted"), (2, 1, "undetermined")], "candidate long, constraint int, state string")
-    assert decide.conclusion(decide.candidates(e)).first().conclusion == "search_incomplete"
+def test_conclusions_in_their_order(spark):
+    cols = "archive int, whole boolean, verified_match boolean, rejected_near_match boolean, unresolved_visual boolean, unresolved_system boolean"
+    rows = [(1, False, True, False, False, True), (2, False, False, False, True, False), (3, True, False, False, True, False), (4, True, False, False, False, True), (5, True, False, True, False, False), (6, True, False, False, True, True)]
+    d = spark.createDataFrame(rows, cols)
+    got = {r.archive: r.conclusion for r in decide.conclusion(d.where("archive < 6"), ["archive"], F.col("whole")).collect()}
+    assert got == {1: "verified_matches_found", 2: "search_incomplete", 3: "insufficient_visual_evidence", 4: "not_applicable", 5: "no_verified_match"}
+    with pytest.raises(Exception, match="mixed"):
+        decide.conclusion(d, ["archive"], F.col("whole")).collect()
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -139,7 +194,7 @@ def test_tracklets_against_brute_force(spark):
     for group in {(r[0], r[1], r[4]) for r in rows}:
         own = []
         for r in sorted((r for r in rows if (r[0], r[1], r[4]) == group), key=lambda r: (r[3], r[2])):
-            fits = [(i, -t[-1][3], -k, t) for k, t in enumerate(own) if 0 < r[3] - t[-1][3] <= 90 and (i := tracks._iou(t[-1][5:], r[5:])) >= 0.2]
+            fits = [(i, -t[-1][3], -k, t) for k, t in enumerate(own) if 0 <= r[3] - t[-1][3] <= 90 and (i := tracks._iou(t[-1][5:], r[5:])) >= 0.2]
             max(fits, key=lambda f: f[:3])[3].append(r) if fits else own.append([r])
         for t in own:
             broken = any(b[3] - a[3] > 30 for a, b in zip(t, t[1:]))
