@@ -112,3 +112,8 @@ def ratio(num: Column, den: Column) -> Column:
 
 def stable_id(*columns: Column) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(*columns)), 256), 1, 16)
+
+
+def artefact_path(kind: str, *inputs: Column) -> Column:
+    """kind and the first 32 hex digits of the key over an artefact's declared inputs."""
+    return F.concat(F.lit(f"{kind}/"), F.substring(F.sha2(F.to_json(F.struct(*inputs)), 256), 1, 32))

@@ -128,3 +128,31 @@ def double_annotated(families: DataFrame, notes: DataFrame) -> DataFrame:
     """Share of families (one column, family) with two or more independent passes; 0 for no family."""
     passes = notes.where("pass_type = 'independent'").groupBy(F.col("target").alias("family")).agg(F.count("*").alias("passes"))
     return families.join(passes, "family", "left").agg(F.coalesce(F.avg((F.coalesce("passes", F.lit(0)) >= 2).cast("double")), F.lit(0.0)).alias("fraction"))
+
+
+def rate(part: Column, whole: Column) -> Column:
+    """part of whole; null where there is nothing to measure."""
+    return F.when(whole > 0, part / whole)
+
+
+def reasons(items: DataFrame) -> DataFrame:
+    """(predicted, reason): how many predictions are undetermined for each reason, and their share of all items."""
+    n = items.agg(F.count("*").alias("all_"))
+    open_ = items.where("predicted = 'undetermined'").groupBy("reason").agg(F.count("*").alias("n"))
+    return open_.join(F.broadcast(n), F.lit(True)).select("reason", "n", (F.col("n") / F.col("all_")).alias("rate"))
+
+
+def score_configs(truth: DataFrame, bundles: DataFrame, configs: list, query: str, width: int, threshold: float = 0.0) -> DataFrame:
+    """truth: query, id, t0, t1; bundles: config, query, id, t0, t1. Recall of each configuration over all queries with a truth.
+
+    Interval recall weighs a query by its intervals; complete_set is the share of
+    queries of which every interval is found. A configuration that found nothing
+    has zeros.
+    """
+    every = truth.select("*", F.explode(F.array(*[F.lit(c) for c in configs])).alias("config"))
+    pairs = overlap_join(truth, bundles, [query], width)
+    iou = t_iou(F.col("l.t0"), F.col("l.t1"), F.col("r.t0"), F.col("r.t1"))
+    hits = pairs.groupBy(F.col("r.config").alias("config"), F.col("l.id").alias("id")).agg(F.max(iou).alias("best"))
+    met = every.join(hits, ["config", "id"], "left").withColumn("hit", F.coalesce(F.col("best") > threshold, F.lit(False)))
+    per = met.groupBy("config", query).agg(F.count("*").alias("total"), F.count_if("hit").alias("found"), F.bool_and("hit").alias("whole"))
+    return per.groupBy("config").agg(F.sum("found").alias("hits"), F.sum("total").alias("truths"), ratio(F.sum("found"), F.sum("total")).alias("interval_recall"), F.avg(F.col("whole").cast("double")).alias("complete_set"))

@@ -19,10 +19,26 @@ def fuse(scored: DataFrame, k: int = RRF_K) -> DataFrame:
     )
 
 
-def cluster(candidates: DataFrame, gap: int) -> DataFrame:
-    """Intervals of one video and camera that overlap or lie at most gap apart become one cluster."""
+def cluster(candidates: DataFrame, gap: int, members: bool = False) -> DataFrame:
+    """Intervals of one video and camera that overlap or lie at most gap apart become one cluster; with members also their list, in order."""
     marked = islands(candidates, ["video_id", "camera_id"], "t0", "t1", [], gap)
-    return marked.groupBy("video_id", "camera_id", "island").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.count("*").alias("members"), F.max(F.coalesce("rrf", F.lit(0.0))).alias("priority"))
+    more = [F.array_sort(F.collect_list(F.struct("t0", "t1"))).alias("member_spans")] if members else []
+    return marked.groupBy("video_id", "camera_id", "island").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.count("*").alias("members"), F.max(F.coalesce("rrf", F.lit(0.0))).alias("priority"), *more)
+
+
+def merge(rows: DataFrame) -> DataFrame:
+    """Candidates of one id as one: (candidate_id, SCOPE, seq, channel, score, evidence array).
+
+    Of a channel's scores the one of greatest seq stays; evidence is kept once a
+    node. One id with two intervals is an error.
+    """
+    span = F.struct(*SCOPE)
+    per = rows.groupBy("candidate_id", "channel").agg(F.max_by("score", "seq").alias("score"), F.min(span).alias("a"), F.max(span).alias("b"), F.array_distinct(F.flatten(F.collect_list("evidence"))).alias("evidence"))
+    one = per.groupBy("candidate_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("channel", "score")))).alias("scores"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"), F.min("a").alias("a"), F.max("b").alias("b")
+    )
+    same = F.when(~F.col("a").eqNullSafe(F.col("b")), F.raise_error(F.concat(F.lit("a candidate with two intervals: "), F.col("candidate_id").cast("string")))).otherwise(F.lit(True))
+    return one.where(same).select("candidate_id", "a.*", "scores", "evidence")
 
 
 def union_merge(scored: DataFrame, thresholds: dict[str, float]) -> DataFrame:

@@ -38,3 +38,10 @@ def window_scores(hits: DataFrame, keys: list[str], how: str, frame_threshold: f
 def best_evidence(hits: DataFrame, keys: list[str], n: int = 3) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "pts", "tick_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def in_zones(windows: DataFrame, zones: list[str]) -> DataFrame:
+    """Windows that share a zone with the ones asked for; windows without a `zones` column can't be asked for any."""
+    if "zones" not in windows.columns:
+        raise ValueError("these windows have no zones")
+    return windows.where(F.arrays_overlap("zones", F.array(*[F.lit(z) for z in zones])))

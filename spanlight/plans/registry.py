@@ -1,6 +1,7 @@
 """All named queries of the engine."""
 
-from . import catalogue, governance
+from . import catalogue, evidence, governance, measures
 
-QUERIES = {**catalogue.QUERIES, **governance.QUERIES}
-ORACLE_SQL = {**catalogue.ORACLE_SQL, **governance.ORACLE_SQL}
+_MODULES = (catalogue, governance, evidence, measures)
+QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -30,6 +30,39 @@ def active(rows: DataFrame, generations: DataFrame) -> DataFrame:
     return rows.join(generations, ["video_id", "generation"])
 
 
+def finalised(rows: DataFrame, generations: DataFrame, wanted: list) -> DataFrame:
+    """Rows of the wanted generations, all of which must be complete; generations: (generation, status), a row each."""
+    known = generations.where(F.col("generation").isin(wanted) & (F.col("status") == "complete")).select("generation").distinct()
+    refused = sorted(set(wanted) - {r[0] for r in known.limit(len(wanted)).collect()})
+    if refused:
+        raise ValueError(f"generations that are not finalised: {refused}")
+    return rows.where(F.col("generation").isin(wanted))
+
+
+def active_views(spark: SparkSession, nodes: str = "active_evidence_nodes", edges: str = "active_evidence_edges") -> bool:
+    """Whether the views of active evidence are there: both or neither, else an error."""
+    there = [spark.catalog.tableExists(v) for v in (nodes, edges)]
+    if any(there) and not all(there):
+        raise RuntimeError("one of the active evidence views is missing")
+    return all(there)
+
+
+def prediction_bundles(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """One bundle a file, keyed by config; two bundles of one config are an error."""
+    rows = json_documents(spark, path, schema)
+    if twice := [r[0] for r in rows.groupBy("config").count().where("count > 1").limit(5).collect()]:
+        raise ValueError(f"several bundles of one configuration: {twice}")
+    return rows
+
+
+def measurements(spark: SparkSession, path: str, schema: T.StructType, known: list[str]) -> DataFrame:
+    """Benchmark runs from JSON lines; an unknown benchmark id is an error."""
+    rows = json_lines(spark, path, schema)
+    if strange := [r[0] for r in rows.where(~F.coalesce(F.col("benchmark_id").isin(known), F.lit(False))).select("benchmark_id").distinct().limit(5).collect()]:
+        raise ValueError(f"unknown benchmarks: {strange}")
+    return rows
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = parquet(spark, sf_dir, "events")
     video = F.pmod("user_id", F.lit(8))
