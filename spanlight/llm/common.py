@@ -2,54 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, materialize, new_path, shared_dir  # noqa: F401
+
 #: A word is a run of characters outside this ASCII white space (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where no cluster names it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="spark-")
-    return _LOCAL_DIRS[app]
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a materialized frame that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with row_a and row_b, 128 bits that equal rows share and no others."""
     nulls = F.concat(*[F.col(c).isNull().cast("string") for c in docs.columns])
@@ -59,3 +23,21 @@ def keyed(docs: DataFrame) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: A key of more than this part of a join's rows is joined by broadcast; so there are fewer such keys than this.
+HEAVY = 1000
+
+
+def attach(rows: DataFrame, key: str, values: DataFrame, n: int) -> DataFrame:
+    """rows joined with values on key; values: one row a key, deg is how often rows hold it, at most n rows in all.
+
+    Keys with more than n / HEAVY rows meet theirs by broadcast: there are fewer
+    than HEAVY of them, whatever n is. The others meet by shuffle, so no task gets
+    more than that share of the rows for one key.
+    """
+    heavy = values.where(F.col("deg") > n / HEAVY).drop("deg")
+    light = values.where(F.col("deg") <= n / HEAVY).drop("deg")
+    few = rows.join(F.broadcast(heavy), key)
+    many = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    return few.unionByName(many)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import attach, discard, materialize, table
 
 #: Fixed values of the fingerprint.
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -31,8 +31,6 @@ BLOCKS = 4
 LEAF, RING, MAX_LEVELS = 20_000, 4, 4
 #: Fingerprints compared directly at the bottom of a tree.
 BOTTOM = 256
-#: A key of more than this part of a join's rows is joined by broadcast; so there are fewer such keys than this.
-HEAVY = 1000
 
 U64 = np.uint64
 
@@ -222,25 +220,12 @@ def edges(fps: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(run, "u long, v long").distinct()
 
 
-def attach(rows: DataFrame, key: str, values: DataFrame, n: int) -> DataFrame:
-    """rows joined with values on key; values: one row a key, deg is how often rows hold it, at most n rows in all.
-
-    Keys with more than n / HEAVY rows meet theirs by broadcast: there are fewer
-    than HEAVY of them, whatever n is. The others meet by shuffle, so no task gets
-    more than that share of the rows for one key.
-    """
-    heavy = values.where(F.col("deg") > n / HEAVY).drop("deg")
-    light = values.where(F.col("deg") <= n / HEAVY).drop("deg")
-    few = rows.join(F.broadcast(heavy), key)
-    many = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
-    return few.unionByName(many)
-
-
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """links: (u, v), u < v. Rows (node, root): root is the least node that links reach; all nodes of links.
 
     Alternating large-star and small-star steps, each one grouped minimum and
     a join; written to the shared folder after each round, until nothing changes.
+    Rounds grow with the logarithm of the longest path; running out of them is an error.
     """
     now = materialize(links.select("u", "v"), "links")  # v hangs on u, u < v
     n = now.count()
@@ -263,6 +248,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == was:
             break
         was, n = mark, mark["n"]
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
