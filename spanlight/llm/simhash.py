@@ -1,14 +1,17 @@
 """SimHash near-duplicates by vantage-point trees.
 
-Random 64-bit fingerprints lie about 32 bits from any vantage point, give or take
-4: a median split with radius 3 would send over half of them to both sides. So the
-forest has one tree for each of four 16-bit blocks: fingerprints at most 3 bits
-apart have distance 0 on a block at least. The root of a tree shards by that block
-(a ball of radius 0 round each block value); a shard above LEAF fingerprints is cut
-again into rings round vantage points of its own, by Hamming distance on all bits.
-Rings overlap by the link radius: a fingerprint is at home in one ring and also a
-query in each ring that the triangle bounds can't exclude. Within a leaf, a
-vantage-point tree finds the pairs.
+Random 64-bit fingerprints lie 32 +- 4 bits from any vantage point: with a radius
+of 3 bits a median split would send 57 % of them to both sides. So the forest has
+a tree for each 32-bit half. Two fingerprints at most 3 bits apart are at most one
+bit apart on one half at least, and at radius 1 only those whose distance is
+exactly the cut lie on a boundary, about 14 %.
+
+A level of a tree has one vantage point for all its nodes and cuts at the median
+of all fingerprints' distances to it. By the triangle bound two codes one bit
+apart are at distances that differ by one at most; so both are inside, or both
+outside, or one is at the cut, and that one goes to both sides. Every link is
+thus within a leaf. The leaves are the shards; within one, a vantage-point tree on
+all 64 bits finds the pairs.
 """
 
 from __future__ import annotations
@@ -17,18 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, discard, materialize, table
 
 #: Fixed values of the fingerprint.
 SHINGLE, SEED, RADIUS = 3, 42, 3
-BLOCKS = 4
-#: Fingerprints of a shard beyond which it is cut into rings; width of a ring in bits; most levels of rings.
-LEAF, RING, MAX_LEVELS = 20_000, 4, 4
+HALF = 32
+#: Fingerprints that a leaf has on average, at most; levels a tree may have (there are no more vantage points as good).
+LEAF, MAX_LEVELS = 2000, 31
 #: Fingerprints compared directly at the bottom of a tree.
 BOTTOM = 256
 
@@ -138,31 +140,45 @@ def link(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return np.array([forest.root(i) for i in range(len(fps))], dtype=np.int64)
 
 
+def vantage_point(level: int) -> int:
+    """A row of the Hadamard matrix of order 32 as bits: any two are about 16 bits apart, so distances to them are independent of each other.
+
+    Rows have 16 bits; every second one gets another, as else all distances of a
+    code would be even, or all odd, and half of the codes lie on every boundary.
+    """
+    return sum(1 << i for i in range(HALF) if ((level + 1) & i).bit_count() % 2) | (level % 2)
+
+
+def _descend(codes: Column, step: Column) -> Column:
+    """Nodes a level further down: the inner child, the outer one, or both at the cut."""
+    inner, outer = F.transform(codes, lambda c: c * 2), F.transform(codes, lambda c: c * 2 + 1)
+    return F.when(step["at"] < step["cut"], inner).when(step["at"] > step["cut"], outer).otherwise(F.concat(inner, outer))
+
+
 def shards(fps: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """fps: distinct (fp). Rows (ball, ring, fp): each block's ball, or the rings of a large one.
+    """fps: distinct (fp). Rows (leaf, fp): the leaves of both trees that a fingerprint is in.
 
-    The vantage point of a large shard is its fingerprint of least hash, one a
-    shard. A shard takes as many levels of rings as it needs, MAX_LEVELS at most;
-    beyond them the leaf's own tree does the rest.
+    As many levels as bring leaves to `leaf` fingerprints on average. A level makes
+    1.14 times the rows of random fingerprints: 2 trees of 9 levels make 7 rows of
+    each (12 million fingerprints), of 20 levels 27 (2 thousand million). Cuts are
+    exact medians over all fingerprints, from one pass that keeps 33 counts a level.
     """
-    balls = F.array(*[(F.shiftrightunsigned("fp", 16 * b).bitwiseAND(F.lit(0xFFFF)) + F.lit(b << 16)).cast("int") for b in range(BLOCKS)])
-    rows = fps.select(F.explode(balls).alias("ball"), F.lit("").alias("ring"), "fp")
-    done = None
-    for _ in range(MAX_LEVELS):
-        sizes = rows.groupBy("ball", "ring").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("vantage"))
-        large = materialize(sizes.where(F.col("n") > leaf).drop("n"), "simhash-vantage")
-        if not large.take(1):
-            break
-        small = rows.join(large, ["ball", "ring"], "left_anti")
-        done = small if done is None else done.unionByName(small)
-        d = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))
-        first, last = F.greatest(F.floor((d - RADIUS) / RING), F.lit(0)), F.floor((d + RADIUS) / RING)
-        cut = rows.join(large, ["ball", "ring"]).select("ball", "ring", "fp", F.explode(F.sequence(first, last)).alias("k"))
-        rows = cut.select("ball", F.concat_ws("/", "ring", F.col("k").cast("string")).alias("ring"), "fp")
-    return rows if done is None else done.unionByName(rows)
+    n = fps.count()
+    levels = min(MAX_LEVELS, max(0, int(np.ceil(np.log2(max(n, 1) / leaf)))))
+    half = [F.col("fp").bitwiseAND(F.lit((1 << HALF) - 1)), F.shiftrightunsigned("fp", HALF)]
+    d = [[F.bit_count(x.bitwiseXOR(F.lit(vantage_point(j)).cast("long"))) for j in range(levels)] for x in half]
+    cuts = fps.agg(F.lit(0), *[F.percentile(d[t][j], F.lit(0.5)).cast("int") for t in range(2) for j in range(levels)]).first()[1:]
+    trees = []
+    for t in range(2):
+        steps = F.array(*[F.struct(d[t][j].cast("int").alias("at"), F.lit(cuts[t * levels + j]).alias("cut")) for j in range(levels)])
+        root = F.array(F.lit(1).cast("long"))  # a leading one, so that codes of any depth differ
+        codes = F.aggregate(steps, root, _descend) if levels else root
+        trees.append(F.transform(codes, lambda c: c * 2 + t))  # noqa: B023
+    return fps.select(F.explode(F.concat(*trees)).alias("leaf"), "fp")
 
 
-SMALL = 48
+#: Fingerprints of a shard up to which all its pairs are compared, the shards of a batch side by side; the links are the same.
+SMALL = 8
 
 
 def link_sorted(group: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -193,10 +209,8 @@ def edges(fps: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(t: pa.Table) -> pa.RecordBatch:
-            ball, fp = t.column("ball").to_numpy(), t.column("fp").to_numpy().view(U64)
-            ring = t.column("ring").combine_chunks().dictionary_encode()
-            ring = (ring if isinstance(ring, pa.DictionaryArray) else ring.combine_chunks()).indices.to_numpy()
-            turn = np.concatenate([[0], np.cumsum((ball[1:] != ball[:-1]) | (ring[1:] != ring[:-1]))])
+            leaf, fp = t.column("leaf").to_numpy(), t.column("fp").to_numpy().view(U64)
+            turn = np.concatenate([[0], np.cumsum(leaf[1:] != leaf[:-1])])
             a, b = (x.view(np.int64) for x in link_sorted(turn, fp))
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
 
@@ -207,8 +221,8 @@ def edges(fps: DataFrame) -> DataFrame:
             if held.num_rows < 50_000:
                 continue
             held = held.combine_chunks()
-            ball, ring = held.column("ball").to_numpy(), held.column("ring").combine_chunks()
-            other = np.flatnonzero((ball != ball[-1]) | (pa.compute.not_equal(ring, ring[-1]).to_numpy(zero_copy_only=False)))
+            leaf = held.column("leaf").to_numpy()
+            other = np.flatnonzero(leaf != leaf[-1])
             if len(other):
                 whole = int(other[-1]) + 1
                 yield linked(held.slice(0, whole))
@@ -216,7 +230,7 @@ def edges(fps: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield linked(held.combine_chunks())
 
-    sorted_ = shards(fps).repartition("ball", "ring").sortWithinPartitions("ball", "ring", "fp")
+    sorted_ = shards(fps).repartition("leaf").sortWithinPartitions("leaf", "fp")
     return sorted_.mapInArrow(run, "u long, v long").distinct()
 
 

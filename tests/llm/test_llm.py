@@ -85,26 +85,35 @@ def test_simhash_trees_lose_no_link(spark):
     want = brute_components(list(range(len(x))), [int(v) for v in x])
     assert simhash.link(x).tolist() == want
     frame = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
-    old, simhash.SMALL = simhash.SMALL, 8
-    try:
-        parts = simhash.shards(frame, leaf=100)
-        assert parts.select("ring").distinct().count() > 5
-        fps = {int(v): i for i, v in enumerate(x.view(np.int64))}
-        up = list(range(len(x)))
-
-        def root(i):
-            return i if up[i] == i else root(up[i])
-
-        groups = {}
-        for r in parts.collect():
-            groups.setdefault((r.ball, r.ring), []).append(fps[r.fp])
-        for g in groups.values():
-            for k, i in enumerate(simhash.link(x[sorted(g)]).tolist()):
-                a, b = root(sorted(g)[k]), root(sorted(g)[i])
-                up[max(a, b)] = min(a, b)
-        assert [root(i) for i in range(len(x))] == want
-    finally:
-        simhash.SMALL = old
+    parts = simhash.shards(frame, leaf=100)
+    assert parts.select("leaf").distinct().count() > 20
+    fps = {int(v): i for i, v in enumerate(x.view(np.int64))}
+    up = list(range(len(x)))
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    groups = {}
+    for r in parts.collect():
+        groups.setdefault(r.leaf, []).append(fps[r.fp])
+    for g in groups.values():
+        for k, i in enumerate(simhash.link(x[sorted(g)]).tolist()):
+            a, b = root(sorted(g)[k]), root(sorted(g)[i])
+            up[max(a, b)] = min(a, b)
+    assert [root(i) for i in range(len(x))] == want
+
+
+def test_simhash_leaves_of_random_codes_stay_few(spark):
+    x = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 40_000, dtype=np.int64)
+    parts = simhash.shards(spark.createDataFrame([(int(v),) for v in x], "fp long"), leaf=1000)  # six levels
+    assert parts.count() < 2 * 1.17**6 * len(x)
+    assert parts.groupBy("leaf").count().agg(F.max("count")).first()[0] < 4000
+
+
+def test_components_that_do_not_finish_are_an_error(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        simhash.components(links, max_rounds=2)
 
 
 def test_components_of_a_chain(spark):
