@@ -182,17 +182,41 @@ def test_bpe_equals_the_library(spark, docs, odd):
     theirs, enc = Tokenizer.from_file(path), bpe.encoder(path)
     rng = random.Random(1)
     letters = [*"aabcth eE'sd \n\t 12.,!éß　\xa0\x85\x1c\x00你😀", "<|endoftext|>", "  ", "the"]
-    texts = ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(3000)] + [r.text or "" for r in docs.union(docs).select("text").limit(100).collect()] + ["ab" * 9000, "a" * 12000]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(3000)] + [r.text or "" for r in docs.union(docs).select("text").limit(100).collect()] + ["ab" * 9000, "a" * 12000, "你😀" * 5000, " " * 5000, "word " * 40_000]
+    texts += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9000)), "".join(rng.choices("tehriaons", k=20_000))]
     for t in texts:
         ids = theirs.encode(t, add_special_tokens=False).ids
         blocks = list(enc.packed(t))
         assert np.frombuffer(b"".join(blocks), "<u4").tolist() == ids
-        assert "".join(bpe.decode(iter(blocks), enc.v)) == theirs.decode(ids, skip_special_tokens=False)
+        state = bpe.Decoder()
+        said = "".join(x for b in blocks for x in bpe.decode(b, enc.v, state)) + state.end()
+        assert said == theirs.decode(ids, skip_special_tokens=False)
     assert bpe.digest(odd, path).count() == 8 and bpe.encode(odd, path).count() == 8
+    assert bpe.digest(odd.limit(0), path).count() == 0
     state = bpe.Decoder()
     assert "".join(state.push(bytes([b])) for b in "aé你😀".encode() + b"\xff") + state.end() == "aé你😀�"
 
 
+def test_bpe_transducer_keeps_constant_state():
+    enc = bpe.encoder(bpe.tokenizer_path())
+    v, run = enc.v, bpe.Transducer(enc.v)
+    rng = random.Random(3)
+    stream = "".join(rng.choices("tehriaons", k=60_000)).encode()
+    most = 0
+    stable = run._stable
+
+    def seen(last, size, at):
+        nonlocal most
+        keep, out = stable(last, size, at)
+        most = max(most, at - keep)
+        return keep, out
+
+    run._stable = seen
+    out = [i for ids in run.run(stream[i : i + 512] for i in range(0, len(stream), 512)) for i in ids]
+    assert b"".join(v.text[i] for i in out) == stream
+    assert 0 < most <= v.lookahead  # undecided bytes after each look
+
+
 def test_mixing_reaches_its_targets(spark, odd):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 0), (None, 500)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.water_fill(sizes).collect()}
