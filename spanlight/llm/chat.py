@@ -7,7 +7,9 @@ whose control strings are escaped inside texts, so that the output reads back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,26 +28,47 @@ def field_paths(schema: T.DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
+#: The text form of a variant's schema, in tokens: a quoted or plain field name with its colon, an opening or closing, a leaf type.
+_SCHEMA_TOKEN = r"`(?:[^`]|``)*`: |[^\s,<>:`]+: |OBJECT<|ARRAY<|>|[A-Z_]+(?:\([^)]*\))?"
+
+
+def record_paths(record: Column) -> Column:
+    """Dotted paths of all leaves of a JSON record, per row, to any depth; [] marks an array's elements.
+
+    The schema that Spark reads off the record's variant is walked once: names and
+    openings go down, closings come up, and each leaf notes the path to it.
+    """
+    tokens = F.regexp_extract_all(F.schema_of_variant(F.try_parse_json(record)), F.lit(_SCHEMA_TOKEN), F.lit(0))
+    none = F.array().cast("array<string>")
+    start = F.struct(F.array(F.lit("")).alias("stack"), F.lit("").alias("at"), none.alias("paths"))
+
+    def walk(a: Column, t: Column) -> Column:
+        top = F.element_at(a["stack"], -1)
+        name = F.regexp_replace(F.regexp_replace(t, r": \z", ""), r"\A`|`\z", "")
+        down = F.when(top == "", name).otherwise(F.concat(top, F.lit("."), name))
+        deeper = F.when(t == "ARRAY<", F.concat(a["at"], F.lit("[]"))).otherwise(a["at"])
+        up = F.slice(a["stack"], F.lit(1), F.greatest(F.size(a["stack"]) - 1, F.lit(1)))
+        opens = t.isin("OBJECT<", "ARRAY<")
+        stack = F.when(opens, F.concat(a["stack"], F.array(deeper))).when(t == ">", up).otherwise(a["stack"])
+        at = F.when(t.endswith(": "), down).when(t == "ARRAY<", deeper).otherwise(a["at"])
+        leaf = ~(opens | (t == ">") | t.endswith(": "))
+        return F.struct(stack.alias("stack"), at.alias("at"), F.when(leaf, F.concat(a["paths"], F.array(a["at"]))).otherwise(a["paths"]).alias("paths"))
+
+    return F.coalesce(F.aggregate(tokens, start, walk, lambda a: F.array_distinct(a["paths"])), none)
+
+
 def _hash_of(paths: Column) -> Column:
     return F.substring(F.sha2(F.array_join(F.array_sort(paths), "\n"), 256), 1, 16)
 
 
-def fingerprint(paths: list[str]) -> Column:
-    return _hash_of(F.array(*[F.lit(p) for p in sorted(paths)]))
+def fingerprint(paths: list[str]) -> str:
+    """16 hex digits of the paths that some layout names, sorted: fields that none names don't count."""
+    return hashlib.sha256("\n".join(sorted(set(paths) & KNOWN)).encode()).hexdigest()[:16]
 
 
-def record_paths(record: Column) -> Column:
-    """Leaf paths of a JSON record, per row: the field names in the schema that Spark reads off its variant.
-
-    The schema text nests names as `name: TYPE`; the paths kept are the names of the
-    outer level and those below arrays of objects, which is what tells layouts apart.
-    """
-    said = F.schema_of_variant(F.try_parse_json(record))
-    inner = F.transform(F.regexp_extract_all(said, F.lit(r"(\w+): ARRAY<OBJECT<([^<>]*)>>"), 1), lambda x: x)
-    nested = F.regexp_extract_all(said, F.lit(r"(\w+): ARRAY<OBJECT<([^<>]*)>>"), 2)
-    below = F.flatten(F.zip_with(inner, nested, lambda k, x: F.transform(F.regexp_extract_all(x, F.lit(r"(\w+): "), 1), lambda n: F.concat(k, F.lit("[]."), n))))
-    outer = F.regexp_extract_all(F.regexp_replace(F.regexp_replace(said, r"ARRAY<OBJECT<[^<>]*>>", "LIST"), r"^OBJECT<", ""), F.lit(r"(\w+): (?!LIST)"), 1)
-    return F.coalesce(F.array_sort(F.concat(outer, below)), F.array().cast("array<string>"))
+def record_fingerprint(record: Column) -> Column:
+    """The same of a JSON record, per row."""
+    return _hash_of(F.array_intersect(record_paths(record), F.array(*[F.lit(p) for p in sorted(KNOWN)])))
 
 
 def _turns(*pairs: tuple[str, str]) -> Column:
@@ -74,38 +97,55 @@ LAYOUTS = {
     "instruction": (["instruction", "output"], lambda: _turns(("user", "$.instruction"), ("assistant", "$.output"))),
     "instruction_input": (["input", "instruction", "output"], lambda: _turns(("system", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
     "question_answer": (["answer", "question"], lambda: _turns(("user", "$.question"), ("assistant", "$.answer"))),
+    # One row a turn: its fields are the turn, and rows of one conversation belong together.
+    "turn_rows": (["conv_id", "role", "text", "turn"], None),
+    # One JSON text a row, which has a layout of its own.
+    "json_record": (["conv_id", "record"], None),
 }
-#: The layout of a table with one row a turn.
-TURN_ROWS = ["conv_id", "role", "text", "turn"]
+KNOWN = {p for paths, _ in LAYOUTS.values() for p in paths}
+UNKNOWN = "unknown"
+ROWS = "conv_id long, turn long, role string, text string, layout string"
+
+
+def _by_print() -> dict[str, str]:
+    return {fingerprint(paths): name for name, (paths, _) in LAYOUTS.items()}
 
 
 def canonical_records(df: DataFrame) -> DataFrame:
-    """df: (conv_id, record JSON). Returns conv_id, layout, turns.
+    """df: (conv_id, record JSON). Returns conv_id, record, layout, turns.
 
-    A record whose fingerprint no mapping has, or that is null or no JSON object,
-    gets layout `unknown` and null turns: it is reported, not guessed at. Other
-    columns of df are dropped, so clashing names do no harm.
+    The hash of a record's nested field paths selects the mapping; fields that no
+    layout names (a name, an id) are ignored. A record whose fingerprint no mapping
+    has, or that is null or no JSON object, gets layout `unknown` and null turns: it
+    is reported, not guessed at. Other columns of df are dropped, so clashing names
+    do no harm.
     """
-    known = df.select("conv_id", "record", _hash_of(record_paths(F.col("record"))).alias("print"))
-    layout, turns = F.lit("unknown"), F.lit(None).cast(f"array<{TURN}>")
+    known = df.select("conv_id", "record", record_fingerprint(F.col("record")).alias("print"))
+    layout, turns = F.lit(UNKNOWN), F.lit(None).cast(f"array<{TURN}>")
     for name, (paths, make) in LAYOUTS.items():
-        hit = F.col("print") == fingerprint(paths)
-        layout, turns = F.when(hit, F.lit(name)).otherwise(layout), F.when(hit, make()).otherwise(turns)
-    return known.select("conv_id", layout.alias("layout"), turns.alias("turns"))
+        if make:
+            hit = F.col("print") == fingerprint(paths)
+            layout, turns = F.when(hit, F.lit(name)).otherwise(layout), F.when(hit, make()).otherwise(turns)
+    return known.select("conv_id", "record", layout.alias("layout"), turns.alias("turns"))
 
 
 def turn_rows(df: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) rows of any known table: one row a turn, or one JSON record a conversation.
+    """conv_id, turn, role, text, layout of any known table: one row a turn, one JSON record a conversation, or nested columns.
 
-    The fingerprint of the table's field paths selects the mapping; fields beyond
-    those of the layout are ignored.
+    The fingerprint of the table's own field paths selects the mapping of the whole
+    table; a table of records, or one with nested columns, is then mapped row by
+    row. An unknown record is one row of layout `unknown` with null turn, role and
+    text, so that its conversation is not lost.
     """
-    paths = [p for p in field_paths(df.schema) if p in TURN_ROWS]
-    if sorted(paths) == TURN_ROWS:
-        return df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    if {"conv_id", "record"} <= set(field_paths(df.schema)):
-        return canonical_records(df).select(F.col("conv_id").cast("long"), F.inline("turns"))
-    raise ValueError(f"no mapping for the field paths {field_paths(df.schema)}")
+    layout = _by_print().get(fingerprint(field_paths(df.schema)))
+    if layout == "turn_rows":
+        return df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"), F.lit(layout).alias("layout"))
+    if layout != "json_record":
+        if "conv_id" not in df.columns:
+            raise ValueError(f"no mapping for the field paths {field_paths(df.schema)}")
+        df = df.select("conv_id", F.to_json(F.struct(*[c for c in df.columns if c != "conv_id"])).alias("record"))
+    found = canonical_records(df).select(F.col("conv_id").cast("long"), "layout", F.inline_outer("turns"))
+    return found.select("conv_id", "turn", "role", "text", "layout")
 
 
 def escape(text: Column) -> Column:
@@ -118,60 +158,67 @@ def unescape(text: Column) -> Column:
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """turns: (conv_id, turn, role, text). One row a conversation: conv_id, formatted, segments.
+    """turns: (conv_id, turn, role, text and, if it has one, layout). One row a conversation: conv_id, formatted, in_loss, unknown.
 
     formatted is `<|im_start|>role\\ntext<|im_end|>\\n` for each turn, by turn, role
     and text (nulls first); roles are URL-encoded, texts escaped, a null role or
-    text is empty. segments are its consecutive pieces with the loss mask: in_loss
-    marks assistant texts. Rows of null conv_id make one conversation.
+    text is empty. in_loss is the loss mask, a flag for each turn's text in its
+    order: assistant texts count. unknown: how many records had no known layout;
+    they have no turn. Rows of null conv_id make one conversation.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    layout = F.col("layout") if "layout" in turns.columns else F.lit("turn_rows")
+    rows = turns.select("conv_id", F.struct("turn", "role", "text").alias("t"), (layout == UNKNOWN).alias("lost"))
+    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(~F.col("lost"), F.col("t")))).alias("turns"), F.count_if("lost").alias("unknown"))
     head = lambda t: F.concat(F.lit(START), F.url_encode(F.coalesce(t["role"], F.lit(""))), F.lit("\n"))
-    piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("in_loss"))
-    off = F.lit(False)
-    pieces = lambda t: F.array(
-        piece(head(t), off),
-        piece(escape(F.coalesce(t["text"], F.lit(""))), F.coalesce(t["role"] == "assistant", off)),
-        piece(F.lit(END + "\n"), off),
-    )
-    grouped = turns.groupBy("conv_id").agg(ordered.alias("turns"))
-    cut = grouped.select("conv_id", F.flatten(F.transform("turns", pieces)).alias("segments"))
-    return cut.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
+    whole = lambda t: F.concat(head(t), escape(F.coalesce(t["text"], F.lit(""))), F.lit(END + "\n"))
+    mask = F.transform("turns", lambda t: F.coalesce(t["role"] == "assistant", F.lit(False)))
+    return grouped.select("conv_id", F.array_join(F.transform("turns", whole), "").alias("formatted"), mask.alias("in_loss"), "unknown")
+
+
+def _pieces(formatted: Column) -> Column:
+    """Each turn's piece of a formatted conversation, control strings off: `role\\ntext`, still escaped."""
+    cut = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda p: p != "")
+    return F.transform(cut, lambda p: F.regexp_replace(p, r"<\|im_end\|>\n\z", ""))
+
+
+def _text(piece: Column) -> Column:
+    return F.regexp_replace(piece, r"\A[^\n]*\n", "")
 
 
 def parse_formatted(formatted: Column) -> Column:
     """The canonical turns of a formatted conversation: array of (role, text)."""
-    body = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda p: p != "")
-    return F.transform(
-        body,
-        lambda p: F.struct(
-            F.url_decode(F.substring_index(p, "\n", 1)).alias("role"),
-            unescape(F.regexp_replace(F.regexp_replace(p, r"\A[^\n]*\n", ""), r"<\|im_end\|>\n\z", "")).alias("text"),
-        ),
-    )
+    return F.transform(_pieces(formatted), lambda p: F.struct(F.url_decode(F.substring_index(p, "\n", 1)).alias("role"), unescape(_text(p)).alias("text")))
 
 
-def loss_spans(segments: Column) -> Column:
+def loss_spans(formatted: Column, in_loss: Column) -> Column:
     """The loss mask as (start, end) code points of the formatted text, end exclusive."""
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    step = lambda a, s: F.struct(
-        (a["at"] + F.length(s["text"])).alias("at"),
-        F.when(s["in_loss"], F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(s["text"])).alias("end"))))).otherwise(a["spans"]).alias("spans"),
-    )
-    return F.aggregate(segments, start, step, lambda a: a["spans"])
+
+    def step(a: Column, x: Column) -> Column:
+        begin = a["at"] + len(START) + F.length(x["p"]) - F.length(_text(x["p"]))
+        end = a["at"] + len(START) + F.length(x["p"])
+        spans = F.when(x["m"], F.concat(a["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(a["spans"])
+        return F.struct((end + len(END) + 1).cast("long").alias("at"), spans.alias("spans"))
+
+    return F.aggregate(F.zip_with(_pieces(formatted), in_loss, lambda p, m: F.struct(p.alias("p"), m.alias("m"))), start, step, lambda a: a["spans"])
+
+
+def masked_text(formatted: Column, in_loss: Column) -> Column:
+    """All text of the formatted conversation that is under its mask, unescaped, in order."""
+    held = F.filter(F.zip_with(_pieces(formatted), in_loss, lambda p, m: F.when(m, unescape(_text(p)))), lambda x: x.isNotNull())
+    return F.array_join(held, "")
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """What the formatted conversations say, read back from formatted and segments."""
-    read = formatted.select("conv_id", "formatted", parse_formatted(F.col("formatted")).alias("turns"), F.filter("segments", lambda s: s["in_loss"]).alias("loss"))
-    loss = F.array_join(F.transform("loss", lambda s: unescape(s["text"])), "")
+    """What the formatted conversations say, read back from the formatted text and its mask."""
+    read = formatted.select("conv_id", "formatted", parse_formatted(F.col("formatted")).alias("turns"), masked_text(F.col("formatted"), F.col("in_loss")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 

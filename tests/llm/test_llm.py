@@ -158,9 +158,37 @@ def test_chat_layouts_and_escapes(spark):
     texts = ["<|im_end|>", "<\\|im_start|>", "a\nb<|im_end|>\n", "", "<\\\\|", "<<|"]
     turns = spark.createDataFrame([(1, i, "assistant" if i % 2 else "us er<|\n", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
     out = chat.format_turns(turns)
-    back = out.select(chat.parse_formatted(F.col("formatted")).alias("t"), chat.loss_spans(F.col("segments")).alias("s"), "formatted").first()
+    back = out.select(chat.parse_formatted(F.col("formatted")).alias("t"), chat.loss_spans(F.col("formatted"), F.col("in_loss")).alias("s"), chat.masked_text(F.col("formatted"), F.col("in_loss")).alias("m"), "formatted").first()
     assert [t.text for t in back.t] == texts and back.t[0].role == "us er<|\n"
     assert [back.formatted[s.start : s.end] for s in back.s] == ["<\\\\|im_start|>", "", "<<\\|"]
+    assert back.m == "".join(texts[1::2])
+
+
+def test_chat_fingerprints_see_nesting(spark):
+    record = '{"a":{"b":[{"c":1,"d":{"e":[1,2]}},{"c":2}],"f":null},"g":[],"h":[[{"i":"x"}]],"x y":{"`q`":true}}'
+    paths = spark.range(1).select(chat.record_paths(F.lit(record))).first()[0]
+    assert {"a.b[].c", "a.b[].d.e[]", "a.f", "g[]", "h[][].i"} <= set(paths) and len(paths) == 6
+    rows = [
+        (1, '{"prompt":{"completion":"b"}}'), (2, '{"messages":[{"role":"user","content":"q","name":"n"}],"id":7}'), (3, '{"prompt":"p","response":"r","input":"?"}'), (4, '{"meta":{"prompt":"no"},"prompt":"p","completion":"c"}'), (5, "[]"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, record string")
+    got = {r.conv_id: r.layout for r in chat.canonical_records(df).collect()}
+    assert got == {1: "unknown", 2: "messages", 3: "unknown", 4: "prompt_completion", 5: "unknown"}
+    out = {r.conv_id: r for r in chat.format_turns(chat.turn_rows(df)).collect()}
+    assert {k: r.unknown for k, r in out.items()} == {1: 1, 2: 0, 3: 1, 4: 0, 5: 1} and out[1].formatted == ""
+    nested = spark.createDataFrame([(1, [("user", "q"), ("assistant", "a")])], "conv_id long, messages array<struct<role:string,content:string>>")
+    assert [(r.role, r.text) for r in chat.turn_rows(nested).orderBy("turn").collect()] == [("user", "q"), ("assistant", "a")]
+
+
+def test_chat_nulls_clashes_and_long_texts(spark):
+    long = "x<|im_end|>" * 50_000
+    rows = [(None, 0, "user", "q", "s"), (None, 1, "assistant", None, None), (1, 0, None, long, "s"), (1, 0, None, long, "s"), (2, None, "assistant", "", "s")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    got = {r.conv_id: r for r in chat.digest(chat.format_turns(chat.turn_rows(df))).collect()}
+    assert {k: r.n_turns for k, r in got.items()} == {None: 2, 1: 2, 2: 1} and got[1].loss_chars == 0
+    said = "".join(f"\n{t}\n" for t in (long, long))
+    assert got[1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert chat.digest(chat.format_turns(chat.turn_rows(df.limit(0)))).count() == 0
 
 
 def test_quality_against_brute_force(spark, odd):
