@@ -10,13 +10,15 @@ automata against that under an automaton of ordinary long tokens.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -40,6 +42,8 @@ END = ""
 
 #: The bounded samples the automata are fitted on: distinct labelled credentials a kind, distinct ordinary tokens.
 MAX_LABELLED, MAX_ORDINARY = 500, 3000
+#: Longer strings aren't learnt from; seed of the sample's hash.
+LONGEST, SEED = 256, 7
 #: Hoeffding confidence of the merge test, least labelled strings for an automaton, least bits a character over the ordinary automaton.
 ALPHA, MIN_LABELLED, MIN_BITS = 0.05, 20, 3.0
 
@@ -107,7 +111,7 @@ def _differ(f1: int, n1: int, f2: int, n2: int, bound: float) -> bool:
 def infer(words: list[str], alpha: float = ALPHA) -> Automaton:
     """Merges compatible states of the prefix tree of words, in breadth-first order of the tree."""
     bound = math.sqrt(0.5 * math.log(2 / alpha))
-    count, ends, kids = [0], [0], [{}]
+    count, ends, kids = [0], [0], [{}]  # of a state: arrivals, words that end there, next states
     for w in words:
         at = 0
         count[0] += 1
@@ -122,6 +126,9 @@ def infer(words: list[str], alpha: float = ALPHA) -> Automaton:
             count[at] += 1
         ends[at] += 1
 
+    # How often each transition is taken. Once states are shared, a next state's arrivals come from several of them.
+    flow = [{c: count[k] for c, k in kid.items()} for kid in kids]
+
     def alike(a: int, b: int) -> bool:
         stack, seen = [(a, b)], set()
         while stack:
@@ -135,16 +142,12 @@ def infer(words: list[str], alpha: float = ALPHA) -> Automaton:
             if _differ(ends[x], n, ends[y], m, bound):
                 return False
             for c in kids[x].keys() | kids[y].keys():
-                u, v = kids[x].get(c), kids[y].get(c)
-                if _differ(count[u] if u is not None else 0, n, count[v] if v is not None else 0, m, bound):
+                if _differ(flow[x].get(c, 0), n, flow[y].get(c, 0), m, bound):
                     return False
-                if u is not None and v is not None:
-                    stack.append((u, v))
+                if c in kids[x] and c in kids[y]:
+                    stack.append((kids[x][c], kids[y][c]))
         return True
 
-    # Transition counts are kept apart from state counts once states are shared.
-    flow = [{c: count[k] for c, k in kid.items()} for kid in kids]
-
     def fold(red: int, blue: int) -> None:
         """Adds the tree below blue to red."""
         stack = [(red, blue)]
@@ -199,41 +202,77 @@ class Model:
         return (max(a.bits(word) for a in self.kinds.values()) - self.ordinary.bits(word)) / len(word)
 
 
-def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-            kinds: list[str] = []
-            words: list[str] = []
-            for text in part.column(0).to_pylist():
-                if not text:
-                    continue
-                base = base_spans(text)
-                for s, _, kind, e in base:
-                    kinds.append(kind)
-                    words.append(_SCAN["assign"].match(text, s)[2] if kind == "assign" else text[s:e])
-                for s, e in candidates(text, base):
-                    kinds.append("")
-                    words.append(text[s:e])
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.string()), "word": pa.array(words, pa.string())})
+class Least:
+    """The n distinct words of least hash, whatever is added."""
 
+    def __init__(self, n: int) -> None:
+        self.n, self.held, self.heap = n, set(), []
+
+    def add(self, word: str) -> None:
+        if self.n <= 0 or len(word) > LONGEST:
+            return
+        h = xxhash.xxh64_intdigest(word.encode(), SEED) >> 1
+        if len(self.heap) >= self.n and (-h, word) <= self.heap[0]:
+            return
+        if word not in self.held:
+            self.held.add(word)
+            heapq.heappush(self.heap, (-h, word))
+            if len(self.heap) > self.n:
+                self.held.discard(heapq.heappop(self.heap)[1])
 
-def learn(docs: DataFrame, max_labelled: int = MAX_LABELLED, max_ordinary: int = MAX_ORDINARY) -> Model:
-    """Fits the automata on bounded samples: the distinct values of least hash, per kind.
 
-    Values come from all documents; only the samples reach the driver. Strings over
-    256 characters aren't learnt from. A kind with under MIN_LABELLED values gets no
-    automaton; without any, or without ordinary tokens, nothing is added later.
+def _values(limits: dict[str, int]):
+    """A task's sample: of each kind the distinct values of least hash, limits[kind] at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = {kind: Least(n) for kind, n in limits.items()}
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                for text in part.column(0).to_pylist():
+                    if not text:
+                        continue
+                    base = base_spans(text)
+                    for s, _, kind, e in base:
+                        least[kind].add(_SCAN["assign"].match(text, s)[2] if kind == "assign" else text[s:e])
+                    for s, e in candidates(text, base):
+                        least[""].add(text[s:e])
+        rows = [(kind, -h, word) for kind, x in least.items() for h, word in x.heap]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.string()))], ["kind", "h", "word"])
+
+    return run
+
+
+def samples(docs: DataFrame, limits: dict[str, int]) -> dict[str, list[str]]:
+    """kind -> the limits[kind] distinct values of least hash over all documents ("" for ordinary tokens).
+
+    A task sends its own least values, which hold all of the whole sample that it
+    has; they are ranked within salted parts of a kind, then within the kind. Only
+    the samples reach the driver.
     """
-    found = docs.select(F.col("text").cast("string")).mapInArrow(_values, "kind string, word string")
-    found = found.where(F.length("word") <= 256).select("kind", "word", F.xxhash64("word").alias("h")).distinct().cache()
+    found = docs.select(F.col("text").cast("string")).mapInArrow(_values(limits), "kind string, h long, word string").distinct()
+    limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("kind")]
+
+    def first(rows: DataFrame, *keys) -> DataFrame:
+        turn = F.row_number().over(Window.partitionBy("kind", *keys).orderBy("h", "word"))
+        return rows.withColumn("turn", turn).where((F.col("turn") <= max(limits.values())) & (F.col("turn") <= limit)).drop("turn")
+
+    rows = first(first(found, F.pmod(F.xxhash64("word"), F.lit(32))))
+    out: dict[str, list[str]] = {kind: [] for kind in limits}
+    for r in sorted(rows.collect(), key=lambda r: (r["h"], r["word"])):
+        out[r["kind"]].append(r["word"])
+    return out
 
-    def sample(kind: str, n: int) -> list[str]:
-        return [r[0] for r in found.where(F.col("kind") == kind).orderBy("h", "word").limit(n).select("word").collect()]
 
-    labelled = {kind: sample(kind, max_labelled) for kind in KINDS}
-    ordinary = sample("", max_ordinary)
-    found.unpersist()
-    return Model({k: infer(v) for k, v in labelled.items() if len(v) >= MIN_LABELLED}, infer(ordinary) if len(ordinary) >= MIN_LABELLED else None)
+def learn(docs: DataFrame, max_labelled: int = MAX_LABELLED, max_ordinary: int = MAX_ORDINARY) -> Model:
+    """Fits the automata on bounded samples of values (see `samples`), drawn from all documents.
+
+    Strings over LONGEST characters aren't learnt from. A kind with under
+    MIN_LABELLED values gets no automaton; without any, or without ordinary tokens,
+    nothing is added later.
+    """
+    got = samples(docs, {**dict.fromkeys(KINDS, max_labelled), "": max_ordinary})
+    ordinary = got.pop("")
+    return Model({k: infer(v) for k, v in got.items() if len(v) >= MIN_LABELLED}, infer(ordinary) if len(ordinary) >= MIN_LABELLED else None)
 
 
 def spans_of(text: str, model: Model, min_bits: float = MIN_BITS) -> list[tuple[int, int, str, int]]:

@@ -289,6 +289,48 @@ def test_secret_base_and_grammar(spark, odd):
     assert {r.doc_id: r.text for r in secrets.redact(odd, model).collect()}[3] == "one two"
 
 
+def test_secret_automata_against_counts():
+    import math
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abc", [5, 3, 1], k=rng.randint(1, 9))) for _ in range(400)]
+    one = secrets.infer(words, alpha=1e-300)  # everything is compatible: one state, plain frequencies
+    n = {c: sum(w.count(c) for w in words) for c in "abc"} | {"": len(words)}
+    total = sum(n.values()) + 0.5 * 5
+    p = lambda c: math.log2((n[c] + 0.5) / total)
+    assert len(one.states) == 1 and one.bits("abca") == pytest.approx(p("a") * 2 + p("b") + p("c") + p(""))
+    # Letters and digits in turn, an end after a digit only: the start, after a letter, after a digit.
+    often = lambda: 1 + next(n for n in range(99) if rng.random() < 0.3)
+    pairs = ["".join(rng.choice("xyz") + rng.choice("12") for _ in range(often())) for _ in range(2000)]
+    two = secrets.infer(pairs, alpha=1e-5)
+    assert len(two.states) == 3
+    assert two.bits("x1y2") > two.bits("xy12") + 10 and two.bits("x1") > two.bits("x") + 5
+
+
+def test_secret_sample_is_the_least_of_all(spark):
+    import xxhash
+
+    words = [f"{i:x}".rjust(20, "a") for i in range(3000)]
+    df = spark.createDataFrame([(i, f"{w} and {w} Zz{w}") for i, w in enumerate(words)], "doc_id long, text string").repartition(7)
+    got = secrets.samples(df, {"assign": 5, "access": 5, "hex": 40, "": 9})
+    h = lambda w: (xxhash.xxh64_intdigest(w.encode(), secrets.SEED) >> 1, w)
+    assert got["hex"] == sorted(set(words), key=h)[:40] and got["assign"] == [] and len(got[""]) == 0
+
+
+def test_secret_scan_on_held_out_values(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = secrets.samples(docs, {"assign": 400, "access": 0, "hex": 400, "": 2000})
+    half = lambda k: (got[k][::2], [w for w in got[k][1::2] if len(w) >= 16])
+    model = secrets.Model({k: secrets.infer(half(k)[0]) for k in ("assign", "hex")}, secrets.infer(half("")[0]))
+    caught = lambda ws: sum(model.score(w) >= secrets.MIN_BITS for w in ws) / len(ws)
+    assert caught(half("hex")[1]) > 0.95 and caught(half("assign")[1]) > 0.9 and caught(half("")[1]) < 0.01
+
+
+def test_secret_scan_of_an_empty_table(spark, odd):
+    none = odd.limit(0)
+    assert secrets.scan(none, secrets.learn(none)).count() == 0
+
+
 def test_nn_descent_recall(spark):
     e = spark.read.parquet(f"{DATA}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     bad = spark.createDataFrame([(-50, None), (-100, [0.0] * 64), (-150, [float("nan")] * 64), (-200, [None] * 64)], "id long, vector array<float>")
