@@ -2,13 +2,18 @@
 
 An ARC file is a version block and records of one header line and as many bytes
 as that line declares; the line's fields depend on the version. The converter
-gives each record what WARC asks for and ARC lacks: an identifier, a type, an
-ISO timestamp and payload digests. Equal payloads become revisits of the first.
+gives each record what WARC asks for and ARC lacks: an identifier made from the
+archive's name, the record's place in it and its payload's digest, a type, an ISO
+timestamp and digests. Equal payloads become revisits of the first.
+
+Archives are files of about ARCHIVE_BYTES on shared storage, of many records each;
+WARC files have a gzip member for each record.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import HEAVY, attach, materialize, new_path, table
 
 #: Fields of a record's header line by ARC version (fixed values).
 FIELDS = {
@@ -31,7 +36,12 @@ CRLF = b"\r\n"
 DATE = "20240101000000"
 #: Payloads under so many bytes are all written whole. Equal ones from here on are revisits.
 MIN_REVISIT_BYTES = 0
+#: A header that a crawl may have written into its responses: the source's integer key of a record.
 SOURCE_ID = "X-Source-Id"
+#: An archive is closed once it has so many bytes.
+ARCHIVE_BYTES = 32 << 20
+#: Records of a legacy archive at most.
+ARCHIVE_RECORDS = 5000
 
 
 @dataclass
@@ -102,18 +112,12 @@ def sha1_32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(key: int | None) -> str:
-    """An identifier made from the source's integer id, which can be read back: a version 8 UUID."""
-    n = (key if key is not None else 0) & 0xFFFFFFFFFFFFFFFF
-    h = f"{n:016x}{'1' if key is not None else '0'}"
-    # 48 bits of the id, version 8, its next 12 bits, variant, its last 4 bits, whether there is one
-    return f"<urn:uuid:{h[:8]}-{h[8:12]}-8{h[12:15]}-8{h[15]}0{h[16]}-5350414e4c49>"
-
-
-def id_of(uri: str) -> int | None:
-    h = uri.removeprefix("<urn:uuid:")
-    n = int(h[:8] + h[9:13] + h[15:18] + h[20], 16)
-    return None if h[22] == "0" else n - (1 << 64) if n >= 1 << 63 else n
+def record_id(source: str, offset: int, digest: str) -> str:
+    """An identifier of a record by its archive, place and payload: the same whenever the archive is converted (a version 8 UUID)."""
+    h = bytearray(hashlib.sha256(f"{source}\n{offset}\n{digest}".encode()).digest()[:16])
+    h[6], h[8] = h[6] & 0x0F | 0x80, h[8] & 0x3F | 0x80
+    x = h.hex()
+    return f"<urn:uuid:{x[:8]}-{x[8:12]}-{x[12:16]}-{x[16:20]}-{x[20:]}>"
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -136,13 +140,13 @@ def iso(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:]}Z"
 
 
-def warc_record(key: int | None, url: str, ip: str, date: str, http: bytes, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One record without the two line ends that follow it. A revisit keeps the HTTP header lines and omits the payload."""
-    block = http if revisit else http + payload
+def warc_record(id_: str, url: str, ip: str, date: str, http: bytes, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+    """One record with the two line ends that follow it. With refers_to it is a revisit: the HTTP header lines stay and the payload goes."""
+    block = http + payload if refers_to is None else http
     lines = [
         "WARC/1.0",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(key)}",
+        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
+        f"WARC-Record-ID: {id_}",
         f"WARC-Date: {iso(date)}",
         f"WARC-Target-URI: {url}",
         f"WARC-IP-Address: {ip}",
@@ -151,9 +155,15 @@ def warc_record(key: int | None, url: str, ip: str, date: str, http: bytes, payl
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
-    if revisit:
-        lines[2:2] = ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
+    if refers_to is not None:
+        lines[2:2] = ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {refers_to}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + CRLF + CRLF
+
+
+def warc_info(id_: str) -> bytes:
+    """The record that begins a WARC file."""
+    body = b"software: spanlight\r\nformat: WARC File Format 1.0\r\n"
+    return f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {id_}\r\nWARC-Date: {iso(DATE)}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + CRLF + CRLF
 
 
 class WarcReader:
@@ -182,55 +192,94 @@ class WarcReader:
         self.held = self.held[at:]
 
 
-CONVERTED = "key long, url string, ip string, date string, http binary, payload binary, digest string, n long"
+CONVERTED = "id string, key long, url string, ip string, date string, http binary, payload binary, digest string, n long"
+_KINDS = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
 
 
-def from_arc(files: DataFrame) -> DataFrame:
-    """files: (arc binary), whole ARC files. One row a record: what a WARC record of it needs."""
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[kind]) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+
+
+def write_archives(archives: DataFrame, path: str, last: str) -> None:
+    """archives: (value binary), a whole archive a row, without its last byte, which is `last`. Each row becomes a file of its own."""
+    archives.select(F.col("value").cast("string")).write.option("lineSep", last).option("maxRecordsPerFile", 1).text(path)
+
+
+def from_arc(spark, path: str) -> DataFrame:
+    """One row a record of the ARC files in a folder: what a WARC record of it needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in CONVERTED.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.string(), pa.int64()]
         for batch in batches:
-            for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                out: list[list] = [[] for _ in names]
-                for data in part.column(0).to_pylist():
-                    for r in parse_arc(data or b""):
-                        http, payload = split_http(r.block)
-                        key = header(http, SOURCE_ID)
-                        for column, x in zip(out, (int(key) if key else None, r.url, r.ip, r.date, http, payload, sha1_32(payload), len(payload)), strict=True):
-                            column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
-
+            for name, data in zip(*batch.columns, strict=True):
+                source, rows = name.as_py().rsplit("/", 1)[-1], []
+                for r in parse_arc(data.as_py()):
+                    http, payload = split_http(r.block)
+                    key, digest = header(http, SOURCE_ID), sha1_32(payload)
+                    rows.append((record_id(source, r.offset, digest), int(key) if key and re.fullmatch(r"-?\d{1,18}", key) else None, r.url, r.ip, r.date, http, payload, digest, len(payload)))
+                    if len(rows) == 128:
+                        yield _batch(CONVERTED, rows)
+                        rows = []
+                if rows:
+                    yield _batch(CONVERTED, rows)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, CONVERTED)
 
 
 def with_revisits(records: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Adds first (the least key of all records with that payload) and revisit.
+    """Adds refers_to: the id of the first record with that payload (least key, null keys last, then least id), or null for a response.
 
-    Records of one key and one payload are the same capture: all of them are
-    responses if that key is the least. A null key counts as greater than others.
+    Records of the first one's key are the same capture, and responses too. What
+    decides is computed from keys, ids and digests; a payload that very many
+    records share meets its first one by broadcast, so no task gets all of them.
     """
-    first = records.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("same")).where("same > 1").drop("same")
-    revisit = F.col("first").isNotNull() & (F.col("n") >= min_bytes) & ~F.col("key").eqNullSafe(F.col("first"))
-    return records.join(first, "digest", "left").withColumn("revisit", revisit)
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "id")
+    same = records.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("deg")).where("deg > 1")
+    same = materialize(same, "warc-first")
+    n = same.agg(F.coalesce(F.sum("deg"), F.lit(0)).alias("n")).first()["n"]
+    often = F.broadcast(same.where(F.col("deg") > n / HEAVY).select("digest", F.col("first").alias("often")))
+    rest = same.where(F.col("deg") <= n / HEAVY).select(F.col("digest").alias("meets"), F.col("first").alias("seldom"))
+    # A record that has its first one already meets nothing: its own id spreads it.
+    met = records.join(often, "digest", "left").withColumn("meets", F.when(F.col("often").isNull(), F.col("digest")).otherwise(F.col("id"))).join(rest, "meets", "left")
+    met = met.withColumn("first", F.coalesce("often", "seldom")).drop("meets", "often", "seldom")
+    revisit = F.col("first").isNotNull() & (F.col("n") >= min_bytes) & (F.col("id") != F.col("first.id")) & ~F.coalesce(F.col("key") == F.col("first.key"), F.lit(False))
+    return met.withColumn("refers_to", F.when(revisit, F.col("first.id"))).drop("first")
+
+
+def _members(record: bytes) -> bytes:
+    """A gzip member whose last byte is 0, the high byte of its size; a record of 2^24 bytes or more ends in a second, short one."""
+    if len(record) < 1 << 24:
+        return gzip.compress(record, 6, mtime=0)
+    return gzip.compress(record[:-4], 6, mtime=0) + gzip.compress(record[-4:], 6, mtime=0)
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Writes gzipped WARC files: a task's records follow each other, each with the two line ends that WARC asks for."""
+    """Writes WARC files of about ARCHIVE_BYTES, a gzip member a record, a warcinfo record first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
             for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                made = [warc_record(r["key"], r["url"], r["ip"], r["date"], r["http"], r["payload"], r["digest"], r["first"], r["revisit"]) for r in part.to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
+                for r in part.to_pylist():
+                    if not parts:
+                        parts.append(_members(warc_info(record_id("warcinfo", 0, r["id"]))))
+                    parts.append(_members(warc_record(r["id"], r["url"], r["ip"], r["date"], r["http"], r["payload"], r["digest"], r["refers_to"])))
+                    size += len(parts[-1])
+                    if size >= ARCHIVE_BYTES:
+                        yield _batch("value binary", [(b"".join(parts)[:-1],)])
+                        parts, size = [], 0
+        if parts:
+            yield _batch("value binary", [(b"".join(parts)[:-1],)])
+
+    write_archives(records.mapInArrow(run, "value binary"), path, "\0")
+
 
-    made = records.mapInArrow(run, "value binary")
-    made.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+READ = "id string, key long, payload_bytes long, payload_digest string, record_type string, refers string"
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """One row a record of the WARC files in a folder, digests checked where the payload is there."""
+    """One row a response or revisit of the WARC files in a folder, digests checked where the payload is there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,63 +287,80 @@ def read_warc(spark, path: str) -> DataFrame:
                 raw = memoryview(data.as_buffer())
                 reader, unzip = WarcReader(), zlib.decompressobj(31)
                 out: list[tuple] = []
-                for at in range(0, len(raw), 1 << 20):
-                    piece = raw[at : at + (1 << 20)]
+                for at in range(0, len(raw), 1 << 16):
+                    piece = raw[at : at + (1 << 16)]
                     while len(piece):
-                        for head, block in reader.push(unzip.decompress(piece)):
-                            out.append(_read(head, block))
+                        out += [_read(head, block) for head, block in reader.push(unzip.decompress(piece)) if header(head, "WARC-Type") != "warcinfo"]
                         piece = unzip.unused_data
                         if unzip.eof:
                             unzip = zlib.decompressobj(31)
+                    if len(out) >= 1024:
+                        yield _batch(READ, out)
+                        out = []
                 if reader.held.strip():
                     raise ValueError("a WARC file ends within a record")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in out], k) for i, k in enumerate([pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()])],
-                    ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
-                )
+                yield _batch(READ, out)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(run, READ)
 
 
 def _read(head: bytes, block: bytes) -> tuple:
     http, payload = split_http(block)
     kind, digest = header(head, "WARC-Type"), (header(head, "WARC-Payload-Digest") or "").removeprefix("sha1:")
-    refers = header(head, "WARC-Refers-To")
+    key = header(http, SOURCE_ID)
     if kind == "response":
         if sha1_32(payload) != digest:
             raise ValueError("a payload differs from its digest")
         n = len(payload)
     else:
         n = int(header(http, "Content-Length") or 0)
-    return id_of(header(head, "WARC-Record-ID") or ""), n, digest, kind, id_of(refers) if refers else None
+    return header(head, "WARC-Record-ID"), int(key) if key else None, n, digest, kind, header(head, "WARC-Refers-To")
 
 
-def pages_as_arc(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) -> (arc binary): a legacy file of one HTTP response a page, in turn of version 1 and 2."""
+def write_arc(pages: DataFrame, path: str) -> None:
+    """(page_id, url, html) -> legacy ARC files of many HTTP responses, of version 1 and 2 in turn.
+
+    A null html has an empty payload, a null url the target urn:unknown; a null
+    page_id no source header.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, version = [], 0, 1
         for batch in batches:
             for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                made = []
                 for key, url, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     payload = (html or "").encode("utf-8")
                     own = f"{SOURCE_ID}: {key}\r\n" if key is not None else ""
                     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n".encode()
-                    made.append(arc_file([(url or "", "text/html", http + payload)], 1 + (key or 0) % 2))
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["arc"])
+                    held.append((url or "", "text/html", http + payload))
+                    size += len(payload)
+                    if size >= ARCHIVE_BYTES or len(held) >= ARCHIVE_RECORDS:
+                        yield _batch("value binary", [(arc_file(held, version)[:-1],)])
+                        held, size, version = [], 0, 3 - version
+        if held:
+            yield _batch("value binary", [(arc_file(held, version)[:-1],)])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "arc binary")
+    made = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "value binary")
+    write_archives(made, path, "\n")
 
 
-def op3_warc(spark, sf_dir: str) -> DataFrame:
-    """Legacy archives of all pages, converted, written as WARC and read back.
+def refers_to_keys(read: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to: the key of the record that a revisit names."""
+    named = read.where("refers IS NOT NULL").groupBy(F.col("refers").alias("id")).agg(F.count("*").alias("deg"))
+    keys = materialize(read.where("record_type = 'response'").select("id", F.col("key").alias("refers_to")).join(named, "id").withColumnRenamed("id", "refers"), "warc-named")
+    columns = [F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    whole = read.where("refers IS NULL").withColumn("refers_to", F.lit(None).cast("long")).select(*columns)
+    revisits = read.where("refers IS NOT NULL")
+    return whole.unionByName(attach(revisits, "refers", keys, revisits.count()).select(*columns))
 
-    A null html has an empty payload, a null url the target urn:unknown.
-    """
-    path = new_path(spark, "warc")
-    write_warc(with_revisits(from_arc(pages_as_arc(table(spark, sf_dir, "pages")))), path)
-    return read_warc(spark, path)
+
+def op3_warc(spark, sf_dir: str) -> DataFrame:
+    """Legacy archives of all pages on shared storage, converted, written as WARC and read back."""
+    legacy, path = new_path(spark, "arc"), new_path(spark, "warc")
+    write_arc(table(spark, sf_dir, "pages"), legacy)
+    write_warc(with_revisits(from_arc(spark, legacy)), path)
+    return refers_to_keys(materialize(read_warc(spark, path), "warc-read"))
 
 
 OP3_SQL = r"""

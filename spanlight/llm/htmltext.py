@@ -124,6 +124,86 @@ def parse(html: str) -> Node:
     return root
 
 
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_COMPOUND = re.compile(r"(\*|[A-Za-z][\w-]*)?((?:[.#][\w-]+)*)\Z")
+_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*(?!none)\w|visibility\s*:\s*visible)", re.IGNORECASE)
+
+
+class Styles:
+    """What the page's style elements hide, by simple selectors: a tag, classes and an id, or several with commas.
+
+    Selectors with combinators, attributes or pseudo-classes are left alone, as are
+    rules for other media. The more specific rule decides, then the later one.
+    """
+
+    def __init__(self, root: Node) -> None:
+        self.rules: list[tuple[tuple[int, int, int], str, frozenset, str | None, bool]] = []
+        for css in _style_texts(root):
+            css = _plain_rules(re.sub(r"/\*.*?(?:\*/|\Z)", "", css, flags=re.DOTALL))
+            for m in _RULE.finditer(css):
+                hides = bool(_INVISIBLE.search(m[2]))
+                if hides or _SHOWN.search(m[2]):
+                    for one in m[1].split(","):
+                        if c := _COMPOUND.match(one.strip()) if one.strip() else None:
+                            ids = re.findall(r"#([\w-]+)", c[2])
+                            classes = frozenset(re.findall(r"\.([\w-]+)", c[2]))
+                            tag = (c[1] or "*").lower()
+                            if len(ids) < 2:
+                                self.rules.append(((len(ids), len(classes), tag != "*"), tag, classes, ids[0] if ids else None, hides))
+
+    def hides(self, node: Node) -> bool:
+        best, hidden = (-1, 0, 0), False
+        own = frozenset(node.attrs.get("class", "").split()) if "class" in node.attrs else frozenset()
+        for weight, tag, classes, id_, hides in self.rules:
+            if weight >= best and tag in ("*", node.tag) and classes <= own and (id_ is None or node.attrs.get("id") == id_):
+                best, hidden = weight, hides
+        return hidden
+
+
+def _style_texts(root: Node) -> Iterator[str]:
+    """Contents of all style elements; text that stands in noscript or template doesn't count."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == "style" and node.attrs.get("media", "all").strip().lower() in ("", "all", "screen"):
+            yield "".join(k for k in node.kids if isinstance(k, str))
+        stack.extend(k for k in reversed(node.kids) if isinstance(k, Node) and k.tag not in ("template", "noscript"))
+
+
+def _plain_rules(css: str) -> str:
+    """The rules outside any at-rule's block."""
+    out, depth, skip, at = [], 0, False, 0
+    for m in re.finditer(r"[{}]", css):
+        if m[0] == "{":
+            if depth == 0:
+                start = css.rfind(";", at, m.start()) + 1 or at
+                skip = css[start : m.start()].strip().startswith("@")
+            depth += 1
+        elif depth:
+            depth -= 1
+            if depth == 0:
+                if not skip:
+                    out.append(css[start : m.end()])
+                at = m.end()
+    return "".join(out)
+
+
+def hide_by_style(root: Node) -> None:
+    """Marks what the page's own style rules hide; an element's style attribute has the last word."""
+    styles = Styles(root)
+    if not styles.rules:
+        return
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        for kid in node.kids:
+            if isinstance(kid, Node):
+                if styles.hides(kid) and not ("style" in kid.attrs and _SHOWN.search(kid.attrs["style"])):
+                    kid.attrs["hidden"] = ""
+                else:
+                    stack.append(kid)
+
+
 def visible(node: Node) -> bool:
     a = node.attrs
     return node.tag not in HIDDEN and "hidden" not in a and not (node.tag == "input" and a.get("type", "").lower() == "hidden") and not ("style" in a and _INVISIBLE.search(a["style"])) and not (node.tag == "dialog" and "open" not in a)
@@ -325,32 +405,54 @@ def table_lines(node: Node) -> list[str]:
     holder.kids = stray(node)
     render(holder, before)
     before.end_line()
-    grid: list[list[list[str]]] = []
-    for row in table_rows(node):
-        cells: list[list[str]] = []
+    rows = list(table_rows(node))
+    grid: list[dict[int, list[str]]] = []
+    taken: dict[int, int] = {}  # column -> further rows that a cell from above takes there
+    for row in rows:
+        cells: dict[int, list[str]] = {}
+        k = 0
         for cell in row:
+            while taken.get(k, 0):
+                k += 1
             own = Page()
             render(cell, own)
             own.end_line()
-            cells.append(own.lines or [""])
-            span = cell.attrs.get("colspan", "1")
-            cells += [[""]] * (min(int(span), 100) - 1 if span.isdigit() and int(span) > 1 and len(span) < 5 else 0)
+            cells[k] = own.lines or [""]
+            wide, high = _span(cell, "colspan"), _span(cell, "rowspan")
+            for j in range(k, k + wide):
+                taken[j] = max(taken.get(j, 0), high)
+            k += wide
         grid.append(cells)
-    wide = [max((width(x) for r in grid if k < len(r) for x in r[k]), default=0) for k in range(max(map(len, grid), default=0))]
+        taken = {k: n - 1 for k, n in taken.items() if n > 1}
+    # Columns in which no cell begins have no width and no gap.
+    used = sorted({k for cells in grid for k in cells})
+    wide_of = {k: max(width(x) for cells in grid if k in cells for x in cells[k]) for k in used}
     out = list(before.lines)
     for cells in grid:
-        for i in range(max(map(len, cells), default=0)):
-            line = "  ".join((c[i] if i < len(c) else "") + " " * (wide[k] - width(c[i] if i < len(c) else "")) for k, c in enumerate(cells))
-            out.append(line.rstrip(" "))
+        last = max(cells, default=-1)
+        for i in range(max((len(c) for c in cells.values()), default=0)):
+            texts = [(cells[k][i] if k in cells and i < len(cells[k]) else "", wide_of[k]) for k in used if k <= last]
+            out.append("  ".join(x + " " * (w - width(x)) for x, w in texts).rstrip(" "))
     return out
 
 
+#: The greatest spans that HTML allows (fixed values).
+SPANS = {"colspan": 1000, "rowspan": 65534}
+
+
+def _span(cell: Node, name: str) -> int:
+    said = cell.attrs.get(name, "1").strip()
+    n = int(said) if said.isascii() and said.isdigit() and len(said) < 9 else 1
+    return min(SPANS[name], n) or (SPANS[name] if name == "rowspan" else 1)  # rowspan 0: down to the end
+
+
 def text_of(html: str | None) -> str:
     """All visible text of a page; empty for null, empty or invisible pages."""
     if not html:
         return ""
-    page = Page()
-    render(parse(html), page)
+    root, page = parse(html), Page()
+    hide_by_style(root)
+    render(root, page)
     page.end_line()
     return "\n".join(page.lines).strip("\n")
 

@@ -1,18 +1,23 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost and rejection rate are measured on a sample inside Spark tasks;
-rules then run in the order of rejection per cost, and the first that rejects ends
-a document's cascade. The order changes what is computed, never the verdict.
+Each rule's cost and rejection rate are measured on a sample inside Spark tasks,
+on documents of which nothing is computed yet: a rule's cost is that of all it
+needs. Rules then run in the order of rejection per cost, and the first that
+rejects ends a document's cascade, so statistics that only later rules need are
+never computed. The order changes what is computed, never the verdict.
 """
 
 from __future__ import annotations
 
+import re
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +32,52 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 SAMPLE_ROWS = 2000
 
 
-@dataclass
 class Doc:
-    """A text, its words (UTF-8 bytes) and the base statistics."""
+    """A text and its statistics, each computed when first asked for."""
 
-    text: str
-    words: list[bytes]
-    word_chars: int
-    n_symbols: int
-    n_lines: int
-    n_dup_lines: int
+    def __init__(self, text: str | None) -> None:
+        self.text = text or ""
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.text.encode("utf-8", "surrogatepass").split()  # bytes.split() parts at exactly the six ASCII spaces
+
+    @cached_property
+    def word_chars(self) -> int:
+        return len(self.text) - sum(map(self.text.count, SPACES))
+
+    @cached_property
+    def n_symbols(self) -> int:
+        return sum(map(self.text.count, SYMBOLS))
+
+    @cached_property
+    def lines(self) -> list[str]:
+        return self.text.split("\n")
+
+    @cached_property
+    def n_dup_lines(self) -> int:
+        seen: set[str] = set()
+        dup = 0
+        if len(self.lines) > 1:
+            for line in self.lines:
+                if line.strip(SPACES):
+                    if line in seen:
+                        dup += 1
+                    else:
+                        seen.add(line)
+        return dup
+
+    @cached_property
+    def n_repeat_words(self) -> int:
+        return repeated_words(self.words)
+
+    @cached_property
+    def kinds(self) -> dict[bytes, int]:
+        return Counter(self.words)
+
+    @property
+    def base_failed(self) -> bool:
+        return len(self.words) < MIN_WORDS or 100 * self.n_repeat_words > MAX_REPEAT_PERCENT * len(self.words)
 
 
 def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
@@ -67,35 +108,31 @@ def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     return int((np.cumsum(edges[:n]) > 0).sum())
 
 
-def read(text: str | None) -> Doc:
-    text = text or ""
-    words = text.encode("utf-8").split()  # bytes.split() parts at exactly the six ASCII spaces
-    lines = text.split("\n")
-    seen: set[str] = set()
-    dup = 0
-    if len(lines) > 1:
-        for line in lines:
-            if line.strip(SPACES):
-                if line in seen:
-                    dup += 1
-                else:
-                    seen.add(line)
-    return Doc(text, words, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines), dup)
-
-
 def _few_letters(d: Doc) -> bool:
     """Under 60 % of the words have a letter."""
-    return 10 * sum(1 for w in d.text.split() if any(map(str.isalpha, w))) < 6 * len(d.text.split())
+    return 10 * sum(1 for w in d.words if _LETTER.search(w.decode("utf-8", "replace"))) < 6 * len(d.words)
+
 
+def _share(d: Doc, shape, tenths: int) -> bool:
+    """Whether more than so many tenths of the lines have the shape."""
+    return 10 * sum(1 for x in d.lines if shape.search(x)) > tenths * len(d.lines)
+
+
+_LETTER, _UPPER = regex.compile(r"\p{L}"), regex.compile(r"\p{Lu}")
+_BULLET, _TRAILING, _CONTROL = re.compile(r"\A[ \t]*[-*\u2022]"), re.compile(r"(?:\.\.\.|\u2026)[ \t]*\Z"), re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
 #: Name -> True where the document is rejected. Each sees whole texts.
 RULES: dict[str, Callable[[Doc], bool]] = {
     "symbols": lambda d: 2 * d.n_symbols > len(d.words),
-    "duplicate_lines": lambda d: 2 * d.n_dup_lines > d.n_lines,
+    "duplicate_lines": lambda d: 2 * d.n_dup_lines > len(d.lines),
     "word_length": lambda d: not 2 * len(d.words) <= d.word_chars <= 20 * len(d.words),
     "few_letters": _few_letters,
-    "shouting": lambda d: 2 * sum(map(str.isupper, d.text)) > d.word_chars,
-    "few_kinds_of_words": lambda d: 20 * len(set(d.words)) < len(d.words) and len(d.words) < 2000,
+    "shouting": lambda d: 2 * len(_UPPER.findall(d.text)) > d.word_chars,
+    "few_kinds_of_words": lambda d: 20 * len(d.kinds) < len(d.words) < 2000,
+    "one_word": lambda d: 10 * max(d.kinds.values(), default=0) > 3 * len(d.words),
+    "bullets": lambda d: _share(d, _BULLET, 9),
+    "cut_off_lines": lambda d: _share(d, _TRAILING, 3),
+    "control_characters": lambda d: 100 * len(_CONTROL.findall(d.text)) > d.word_chars,
 }
 
 
@@ -103,8 +140,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tally = {name: [0, 0, 0] for name in RULES}
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            doc = read(text)
             for name, rejects in RULES.items():
+                doc = Doc(text)
                 began = time.perf_counter_ns()
                 said = rejects(doc)
                 t = tally[name]
@@ -126,6 +163,23 @@ def order_rules(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
     return sorted(RULES, key=lambda name: (-worth.get(name, 0.0), name))
 
 
+def first_rejecting(doc: Doc, rules: list[str]) -> str | None:
+    """The first rule in the order that rejects; `base` where the base fails."""
+    return "base" if doc.base_failed else next((name for name in rules if RULES[name](doc)), None)
+
+
+def cascade(docs: DataFrame, order: list[str]) -> DataFrame:
+    """(doc_id, text) -> doc_id, kept, rejected_by: the rule that ended the document's cascade, or null. Null and empty texts fail the base."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                by = [first_rejecting(Doc(t), order) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b is None for b in by], pa.bool_()), pa.array(by, pa.string())], ["doc_id", "kept", "rejected_by"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, kept boolean, rejected_by string")
+
+
 OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
 
@@ -137,17 +191,14 @@ def judge(docs: DataFrame, order: list[str]) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = [RULES[name] for name in order]
         names = [f.split()[0] for f in OUT.split(", ")]
         for batch in batches:
             for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
                 out: list[list] = [part.column(0).to_pylist(), *([] for _ in names[1:])]
                 for text in part.column(1).to_pylist():
-                    doc = read(text)
-                    n, repeat = len(doc.words), repeated_words(doc.words)
-                    failed = n < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n
-                    kept = not failed and not any(rejects(doc) for rejects in rules)
-                    for column, value in zip(out[1:], (n, doc.word_chars, doc.n_symbols, doc.n_dup_lines, repeat, failed, kept), strict=True):
+                    doc = Doc(text)
+                    kept = first_rejecting(doc, order) is None
+                    for column, value in zip(out[1:], (len(doc.words), doc.word_chars, doc.n_symbols, doc.n_dup_lines, doc.n_repeat_words, doc.base_failed, kept), strict=True):
                         column.append(value)
                 kinds = [pa.int64()] * 6 + [pa.bool_()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
@@ -180,12 +231,18 @@ base AS (
          CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
          len(lines) AS n_lines, len(list_distinct(words)) AS n_kinds,
          len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS n_lettered,
+         coalesce(list_max(map_values(list_aggregate(words, 'histogram'))), 0) AS n_top,
+         len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*[-*\x{2022}]'))) AS n_bullets,
+         len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[ \t]*$'))) AS n_cut,
+         length(text) - length(regexp_replace(text, '[\x00-\x08\x0e-\x1f\x7f]', '', 'g')) AS n_control,
          length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g')) AS n_upper
   FROM d LEFT JOIN covered USING (r) LEFT JOIN lined USING (r)),
 failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (2 * n_symbols > n_words) AND NOT (2 * n_dup_lines > n_lines)
        AND word_chars BETWEEN 2 * n_words AND 20 * n_words AND NOT (10 * n_lettered < 6 * n_words)
-       AND NOT (2 * n_upper > word_chars) AND NOT (20 * n_kinds < n_words AND n_words < 2000) AS kept
+       AND NOT (2 * n_upper > word_chars) AND NOT (20 * n_kinds < n_words AND n_words < 2000)
+       AND NOT (10 * n_top > 3 * n_words) AND NOT (10 * n_bullets > 9 * n_lines) AND NOT (10 * n_cut > 3 * n_lines)
+       AND NOT (100 * n_control > word_chars) AS kept
 FROM failed
 """

@@ -133,18 +133,47 @@ def test_arc_versions_and_errors():
     with pytest.raises(ValueError):
         list(arc.parse_arc(b"http://x 0.0.0.0 20200101 text/html 3\nabc\n"))
     assert arc.iso("20200102") == "2020-01-02T00:00:00Z"
-    assert [arc.id_of(arc.record_id(k)) for k in (0, 5, -7, (1 << 63) - 1, -(1 << 63), None)] == [0, 5, -7, (1 << 63) - 1, -(1 << 63), None]
-
-
-def test_warc_round_trip(spark, tmp_path):
-    rows = [(3, "http://x", "same"), (1, "http://y", "same"), (2, None, None), (9, "u", ""), (4, "u v\n", "WARC/1.0\r\n\r\nbody\r\n\r\n"), (None, "u", "same"), (1, "http://y", "same")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    path = str(tmp_path / "w")
-    arc.write_warc(arc.with_revisits(arc.from_arc(arc.pages_as_arc(pages))), path)
-    got = sorted((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in arc.read_warc(spark, path).collect())
-    d = lambda s: base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
-    same, none = d("same"), d("")
-    assert got == sorted([(3, 4, same, "revisit", "1"), (1, 4, same, "response", "None"), (1, 4, same, "response", "None"), (0, 4, same, "revisit", "1"), (2, 0, none, "response", "None"), (9, 0, none, "revisit", "2"), (4, 20, d(rows[4][2]), "response", "None")])
+    ids = {arc.record_id(f, o, d) for f in ("a", "b") for o in (0, 7) for d in ("x", "y")}
+    assert len(ids) == 8 and all(re.fullmatch(r"<urn:uuid:[0-9a-f]{8}-[0-9a-f]{4}-8[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}>", i) for i in ids)
+
+
+def test_warc_round_trip(spark, tmp_path, monkeypatch):
+    rows = [(3, "http://x", "same", 0), (1, "http://y", "same", 0), (2, None, None, 0), (9, "u", "", 0), (4, "u v\n", "WARC/1.0\r\n\r\nbody\r\n\r\n", 0), (None, "u", "same", 0), (1, "http://y", "same", 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
+    for name, limit in (("a", 1), ("b", 5000)):  # one record a file, and many
+        monkeypatch.setattr(arc, "ARCHIVE_RECORDS", limit)
+        legacy, path = str(tmp_path / f"arc{name}"), str(tmp_path / f"warc{name}")
+        arc.write_arc(pages, legacy)
+        records = arc.from_arc(spark, legacy)
+        assert records.select("id").distinct().count() == 7
+        arc.write_warc(arc.with_revisits(records), path)
+        read = arc.read_warc(spark, path)
+        assert read.select("id").distinct().count() == 7
+        got = sorted((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in arc.refers_to_keys(read).collect())
+        d = lambda s: base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
+        same, none = d("same"), d("")
+        assert got == sorted([(3, 4, same, "revisit", "1"), (1, 4, same, "response", "None"), (1, 4, same, "response", "None"), (0, 4, same, "revisit", "1"), (2, 0, none, "response", "None"), (9, 0, none, "revisit", "2"), (4, 20, d(rows[4][2]), "response", "None")])
+    arc.write_arc(pages.limit(0), str(tmp_path / "none"))
+    arc.write_warc(arc.with_revisits(arc.from_arc(spark, str(tmp_path / "none"))), str(tmp_path / "nothing"))
+
+
+def test_warc_files_have_a_member_a_record(spark, tmp_path):
+    import gzip
+    import os
+
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    arc.write_arc(pages, str(tmp_path / "a"))
+    arc.write_warc(arc.with_revisits(arc.from_arc(spark, str(tmp_path / "a"))), str(tmp_path / "w"))
+    whole = b"".join((tmp_path / "w" / f).read_bytes() for f in os.listdir(tmp_path / "w") if f.startswith("part"))
+    plain = gzip.decompress(whole)  # a reader of plain gzip understands it
+    assert plain.count(b"WARC/1.0\r\n") == whole.count(b"\x1f\x8b\x08") and plain.count(b"WARC-Type: response") == 40
+    assert gzip.decompress(arc._members(b"x" * (1 << 24))) == b"x" * (1 << 24) and arc._members(b"x" * (1 << 24))[-1] == 0
+    # A foreign archive without source keys: every record has an id of its own.
+    block = b"HTTP/1.1 200 OK\r\n\r\nsame"
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "x.arc").write_bytes(arc.arc_file([("http://a", "text/html", block)] * 3))
+    got = arc.with_revisits(arc.from_arc(spark, str(tmp_path / "f"))).collect()
+    assert len({r.id for r in got}) == 3 and sum(r.refers_to is None for r in got) == 1 and all(r.key is None for r in got)
 
 
 def test_chat_layouts_and_escapes(spark):
@@ -192,9 +221,31 @@ def test_chat_nulls_clashes_and_long_texts(spark):
 
 
 def test_quality_against_brute_force(spark, odd):
-    for r in quality.judge(odd, quality.order_rules(odd)).collect():
-        assert r.base_failed or r.n_words >= 10
-        assert r.kept in (False, True) and not (r.kept and r.base_failed)
+    pieces = ["a", "Bc", "#", "\x0b", "\x1c", "\xa0", "é", "Ⅰ", "ÀÀ", "…", "...", "- ", "* x", "\n", "\n", " ", " ", "\x85", "\x01", "word", "the", "$%"]
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 120))) for _ in range(400)] + ["same line here\n" * 30, "- a\n- b\n- c d e f g h i j k", None, "A plain sentence of words that differ from each other, and not too few"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    order = quality.order_rules(df)
+    assert sorted(order) == sorted(quality.RULES)
+    ruled = {r.doc_id: r for r in quality.cascade(df, order).collect()}
+    for r in quality.judge(df, order).collect():
+        t = texts[r.doc_id] or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)}
+        assert r[1:6] == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+        assert r.base_failed == (len(words) < 10 or 100 * len(covered) > 20 * len(words))
+        hit = {name for name, rejects in quality.RULES.items() if rejects(quality.Doc(t))}
+        assert r.kept == ruled[r.doc_id].kept == (not r.base_failed and not hit)
+        assert ruled[r.doc_id].rejected_by in ({"base"} if r.base_failed else hit or {None})
+    assert {r.rejected_by for r in ruled.values()} >= {"base", None}
+    assert quality.judge(odd, quality.order_rules(odd)).count() == 8
+    none = odd.limit(0)
+    assert quality.judge(none, quality.order_rules(none)).count() == 0
+
+
+def test_repeated_words():
     rng = random.Random(3)
     for _ in range(300):
         words = [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(0, 40))]
@@ -264,6 +315,58 @@ def test_html_layout():
     assert htmltext.text_of("<div>" * 5000 + "deep") == "deep"
 
 
+def test_html_spans_and_style_rules():
+    table = "<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td colspan=2>wide cell<td>d<tr><td rowspan=0>x<td>y<td>z<tr><td>w</table>"
+    assert htmltext.text_of(table) == "a          b\n           c\nwide cell     d\nx          y  z\n           w"
+    assert htmltext.text_of("<table><tr>" + "<td colspan=3>x<td>y" * 60 + "</table>").split() == ["x", "y"] * 60
+    css = "<style>/* .a{} */ .no, p.gone{display:none} #id{visibility:hidden} @media print{.print{display:none}} .no.yes{display:block} div .deep{display:none}</style>"
+    assert htmltext.text_of(css + "<p class='x no'>1<p class=gone>2<div class=gone>3</div><i id=id>4</i><b class=print>5</b><b class='no yes'>6</b><div><b class=deep>7</b></div><b class=no style='display:inline'>8") == "3\n56\n7\n8"
+
+
+def test_html_keeps_all_visible_words():
+    """Random trees whose visible words are known as they are made."""
+    rng = random.Random(12)
+    count = iter(range(10**9))
+
+    def make(depth, shown, inside):
+        html, words = [], []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.choice(["text", "block", "inline", "hidden", "list", "table", "comment", "class", "entity"]) if depth else "text"
+            if kind in ("text", "entity"):
+                w = f"w{next(count)}" + ("&amp;x" if kind == "entity" else "")
+                html.append(f" {w} ")
+                words += [w.replace("&amp;", "&")] if shown else []
+            elif kind == "comment":
+                html.append(f"<!-- c{next(count)} > -->")
+            elif kind == "list":
+                items = [make(depth - 1, shown, "li") for _ in range(rng.randint(1, 3))]
+                html.append("<ul>" + "".join(f"<li>{h}" + rng.choice(["", "</li>"]) for h, _ in items) + "</ul>")
+                words += [w for _, ws in items for w in (["-", *ws] if ws else [])]
+            elif kind == "table" and inside != "li":
+                cells = [f"c{next(count)}" for _ in range(4)]
+                html.append("<table><tr><td>{}<td>{}<tr><th colspan=2>{}</th><td>{}</table>".format(*cells))
+                words += cells if shown else []
+            elif kind in ("block", "inline", "hidden", "class", "table"):
+                tag = rng.choice(["div", "section", "blockquote"]) if kind == "block" else "span" if kind == "inline" else "div"
+                off = {"hidden": rng.choice([" hidden", " style='display: none'"]), "class": " class='a off'"}.get(kind, "")
+                h, ws = make(depth - 1, shown and not off, inside)
+                html.append(f"<{tag}{off}>{h}</{tag}>")
+                words += ws
+        return "".join(html), words
+
+    for _ in range(300):
+        html, words = make(4, True, "")
+        assert htmltext.text_of("<style>.off{display:none}</style>" + html).split() == words
+
+
+def test_html_extraction_in_spark(spark):
+    rows = [(1, "<p>a<p>b", "t", 0), (1, "<p>a<p>b", "t", 0), (None, None, None, 1), (2, "", "x", 2), (3, "<p>" + "word " * 200_000, "y", 3)]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string, n_lines int")
+    got = sorted(((r.page_id or 0, r.text[:8], r.n_lines) for r in htmltext.extract(df).collect()))
+    assert got == [(0, "", 0), (1, "a\n\nb", 3), (1, "a\n\nb", 3), (2, "", 0), (3, "word wor", 1)]
+    assert htmltext.extract(df.limit(0)).count() == 0
+
+
 def brute_secrets(text):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
