@@ -357,6 +357,8 @@ def list_lines(node: Node, page: Page) -> None:
         own = Page(in_list=True)
         render(kid, own) if kid.tag in ("li", "ul", "ol") else render(_wrap(kid), own)
         own.end_line()
+        while own.lines and not own.lines[0]:  # the marker stands before the first text
+            del own.lines[0]
         if kid.tag == "li":
             page.place(own.lines or [""], f"{n}. " if ordered else "- ")
             n += 1
