@@ -40,6 +40,63 @@ def test_language_id_edges(spark, odd):
     assert langid.predict(odd, langid.train(odd.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_model_against_plain_loops():
+    import math
+
+    rng = random.Random(4)
+    rows = []
+    for _ in range(40):
+        at = sorted(rng.sample(range(30), 6))
+        rows.append((rng.randrange(3), np.array(at), np.array([rng.random() for _ in at])))
+    w, bias = langid.ftrl(rows, 3)
+    z, n = {}, {}
+    last = 1 << langid.BITS
+    for _ in range(langid.EPOCHS):
+        for y, at, x in rows:
+            coords = [*zip(at.tolist(), x.tolist(), strict=True), (last, 1.0)]
+
+            def weight(i, k):
+                v = z.get((i, k), 0.0)
+                return 0.0 if abs(v) <= langid.L1 else -(v - math.copysign(langid.L1, v)) / ((langid.SMOOTH + math.sqrt(n.get((i, k), 0.0))) / langid.STEP + langid.L2)
+
+            now = {(i, k): weight(i, k) for i, _ in coords for k in range(3)}
+            s = [sum(v * now[i, k] for i, v in coords) for k in range(3)]
+            e = [math.exp(v - max(s)) for v in s]
+            for i, v in coords:
+                for k in range(3):
+                    g = v * (e[k] / sum(e) - (k == y))
+                    old = n.get((i, k), 0.0)
+                    z[i, k] = z.get((i, k), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / langid.STEP * now[i, k]
+                    n[i, k] = old + g * g
+    for (i, k) in z:
+        v = z[i, k]
+        want = 0.0 if abs(v) <= langid.L1 else -(v - math.copysign(langid.L1, v)) / ((langid.SMOOTH + math.sqrt(n[i, k])) / langid.STEP + langid.L2)
+        assert (bias[k] if i == last else w[i, k]) == pytest.approx(want, abs=1e-9)
+    at, count = np.array([1, 5]), np.array([3, 1])
+    idf = np.arange(10) / 10 + 1
+    raw = [(1 + math.log(3)) * 1.1, 1.5]
+    assert langid.features(at, count, idf).tolist() == pytest.approx([v / math.hypot(*raw) for v in raw])
+
+
+def test_language_temperature_is_the_best_of_a_grid():
+    import math
+
+    rng = np.random.default_rng(3)
+    logits, y = rng.standard_normal((200, 4)) * 5, rng.integers(0, 4, 200)
+    y[:120] = logits[:120].argmax(axis=1)
+
+    def loss(t):
+        off = 1 / 202
+        p = logits / t
+        lse = np.log(np.exp(p - p.max(axis=1, keepdims=True)).sum(axis=1)) + p.max(axis=1)
+        target = np.full((200, 4), off / 3)
+        target[np.arange(200), y] = 1 - off
+        return float((lse - (target * p).sum(axis=1)).mean())
+
+    best = min((math.exp(x) for x in np.linspace(math.log(0.02), math.log(50), 4000)), key=loss)
+    assert langid.temperature(logits, y) == pytest.approx(best, rel=0.01)
+
+
 def brute_fingerprint(text):
     import xxhash
 
@@ -486,6 +543,21 @@ def test_pipeline_keeps_its_contract(spark, odd):
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and docs.count() > 50
 
 
+def test_stages_leave_columns_of_any_name_alone(spark):
+    import corpus_pipeline as p
+
+    names = ["kept_id", "taken_id", "reps", "score", "lang_pred", "row_a", "node", "copy_", "user_0", "a.b"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in names])
+    for name, stage in p.STAGES[:-1]:
+        after = stage(spark, docs, DATA)
+        assert after.columns == docs.columns and after.count() > 20
+        for n in names:
+            assert after.where(F.col(f"`{n}`") != F.concat(F.lit(f"{n}-"), "doc_id")).count() == 0
+        docs = after
+    assert p.tokenize(spark, docs, DATA).count() == docs.count()
+
+
 def test_stage_finds_near_copies_of_similarity_08(spark):
     import corpus_pipeline as p
     from spanlight.llm import neardup
