@@ -14,7 +14,7 @@ from .intervals import range_join
 MIN_IOU, BREAK_GAP, CLOSE_GAP = 0.2, 1_000_000, 2_000_000
 
 
-def _iou(a, b) -> float:
+def iou(a, b) -> float:
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
     if w <= 0 or h <= 0:
         return 0.0
@@ -41,7 +41,7 @@ def associate(detections: DataFrame, close_gap: int = CLOSE_GAP, break_gap: int
                 if (video, camera, label) != group:
                     group, open_, n = (video, camera, label), [], 0
                 open_ = [t for t in open_ if pts is not None and pts - t[1] <= close_gap]
-                fits = [(_iou(t[0], box), -t[1], -t[2], t) for t in open_]
+                fits = [(iou(t[0], box), -t[1], -t[2], t) for t in open_]
                 best = max((f for f in fits if f[0] >= min_iou), key=lambda f: f[:3], default=None)
                 if best is None:
                     where.append(d)

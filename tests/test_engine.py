@@ -194,7 +194,7 @@ def test_tracklets_against_brute_force(spark):
     for group in {(r[0], r[1], r[4]) for r in rows}:
         own = []
         for r in sorted((r for r in rows if (r[0], r[1], r[4]) == group), key=lambda r: (r[3], r[2])):
-            fits = [(i, -t[-1][3], -k, t) for k, t in enumerate(own) if 0 <= r[3] - t[-1][3] <= 90 and (i := tracks._iou(t[-1][5:], r[5:])) >= 0.2]
+            fits = [(i, -t[-1][3], -k, t) for k, t in enumerate(own) if 0 <= r[3] - t[-1][3] <= 90 and (i := tracks.iou(t[-1][5:], r[5:])) >= 0.2]
             max(fits, key=lambda f: f[:3])[3].append(r) if fits else own.append([r])
         for t in own:
             broken = any(b[3] - a[3] > 30 for a, b in zip(t, t[1:]))
