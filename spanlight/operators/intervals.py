@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+
 
 def range_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, t0: str, t1: str, width: int) -> DataFrame:
     """points within half-open spans of the same keys (null keys are equal).
@@ -104,11 +106,12 @@ def ranked(df: DataFrame, keys: list[str], coarse: list[Column], fine: list[Colu
 
     Rows of equal coarse values are numbered by fine in a task of their own; how
     many rows come before them is a window over one row for each coarse value. So
-    coarse should take many values, each on few rows.
+    coarse should take many values, each on few rows. The rows are read twice, and
+    written to the shared folder before, so that they are not computed twice.
     """
     names = [f"c{i}_" for i in range(len(coarse))]
     # An order column wraps its value: the values are computed once, then ordered by as the caller asked.
-    rows = df.select("*", *[c.alias(n) for c, n in zip(coarse, names, strict=True)])
+    rows = materialize(df.select("*", *[c.alias(n) for c, n in zip(coarse, names, strict=True)]), "ranked")
     before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     at = [*keys, *names]
     counts = rows.groupBy(*at).agg(F.count("*").alias("n_")).select(*[F.col(k).alias(f"{k}_f") for k in at], F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
