@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 #: Base kinds in the listed order (fixed values): pattern, least length, the group whose length counts.
 KINDS = {
@@ -246,21 +246,16 @@ def samples(docs: DataFrame, limits: dict[str, int]) -> dict[str, list[str]]:
     """kind -> the limits[kind] distinct values of least hash over all documents ("" for ordinary tokens).
 
     A task sends its own least values, which hold all of the whole sample that it
-    has; they are ranked within salted parts of a kind, then within the kind. Only
-    the samples reach the driver.
+    has; they are ranked within salted parts of a kind, and the first of those are
+    taken. Only the samples reach the driver.
     """
     found = docs.select(F.col("text").cast("string")).mapInArrow(_values(limits), "kind string, h long, word string").distinct()
     limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("kind")]
 
-    def first(rows: DataFrame, *keys) -> DataFrame:
-        turn = F.row_number().over(Window.partitionBy("kind", *keys).orderBy("h", "word"))
-        return rows.withColumn("turn", turn).where((F.col("turn") <= max(limits.values())) & (F.col("turn") <= limit)).drop("turn")
-
-    rows = first(first(found, F.pmod(F.xxhash64("word"), F.lit(32))))
-    out: dict[str, list[str]] = {kind: [] for kind in limits}
-    for r in sorted(rows.collect(), key=lambda r: (r["h"], r["word"])):
-        out[r["kind"]].append(r["word"])
-    return out
+    salted = Window.partitionBy("kind", F.pmod(F.xxhash64("word"), F.lit(32))).orderBy("h", "word")
+    few = found.withColumn("turn", F.row_number().over(salted)).where((F.col("turn") <= max(limits.values())) & (F.col("turn") <= limit))
+    few = materialize(few.select("kind", "h", "word"), "secret-samples")
+    return {kind: [r["word"] for r in few.where(F.col("kind") == kind).orderBy("h", "word").limit(n).collect()] for kind, n in limits.items()}
 
 
 def learn(docs: DataFrame, max_labelled: int = MAX_LABELLED, max_ordinary: int = MAX_ORDINARY) -> Model:
