@@ -512,3 +512,22 @@ def payload_label_match(spark, d):
     """Labels from several payload fields together, by whole tokens."""
     docs = src.parquet(spark, d, "documents")
     return docs.where(label_match(F.concat_ws(" ", "lang", "source"), "EN")).select("doc_id", "lang")
+
+
+PROPS = {"type": "object", "required": ["k", "v"], "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 80}, "tags": {"type": "array", "maxItems": 2, "items": {"enum": ["a", "b"]}}, "v": {"const": 1}}, "additionalProperties": False}
+
+
+@query(
+    """WITH d AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 5 = 0 THEN '$: v is missing' END, CASE WHEN k < 10 THEN '$.k: minimum' END, CASE WHEN k > 80 THEN '$.k: maximum' END, CASE WHEN event_id % 4 = 0 THEN '$.tags: maxItems' END, CASE WHEN event_id % 4 = 0 THEN '$.tags[2]: not in enum' END,
+  CASE WHEN event_id % 5 = 1 THEN '$.v: not the constant' END, CASE WHEN event_id % 7 = 0 THEN '$: unexpected z' END], lambda x: x IS NOT NULL), '; ') AS errors FROM d"""
+)
+def schema_errors(spark, d):
+    """Documents with a bound number, tags of an enumeration, a constant that may be missing, and a field too many."""
+    from ..functions.schema import errors
+
+    k = F.col("event_id")
+    tags = F.when(k % 4 == 0, F.lit('["a","b","c"]')).otherwise(F.lit('["b"]'))
+    v = F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.lit(',"v":2')).otherwise(F.lit(',"v":1'))
+    doc = F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"tags":'), tags, v, F.when(k % 7 == 0, F.lit(',"z":0')).otherwise(F.lit("")), F.lit("}"))
+    return src.parquet(spark, d, "events").select("event_id", F.array_join(errors(PROPS, F.try_parse_json(doc)), "; ").alias("errors"))

@@ -291,3 +291,21 @@ def test_ledger_stream_restarts_and_replays(spark, tmp_path):
     for _ in range(2):
         again(spark.range(7), 3)
     assert spark.read.parquet(str(tmp_path / "replay")).count() == 7
+
+
+def test_json_schema_errors(spark):
+    from spanlight.functions.schema import errors
+
+    schema = {
+        "$defs": {"id": {"type": "string", "pattern": "^[a-z]+$", "minLength": 2}},
+        "type": "object", "required": ["id"],
+        "properties": {"id": {"$ref": "#/$defs/id"}, "n": {"oneOf": [{"type": "integer"}, {"type": "number", "maximum": 1}]}, "x": {"anyOf": [{"type": "null"}, {"type": "array", "minItems": 1, "items": {"$ref": "#/$defs/id"}}]}},
+    }
+    docs = ['{"id":"ab"}', '{"id":"A"}', "{}", "[]", None, '{"id":"ab","n":0.5}', '{"id":"ab","n":1}', '{"id":"ab","n":2.5}', '{"id":"ab","x":null}', '{"id":"ab","x":["ab","c"]}', '{"id":7,"x":["ab"]}']
+    d = spark.createDataFrame([(x,) for x in docs], "t string")
+    got = [r[0] for r in d.select(errors(schema, F.try_parse_json("t"))).collect()]
+    assert got == [[], ["$.id: pattern", "$.id: minLength"], ["$: id is missing"], ["$: type is not object"], ["$: no JSON document"], [], ["$.n: oneOf"], ["$.n: oneOf"], [], ["$.x: anyOf"], ["$.id: type is not string"]]
+    with pytest.raises(ValueError, match="itself"):
+        errors({"properties": {"a": {"$ref": "#"}}, "$defs": {}} | {"$ref": "#/$defs/a", "$defs": {"a": {"$ref": "#/$defs/a"}}}, F.lit(None))
+    with pytest.raises(ValueError, match="unsupported"):
+        errors({"format": "date"}, F.lit(None))
