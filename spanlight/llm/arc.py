@@ -42,6 +42,8 @@ SOURCE_ID = "X-Source-Id"
 ARCHIVE_BYTES = 32 << 20
 #: Records of a legacy archive at most.
 ARCHIVE_RECORDS = 5000
+#: gzip's level: archives are written once and read back soon.
+LEVEL = 1
 
 
 @dataclass
@@ -207,13 +209,14 @@ def write_archives(archives: DataFrame, path: str, last: str) -> None:
 
 
 def from_arc(spark, path: str) -> DataFrame:
-    """One row a record of the ARC files in a folder: what a WARC record of it needs."""
+    """One row a record of the ARC files in a folder, gzipped or not: what a WARC record of it needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(*batch.columns, strict=True):
                 source, rows = name.as_py().rsplit("/", 1)[-1], []
-                for r in parse_arc(data.as_py()):
+                data = data.as_py()
+                for r in parse_arc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     http, payload = split_http(r.block)
                     key, digest = header(http, SOURCE_ID), sha1_32(payload)
                     rows.append((record_id(source, r.offset, digest), int(key) if key and re.fullmatch(r"-?\d{1,18}", key) else None, r.url, r.ip, r.date, http, payload, digest, len(payload)))
@@ -250,8 +253,8 @@ def with_revisits(records: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> Dat
 def _members(record: bytes) -> bytes:
     """A gzip member whose last byte is 0, the high byte of its size; a record of 2^24 bytes or more ends in a second, short one."""
     if len(record) < 1 << 24:
-        return gzip.compress(record, 6, mtime=0)
-    return gzip.compress(record[:-4], 6, mtime=0) + gzip.compress(record[-4:], 6, mtime=0)
+        return gzip.compress(record, LEVEL, mtime=0)
+    return gzip.compress(record[:-4], LEVEL, mtime=0) + gzip.compress(record[-4:], LEVEL, mtime=0)
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -319,7 +322,7 @@ def _read(head: bytes, block: bytes) -> tuple:
 
 
 def write_arc(pages: DataFrame, path: str) -> None:
-    """(page_id, url, html) -> legacy ARC files of many HTTP responses, of version 1 and 2 in turn.
+    """(page_id, url, html) -> gzipped legacy ARC files of many HTTP responses, of version 1 and 2 in turn.
 
     A null html has an empty payload, a null url the target urn:unknown; a null
     page_id no source header.
@@ -336,13 +339,13 @@ def write_arc(pages: DataFrame, path: str) -> None:
                     held.append((url or "", "text/html", http + payload))
                     size += len(payload)
                     if size >= ARCHIVE_BYTES or len(held) >= ARCHIVE_RECORDS:
-                        yield _batch("value binary", [(arc_file(held, version)[:-1],)])
+                        yield _batch("value binary", [(_members(arc_file(held, version))[:-1],)])
                         held, size, version = [], 0, 3 - version
         if held:
-            yield _batch("value binary", [(arc_file(held, version)[:-1],)])
+            yield _batch("value binary", [(_members(arc_file(held, version))[:-1],)])
 
     made = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "value binary")
-    write_archives(made, path, "\n")
+    write_archives(made, path, "\0")
 
 
 def refers_to_keys(read: DataFrame) -> DataFrame:
