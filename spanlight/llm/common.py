@@ -29,7 +29,7 @@ def word_count(text: Column) -> Column:
 HEAVY = 1000
 
 
-def attach(rows: DataFrame, key: str, values: DataFrame, n: int) -> DataFrame:
+def attach(rows: DataFrame, key: str | list[str], values: DataFrame, n: int) -> DataFrame:
     """rows joined with values on key; values: one row a key, deg is how often rows hold it, at most n rows in all.
 
     Keys with more than n / HEAVY rows meet theirs by broadcast: there are fewer
