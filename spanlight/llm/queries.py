@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arc, bpe, chat, crosstok, htmltext, langid, mixing, nndescent, quality, repeats, secrets, simhash
+from . import arc, bpe, chat, crosstok, htmltext, langid, mixing, nndescent, quality, repeats, secrets, simhash, spelling
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_html_extraction": htmltext.op9_html_extraction,
     "op10_secret_scans": secrets.op10_secret_scans,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_cross_tokenizer": crosstok.op12_cross_tokenizer,
     "op13_suffix_dedup": repeats.op13_suffix_dedup,
 }
