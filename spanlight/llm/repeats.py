@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HEAVY, attach, discard, materialize, table
+from .common import HEAVY, discard, materialize, table
 
 #: Bytes of a window, of the first digit, and places that a first digit has in a window.
 DEPTH, GRAM = 100, 24
@@ -294,7 +294,11 @@ def third_pass(runs: DataFrame, hot: set[int]) -> DataFrame:
     asked = materialize(windows(runs.where(is_hot)), "repeats-windows")
     place = F.struct(F.col("id").isNull().alias("late"), "id", "at")
     groups = materialize(asked.groupBy("wa", "wb").agg(F.min(place).alias("first"), F.count("*").alias("deg")).where("deg > 1"), "repeats-groups")
-    again = attach(asked, ["wa", "wb"], groups, asked.count()).where(place != F.col("first"))
+    # Groups of more than 1 / HEAVY of the windows, fewer than HEAVY, meet theirs by broadcast.
+    heavy = [r[0] for r in groups.where(F.col("deg") > max(1, asked.count() / HEAVY)).select("wa").distinct().collect()]
+    large = F.col("wa").isin(heavy)
+    few = asked.where(large).join(F.broadcast(groups.where(large)), ["wa", "wb"])
+    again = few.unionByName(asked.where(~large).join(groups.where(~large), ["wa", "wb"])).where(place != F.col("first"))
     start = F.col("at").bitwiseAND(F.lit(LOW_32))
     return out.unionByName(again.select("id", F.shiftright("at", 32).alias("tie"), start.alias("a"), start.alias("b")))
 
