@@ -30,7 +30,7 @@ RUN = re.compile("[A-Za-zÀ-ÿ]+")
 DROP_ONE_IN, MIN_LENGTH, MIN_COUNT, FORM_FACTOR = 97, 5, 3, 2
 
 #: Words of a shard at most; bytes of tries that are broadcast at once.
-SHARD_WORDS, BLOCK_BYTES = 1 << 15, 32 << 20
+SHARD_WORDS, BLOCK_BYTES = 1 << 18, 32 << 20
 #: Words that a task looks up; their walks take longer than their bytes tell.
 TASK_WORDS = 1 << 14
 #: Distinct words that a task counts before it hands them on.
@@ -79,90 +79,98 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 class Trie:
     """Flat arrays: node i's children are at first[i] to first[i + 1] - 1, by letter; count[i] is the n of the word that ends there, or 0."""
 
-    def __init__(self, words: list[str], counts: list[int]) -> None:
-        """words: sorted by code points, no two equal."""
-        self.letter, self.first, self.count = array("H", [0]), array("I"), array("q", [0])
+    def __init__(self, words: list[bytes], counts: list[int]) -> None:
+        """words: in Latin-1, which holds all letters; sorted, no two equal."""
+        letter, self.first, self.count = bytearray(1), array("I"), array("q", [0])
         level, depth = [(0, len(words))], 0  # ranges of words below each node of a level
         while level:
             nxt = []
             for lo, hi in level:
-                self.first.append(len(self.letter))
+                self.first.append(len(letter))
                 at = lo + (len(words[lo]) == depth) if hi > lo else hi
                 while at < hi:
                     c, end = words[at][depth], at + 1
                     while end < hi and words[end][depth] == c:
                         end += 1
-                    self.letter.append(ord(c))
+                    letter.append(c)
                     self.count.append(counts[at] if len(words[at]) == depth + 1 else 0)
                     nxt.append((at, end))
                     at = end
             level, depth = nxt, depth + 1
-        self.first.append(len(self.letter))
+        self.first.append(len(letter))
+        self.letter = bytes(letter)
 
     def to_bytes(self) -> bytes:
         head = array("I", [len(self.letter), len(self.first)])
-        return b"".join(x.tobytes() for x in (head, self.letter, self.first, self.count))
+        return b"".join((head.tobytes(), self.letter, self.first.tobytes(), self.count.tobytes()))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Trie:
         out = cls.__new__(cls)
         n, m = array("I", data[:8])
-        at = 8
-        for name, kind, size in (("letter", "H", n), ("first", "I", m), ("count", "q", n)):
+        out.letter, at = data[8 : 8 + n], 8 + n
+        for name, kind, size in (("first", "I", m), ("count", "q", n)):
             to = at + size * array(kind).itemsize
             setattr(out, name, array(kind, data[at:to]))
             at = to
         return out
 
-    def near(self, word: list[int]) -> Iterator[tuple[list[int], int]]:
-        """(letters, count) of each word exactly one edit from word, depth-first, each once."""
-        letter, first, count = self.letter, self.first, self.count
+    def near(self, word: bytes) -> list[tuple[bytes, int]]:
+        """(word, count) of each word exactly one edit from word, depth-first, each once."""
+        find, first, count, out = self.letter.find, self.first, self.count, []
         size = len(word)
 
         def rest(node: int, at: int) -> int:
-            """The node that word[at:] leads to from node, or 0."""
-            while at < size:
-                lo, hi = first[node], first[node + 1]
-                node = bisect_left(letter, word[at], lo, hi)
-                if node == hi or letter[node] != word[at]:
+            """The count at the node that word[at:] leads to from node; 0 if there is none."""
+            for c in word[at:]:
+                node = find(c, first[node], first[node + 1])
+                if node < 0:
                     return 0
-                at += 1
-            return node
+            return count[node]
 
         node = 0
         for at in range(size + 1):
-            own = word[at] if at < size else -1
-            # Deleting one of equal neighbours gives one word: the last of them goes.
-            if own >= 0 and (at + 1 == size or word[at + 1] != own):
-                end = rest(node, at + 1)
-                if end and count[end]:
-                    yield word[:at] + word[at + 1 :], count[end]
-            nxt = 0
-            for child in range(first[node], first[node + 1]):
-                c = letter[child]
-                if c == own:
-                    nxt = child  # inserting it here is inserting it after itself
-                    continue
-                if own >= 0:
-                    end = rest(child, at + 1)
-                    if end and count[end]:
-                        yield word[:at] + [c] + word[at + 1 :], count[end]
-                end = rest(child, at)
-                if end and count[end]:
-                    yield word[:at] + [c] + word[at:], count[end]
-            if not nxt:
-                return
+            lo, hi = first[node], first[node + 1]
+            nxt, after = -1, -1
+            if at < size:
+                own = word[at]
+                nxt = find(own, lo, hi)
+                after = word[at + 1] if at + 1 < size else -1
+                # Deleting one of equal neighbours gives one word: the last of them goes.
+                if after != own and (n := rest(node, at + 1)):
+                    out.append((word[:at] + word[at + 1 :], n))
+            for child in range(lo, hi):
+                if child == nxt:
+                    continue  # inserting it here is inserting it after itself
+                below, end = first[child], first[child + 1]
+                if at == size:
+                    n = count[child]
+                else:
+                    if after < 0:
+                        n = count[child]
+                    else:
+                        to = find(after, below, end)
+                        n = rest(to, at + 2) if to >= 0 else 0
+                    if n:
+                        out.append((word[:at] + self.letter[child : child + 1] + word[at + 1 :], n))
+                    to = find(own, below, end)
+                    n = rest(to, at + 1) if to >= 0 else 0
+                if n:
+                    out.append((word[:at] + self.letter[child : child + 1] + word[at:], n))
+            if nxt < 0:
+                break
             node = nxt
+        return out
 
 
 def shards(words: DataFrame, size: int = SHARD_WORDS) -> DataFrame:
     """(word, n) -> (trie): sorted words, at most `size` of them a trie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_words: list[str] = []
+        held_words: list[bytes] = []
         held_n: list[int] = []
         for batch in batches:
-            held_words += batch.column(0).to_pylist()
+            held_words += [w.encode("latin-1") for w in batch.column(0).to_pylist()]
             held_n += batch.column(1).to_pylist()
             while len(held_words) >= size:
                 yield pa.RecordBatch.from_arrays([pa.array([Trie(held_words[:size], held_n[:size]).to_bytes()], pa.binary())], ["trie"])
@@ -198,14 +206,14 @@ def neighbours(words: DataFrame, tries: list[bytes], tasks: int) -> DataFrame:
         for batch in batches:
             rows = []
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                letters, found, best = list(map(ord, word)), 0, None
+                letters, found, best = word.encode("latin-1"), 0, None
                 for trie in own:
                     for other, m in trie.near(letters):
                         found += 1
                         if best is None or (-m, other) < best:
                             best = (-m, other)
                 if best:
-                    rows.append((word, n, found, "".join(map(chr, best[1])), -best[0]))
+                    rows.append((word, n, found, best[1].decode("latin-1"), -best[0]))
             names = ["word", "n", "n_near", "best", "best_n"]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names)
 
