@@ -233,60 +233,86 @@ def test_coverage_of_a_video_without_ticks(spark):
 def _stream(spark, tmp_path, batches, schema, build, mode="append"):
     """Feeds batches one after the other as files, restarting the query from its checkpoint after each."""
     folder, out = tmp_path / "in", str(tmp_path / "out")
-    folder.mkdir()
+    folder.mkdir(parents=True)
     from spanlight.streaming import stateful
 
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # state has a store a partition
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / f"b{i}"))
         df = build(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(folder)))
         q = df.writeStream.outputMode(mode).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).foreachBatch(stateful.write_block(out)).start()
         q.awaitTermination()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     return spark.read.option("basePath", out).parquet(out)
 
 
-def test_streaming_nearest_frames(spark, tmp_path):
+def _cuts(rng, rows, late, end):
+    """rows, (time, ...), in an order in which none is more than `late` after a later one, in three micro-batches, and `end` alone."""
+    rows = sorted(rows, key=lambda r: r[0] + rng.uniform(0, late))
+    a, b = sorted(rng.sample(range(1, len(rows)), 2))
+    return [[r[1] for r in part] for part in (rows[:a], rows[a:b], rows[b:])] + [end]
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_streaming_nearest_frames_for_any_split(spark, tmp_path, seed):
+    """Targets and frames come late and out of order; another video's rows move the watermark."""
     from spanlight.operators import intervals
     from spanlight.streaming import stateful
 
-    schema = "video_id string, kind string, pts long, frame_id long"
-    frames = [4, 90, 110, 220, 300, 300, 420]
-    targets = [0, 100, 97, 200, 255, 260, 305, 500]
-    rows = [("v", "target", t, None) for t in targets] + [("v", "frame", p, i) for i, p in enumerate(frames[:3])]
-    late = [("v", "frame", p, 3 + i) for i, p in enumerate(frames[3:])] + [("w", "target", 5, None)]
-    end = [("v", "end", None, None), ("w", "end", None, None)]
-    got = _stream(spark, tmp_path, [rows, late, end], schema, lambda df: stateful.nearest_stream(df, 60)).collect()
-    t = spark.createDataFrame([("v", x) for x in targets] + [("w", 5)], "video_id string, at long")
-    f = spark.createDataFrame([("v", p, i) for i, p in enumerate(frames)], "video_id string, at long, id long")
-    want = intervals.nearest_join(t, f, ["video_id"], "at", "id", 60).collect()
+    ms, rng = 1000, random.Random(seed)
+    frames = [("v", rng.randrange(0, 5000) * ms, i) for i in range(40)] + [("u", 900 * ms, 99)]
+    targets = [("v", rng.randrange(0, 5200) * ms) for _ in range(40)] + [("u", 0), ("w", 100 * ms)]
+    rows = [(p, (v, "frame", p, i)) for v, p, i in frames] + [(p, (v, "target", p, None)) for v, p in targets]
+    end = [(v, "end", 9_000 * ms, None) for v in "vuw"]
+    got = _stream(spark, tmp_path, _cuts(rng, rows, 400 * ms, end), "video_id string, kind string, pts long, frame_id long", lambda df: stateful.nearest_stream(df, 300 * ms, "500 milliseconds")).collect()
+    t = spark.createDataFrame(targets, "video_id string, at long")
+    f = spark.createDataFrame([(v, p, i) for v, p, i in frames], "video_id string, at long, id long")
+    want = intervals.nearest_join(t, f, ["video_id"], "at", "id", 300 * ms).collect()
     key = lambda rows, at: sorted((r.video_id, r[at], r.frame_pts or -1, r.error_code or "") for r in rows)
     assert key(got, "target_pts") == key(want, "at")
-    bad = spark.createDataFrame([("v", "frame", 9, 1), ("v", "frame", 5, 2)], schema)
-    bad.coalesce(1).write.parquet(str(tmp_path / "bad"))
-    with pytest.raises(Exception, match="follows one at"):
-        stateful.nearest_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "bad"))).writeStream.format("noop").outputMode("append").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start().awaitTermination()
 
 
-def test_streaming_tracklets_equal_the_batch(spark, tmp_path):
+def test_streaming_late_target_finds_its_frame(spark, tmp_path):
+    from spanlight.streaming import stateful
+
+    rows = [[("v", "frame", 0, 1), ("v", "frame", 100_000, 2)], [("v", "target", 10_000, None)], [("x", "frame", 900_000, 3)]]
+    got = _stream(spark, tmp_path, rows, "video_id string, kind string, pts long, frame_id long", lambda df: stateful.nearest_stream(df, late="200 milliseconds", idle=300_000)).collect()
+    assert [tuple(r)[:4] for r in got] == [("v", 10_000, 1, 0)]
+    # Video v said no end: a timer has closed it, and its state is gone.
+    left = spark.read.format("statestore").option("stateVarName", "frames").load(str(tmp_path / "ck")).select("key.video_id").distinct().collect()
+    assert [r[0] for r in left] == ["x"]
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_streaming_tracklets_equal_the_batch_for_any_split(spark, tmp_path, seed):
     from spanlight.streaming import stateful
 
-    rng = random.Random(2)
+    ms, rng = 1000, random.Random(seed)
     schema = "video_id string, camera_id string, detection_id long, pts long, label string, x0 double, y0 double, x1 double, y1 double"
-    rows = sorted([("v", rng.choice(["c", "k"]), i, rng.randrange(2000), rng.choice(["a", "b"]), x := rng.random(), 0.0, x + 0.5, 1.0) for i in range(120)], key=lambda r: (r[3], r[2]))
-    cut = [k for k in range(40, 80) if rows[k][3] > rows[k - 1][3]][0]
-    got = {r.detection_id: r.tracklet for r in _stream(spark, tmp_path, [rows[:cut], rows[cut:]], schema, lambda df: stateful.tracklet_stream(df, 90, 30)).collect()}
-    want = {r.detection_id: r.tracklet for r in tracks.associate(spark.createDataFrame(rows, schema), 90, 30).collect()}
-    assert got == want
+    rows = [("v", rng.choice(["c", "k"]), i, rng.randrange(2000) * ms, rng.choice(["a", "b"]), x := rng.random(), 0.0, x + 0.5, 1.0) for i in range(120)]
+    end = [("z", "c", 999, 9_000 * ms, "a", 0.0, 0.0, 1.0, 1.0)]
+    out = _stream(spark, tmp_path, _cuts(rng, [(r[3], r) for r in rows], 100 * ms, end), schema, lambda df: stateful.tracklet_stream(df, 90 * ms, 30 * ms, late="150 milliseconds")).where("video_id = 'v'").collect()
+    want = tracks.associate(spark.createDataFrame(rows, schema), 90 * ms, 30 * ms).collect()
+    assert {r.detection_id: r.tracklet for r in out if r.event == "placed"} == {r.detection_id: r.tracklet for r in want}
+    # Each track is closed once, by a timer at last, with the continuity that the batch gives it.
+    assert sorted((r.tracklet, r.continuity) for r in out if r.event == "closed") == sorted({(r.tracklet, r.continuity) for r in want})
 
 
-def test_ledger_stream_restarts_and_replays(spark, tmp_path):
+def test_ledger_stream_checks_restarts_and_replays(spark, tmp_path):
     from spanlight.streaming import stateful
 
-    schema = "video_id string, target_pts long, seq long, status string"
-    first = [("v", p, 1, "pending") for p in range(50)]
-    then = [("v", p, 2, "embedded") for p in range(30)]
-    out = _stream(spark, tmp_path, [first, then], schema, stateful.ledger_stream, "complete")
-    last = out.where(f"batch = {out.agg(F.max('batch')).first()[0]}")
-    assert {r.status: r.n for r in last.groupBy("status").agg(F.count("*").alias("n")).collect()} == {"embedded": 30, "pending": 20}
+    schema = "video_id string, target_pts long, seq long, status string, at long"
+    rng = random.Random(4)
+    rows = [("v", p, s, rng.choice(list(ledger.TRANSITIONS)), 1000 * (s + 1)) for p in range(30) for s in range(rng.randint(1, 5))] + [("v", 99, 0, "pending", 1)]
+    batches = [[r for r in rows if r[2] < 2], [r for r in rows if r[2] >= 1]]  # the changes of number 1 come twice
+    out = _stream(spark, tmp_path, batches, schema, stateful.ledger_stream)
+    want = ledger.transitions(spark.createDataFrame(rows, schema).withColumnRenamed("status", "state"), ["video_id", "target_pts"], "seq")
+    plain = lambda df, state: sorted(map(tuple, df.select("video_id", "target_pts", "seq", state, F.coalesce("before", F.lit("")), "legal").collect()))
+    assert plain(out, "status") == plain(want, "state")
+    last = _stream(spark, tmp_path / "later", [[("v", 1, 0, "pending", 10)], [("w", 1, 0, "pending", 9_000_000)]], schema, lambda df: stateful.ledger_stream(df, 1_000_000, "1 second"))
+    assert last.count() == 2
+    left = spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "later" / "ck")).select("key.video_id").collect()
+    assert [r[0] for r in left] == ["w"]
     again = stateful.write_block(str(tmp_path / "replay"))
     for _ in range(2):
         again(spark.range(7), 3)
