@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import label_match
+from ..sources.shared import materialize
 from .graph import bounded_count, fold_safety, visible_none
+from .reducer import join_all
 
 #: Predicates that stored edges may have, and what a query's predicate is stored as; None is for the verifier alone (fixed values).
 EDGE_PREDICATES = {"overlaps", "precedes", "follows", "near", "contains", "belongs_to_track", "carries", "enters", "exits", "co_occurs"}
@@ -132,39 +134,34 @@ def _bound(rows: DataFrame, name: str) -> DataFrame:
 def bindings(nodes: DataFrame, edges: DataFrame, pattern: Pattern) -> DataFrame:
     """video_id, camera_id and a struct for each variable (or group of alternatives, by its name): all complete bindings.
 
-    A variable joins what is bound so far by scope, and by the required edges and
-    orders that tie it to bound ones, so most joins have an edge's key. Optional
-    edges come last, as left joins that add `edge_<n>`.
+    Each pair of variables that required edges tie is a relation of the nodes at
+    both ends, each other variable one of its own nodes. They are joined without
+    dead rows (`reducer`); an order filters once both of its variables are bound.
+    Optional edges come last, as left joins that add `edge_<n>`.
     """
+    nodes, edges = materialize(nodes, "pattern-nodes"), materialize(edges, "pattern-edges")
     sets = {v: matches(nodes, edges, pattern.named[v]) for v in pattern.joined()} | {g.group: choices(nodes, edges, pattern, g) for g in pattern.grouped("any")}
-    by = edges.select(F.col("subject").alias("s_"), F.col("predicate").alias("p_"), F.col("object").alias("o_")).distinct()
-    out: DataFrame | None = None
-    done: list[str] = []
-    # A variable tied to a bound one comes before one that isn't: scope alone is a coarse key.
-    todo = list(sets)
-    while todo:
-        tied = lambda n: any({e.subject, e.object} - {n} <= set(done) and n in (e.subject, e.object) for e in pattern.edges if e.required)
-        name = next((n for n in todo if done and tied(n)), todo[0])
-        todo.remove(name)
-        new = _bound(sets[name], name)
-        ties = [e for e in pattern.edges if e.required and name in (e.subject, e.object) and ({e.subject, e.object} - {name}) <= set(done) and e.subject != e.object]
-        if out is None:
-            out = new.select(*[F.col(f"{c}_{name}").alias(c) for c in SCOPE], name)
-        else:
-            on = [F.col(c).eqNullSafe(F.col(f"{c}_{name}")) for c in SCOPE]
-            for i, e in enumerate(ties):
-                other = e.object if e.subject == name else e.subject
-                far, near = ("o_", "s_") if e.subject == other else ("s_", "o_")
-                hop = by.where(F.col("p_") == e.predicate).select(F.col(near).alias("near_"), F.col(far).alias(f"far{i}_"))
-                out = out.join(hop, F.col(f"{other}.node") == F.col("near_")).drop("near_")
-                on.append(F.col(f"far{i}_") == F.col(f"{name}.node"))
-            for o in pattern.orders:
-                if name in (o.first, o.second) and ({o.first, o.second} - {name}) <= set(done):
-                    on += _ordered(o)
-            out = out.join(new, reduce(lambda a, b: a & b, on)).drop(*[f"{c}_{name}" for c in SCOPE], *[f"far{i}_" for i in range(len(ties))])
-        done.append(name)
-    if out is None:
+    if not sets:
         raise ValueError("a pattern without a variable to bind")
+    sets = {n: materialize(_bound(s, n), "pattern-set") for n, s in sets.items()}
+    by = edges.select(F.col("subject").alias("s_"), F.col("predicate").alias("p_"), F.col("object").alias("o_")).distinct()
+    relations, frames = _relations(sets, by, pattern)
+    left = list(pattern.orders)
+
+    def ordered(rows: DataFrame, have: set[str]) -> DataFrame:
+        for o in [o for o in left if {o.first, o.second} <= have]:
+            left.remove(o)
+            times = [sets[n].select(F.col(f"{n}.node").alias(f"{n}_at"), F.col(n).alias(f"{n}_s")) for n in (o.first, o.second)]
+            for n, t in zip((o.first, o.second), times, strict=True):
+                rows = rows.join(t, F.col(n) == F.col(f"{n}_at")).drop(f"{n}_at")
+            rows = rows.where(reduce(lambda a, b: a & b, _ordered(o, "_s"))).drop(*[f"{n}_s" for n in (o.first, o.second)])
+        return rows
+
+    ids = join_all(frames, relations, SCOPE, ordered)
+    out = ids.select(*SCOPE, *[F.col(n).alias(f"{n}_id") for n in sets])
+    for n, s in sets.items():
+        out = out.join(s.select(n), F.col(f"{n}_id") == F.col(f"{n}.node"))
+    out = out.select(*SCOPE, *sets)
     for i, e in enumerate(pattern.edges):
         if not e.required:
             hop = by.where(F.col("p_") == e.predicate).select(F.col("s_").alias("near_"), F.col("o_").alias("far_"), F.lit(True).alias(f"edge_{i}"))
@@ -172,8 +169,33 @@ def bindings(nodes: DataFrame, edges: DataFrame, pattern: Pattern) -> DataFrame:
     return out
 
 
-def _ordered(o: Order) -> list[Column]:
-    first, second = (o.second, o.first) if o.relation == "after" else (o.first, o.second)
+def _relations(sets: dict[str, DataFrame], by: DataFrame, pattern: Pattern) -> tuple[dict[str, set[str]], dict[str, DataFrame]]:
+    """The variables of each relation, and its rows: scope and a node id for each variable."""
+    ids = {n: s.select(*[F.col(f"{c}_{n}").alias(c) for c in SCOPE], F.col(f"{n}.node").alias(n)) for n, s in sets.items()}
+    relations: dict[str, set[str]] = {}
+    frames: dict[str, DataFrame] = {}
+    for e in pattern.edges:
+        if not e.required or e.subject == e.object:
+            continue
+        a, b = sorted((e.subject, e.object))
+        hop = by.where(F.col("p_") == e.predicate).select(F.col("s_").alias(e.subject), F.col("o_").alias(e.object))
+        name = f"{a} {b}"
+        if name in frames:
+            frames[name] = frames[name].join(hop, [a, b], "left_semi")
+        else:
+            other = ids[b].select(*[F.col(c).alias(f"{c}_b") for c in SCOPE], b)
+            both = hop.join(ids[a], a).join(other, b)
+            frames[name] = both.where(reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}_b")) for c in SCOPE])).select(*SCOPE, a, b)
+            relations[name] = {a, b}
+    frames = {n: materialize(f, "pattern-tie") for n, f in frames.items()}
+    for n in sets:
+        if not any(n in r for r in relations.values()):
+            relations[n], frames[n] = {n}, ids[n]
+    return relations, frames
+
+
+def _ordered(o: Order, end: str = "") -> list[Column]:
+    first, second = (f"{n}{end}" for n in ((o.second, o.first) if o.relation == "after" else (o.first, o.second)))
     gap = F.col(f"{second}.t0") - F.col(f"{first}.t1")
     said = [gap >= 0, gap <= o.max_gap]
     if o.same_actor:
