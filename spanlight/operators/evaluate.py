@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio, t_iou
 from ..sources.shared import discard, materialize
 from .intervals import overlap_join
+from .selection import percentiles
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -25,11 +28,12 @@ def class_scores(pairs: DataFrame) -> DataFrame:
 
 
 def latency(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Interpolated and nearest-rank percentiles are different measures; both are exact."""
-    return df.groupBy(*keys).agg(
-        F.expr(f"percentile({value}, 0.5)").alias("p50"), F.expr(f"percentile({value}, 0.95)").alias("p95"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95_rank"), F.avg(value).alias("mean"), F.count("*").alias("runs"),
-    )
+    """Interpolated and nearest-rank percentiles are different measures; both are exact, and no group is held in one task."""
+    ranks = percentiles(df, keys, value, {"p50": 0.5, "p95": 0.95}, {"p95_rank": 0.95})
+    rest = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count("*").alias("runs"))
+    other = ranks.select(*[F.col(k).alias(f"{k}_r") for k in keys], "p50", "p95", "p95_rank")
+    met = rest.join(other, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in keys], F.lit(True)), "left")
+    return met.select(*keys, "p50", "p95", "p95_rank", "mean", "runs")
 
 
 def leaks(rows: DataFrame, group: str, split: str) -> DataFrame:
