@@ -315,8 +315,8 @@ def near_miss_rank(spark, d):
 
 
 def archive_conclusion(spark, d):
-    """Every thirty-second of the candidates is an archive of few; of five archives one was cut short."""
-    rows = _judged(spark, d).where("candidate % 7 < 2").withColumn("archive", F.floor(F.col("candidate") / 16))
+    """Archives of two neighbouring candidates at most; of five archives one was cut short."""
+    rows = _judged(spark, d).withColumn("archive", F.floor(F.col("candidate") / 2))
     return decide.conclusion(rows, ["archive"], F.col("archive") % 5 != 0, mixed="insufficient_visual_evidence")
 
 
@@ -412,7 +412,7 @@ ORACLE_SQL = {
     "dataset_summary": "SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(grouping(lang, source) AS INT) AS level FROM documents GROUP BY CUBE (lang, source)",
     "decide_candidates": f"WITH {_DECIDED} SELECT * FROM dc",
     "near_miss_rank": f"WITH {_DECIDED} SELECT candidate, supported, contradicted, CAST(row_number() OVER (ORDER BY supported DESC, contradicted, (candidate % 10) / 10.0 DESC, candidate) AS INT) AS rank FROM dc WHERE rejected_near_match",
-    "archive_conclusion": f"WITH {_DECIDED}, a AS (SELECT *, candidate // 16 AS archive FROM dc WHERE candidate % 7 < 2) SELECT archive, CASE WHEN bool_or(verified_match) THEN 'verified_matches_found' WHEN archive % 5 = 0 THEN 'search_incomplete' WHEN bool_or(unresolved_visual) THEN 'insufficient_visual_evidence' WHEN bool_or(unresolved_system) THEN 'not_applicable' ELSE 'no_verified_match' END AS conclusion, count(*) FILTER (verified_match) AS matches, count(*) FILTER (rejected_near_match) AS near_misses FROM a GROUP BY archive",
+    "archive_conclusion": f"WITH {_DECIDED}, a AS (SELECT *, candidate // 2 AS archive FROM dc) SELECT archive, CASE WHEN bool_or(verified_match) THEN 'verified_matches_found' WHEN archive % 5 = 0 THEN 'search_incomplete' WHEN bool_or(unresolved_visual) THEN 'insufficient_visual_evidence' WHEN bool_or(unresolved_system) THEN 'not_applicable' ELSE 'no_verified_match' END AS conclusion, count(*) FILTER (verified_match) AS matches, count(*) FILTER (rejected_near_match) AS near_misses FROM a GROUP BY archive",
     "budget_split": f"WITH c AS ({_CLUSTER}), r AS (SELECT *, CAST(row_number() OVER (ORDER BY priority DESC, video_id, t0, t1) AS INT) AS rank FROM c) SELECT video_id, t0, rank, CASE WHEN rank <= 10 THEN 'verify' ELSE 'timeout' END AS state FROM r",
     "boundary_refine": _T + f", g AS (SELECT video_id, camera_id, t0, t1, min(pts) FILTER (score >= 0.3) AS a, max(pts) FILTER (score >= 0.3) AS b FROM hits WHERE scale = {30 * HOUR} GROUP BY ALL) SELECT video_id, camera_id, t0, t1, greatest(coalesce(a, t0) - {HOUR}, t0) AS onset, least(coalesce(b, t1) + {HOUR}, t1) AS offset FROM g".replace(" AS offset", ' AS "offset"'),
     "detection_resume_check": _T + ", o AS (SELECT tick_id, label FROM ticks WHERE tick_id % 5 <> 0), n AS (SELECT tick_id, CASE WHEN tick_id % 11 = 0 THEN 'changed' ELSE label END AS label FROM ticks WHERE tick_id % 7 <> 0) SELECT CASE WHEN o.tick_id IS NULL THEN 'added' WHEN n.tick_id IS NULL THEN 'missing' WHEN o.label <> n.label THEN 'diverged' ELSE 'same' END AS state, count(*) AS n FROM o FULL JOIN n ON o.tick_id = n.tick_id GROUP BY 1",

@@ -204,11 +204,11 @@ def node_scope(spark, d):
     return _nodes(spark, d).where(pattern.in_scope(v)).select("node")
 
 
-@query(f"{_T} SELECT video_id, scale, t0 FROM (SELECT *, ['z' || ((t0 // {HOUR}) % 5), 'z' || (scale // {4 * HOUR} % 7)] AS zones FROM windows WHERE video_id IN ('v1', 'v3')) WHERE list_has_any(zones, ['z1', 'z4'])")
+@query(f"{_T} SELECT video_id, scale, t0 FROM (SELECT *, ['z' || ((t0 // {HOUR}) % 5), 'z' || (scale // {4 * HOUR} % 7)] AS zones FROM windows) WHERE list_has_any(zones, ['z1', 'z4'])")
 def zone_filter(spark, d):
     zone = lambda x: F.concat(F.lit("z"), x.cast("long").cast("string"))
     w = ledger.windows(src.videos(spark, d)).withColumn("zones", F.array(zone(F.floor(F.col("t0") / HOUR) % 5), zone(F.floor(F.col("scale") / (4 * HOUR)) % 7)))
-    return retrieve.in_zones(w.where(F.col("video_id").isin("v1", "v3")), ["z1", "z4"]).select("video_id", "scale", "t0")
+    return retrieve.in_zones(w, ["z1", "z4"]).select("video_id", "scale", "t0")
 
 
 @query(f"{_T} SELECT tick_id, CASE WHEN tick_id % 3 = 0 THEN (tick_id % 5 = 0) WHEN tick_id % 3 = 1 THEN (tick_id % 7 = 0 OR tick_id % 5 = 0) ELSE (tick_id % 2 = 0) END AS matches FROM ticks")
@@ -299,12 +299,12 @@ def video_coverage(spark, d):
     return base._round(ledger.coverage(src.ticks(spark, d), ["video_id"], every), "coverage")
 
 
-_WL = f"""{_LEDGER}, x AS (SELECT w.video_id, w.camera_id, w.scale, w.t0, w.t1, l.status, l.tick_id, f.luminance, f.sharpness FROM windows w LEFT JOIN led l ON l.video_id = w.video_id AND l.camera_id = w.camera_id AND l.pts >= w.t0 AND l.pts < w.t1 AND l.tick_id % 3 = 0 LEFT JOIN frames f ON f.frame_id = l.frame_id)"""
+_WL = f"""{_LEDGER}, x AS (SELECT w.video_id, w.camera_id, w.scale, w.t0, w.t1, l.status, l.tick_id, f.luminance, f.sharpness FROM windows w LEFT JOIN led l ON l.video_id = w.video_id AND l.camera_id = w.camera_id AND l.pts >= w.t0 AND l.pts < w.t1 LEFT JOIN frames f ON f.frame_id = l.frame_id)"""
 
 
 @query(f"{_WL} SELECT video_id, camera_id, scale, t0, t1, count(tick_id) AS expected_ticks, count(*) FILTER (status = 'embedded') AS observed_ticks, count(*) FILTER (status = 'embedded' AND luminance >= 0.2 AND sharpness >= 5) AS quality_assessable_ticks, count(*) FILTER (status = 'embedded' AND luminance < 0.2) AS low_light_ticks, 0::BIGINT AS assessable_ticks, count(tick_id) > 0 AND count(tick_id) = count(*) FILTER (status = 'embedded') AS coverage_complete FROM x GROUP BY ALL")
 def window_ledger(spark, d):
-    return ledger.window_ledger(ledger.windows(src.videos(spark, d)), _ledger(spark, d).where("tick_id % 3 = 0"), _frames(spark, d), 0.2, 5.0, 4 * HOUR)
+    return ledger.window_ledger(ledger.windows(src.videos(spark, d)), _ledger(spark, d), _frames(spark, d), 0.2, 5.0, 4 * HOUR)
 
 
 @query(f"{_T} SELECT w.video_id, w.camera_id, w.scale, w.t0, w.t1, max(t.score) AS score FROM windows w LEFT JOIN ticks t ON t.video_id = w.video_id AND t.camera_id = w.camera_id AND t.pts >= w.t0 AND t.pts < w.t1 AND t.label = 'signup' GROUP BY ALL")
@@ -334,10 +334,12 @@ def build_states(spark, d):
     return ledger.build_state(src.parquet(spark, d, "orders").select(F.col("o_custkey").alias("build"), k.alias("seq"), event.alias("event")), ["build"])
 
 
-@query("SELECT vec_id // 64 AS block, count(*) AS \"rows\", min(vec_id) AS first_id, max(vec_id) AS last_id, sha256(string_agg(sha256(vec_id || chr(31) || label), '' ORDER BY vec_id)) AS digest FROM embeddings GROUP BY ALL")
+@query("SELECT vec_id // 64 AS block, count(*) AS \"rows\", min(vec_id) AS first_id, max(vec_id) AS last_id, sha256(string_agg(sha256(vec_id || chr(31) || label || chr(31) || array_to_string(list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 1099511627776) AS BIGINT)), ',')), '' ORDER BY vec_id)) AS digest FROM embeddings GROUP BY ALL")
 def embedding_manifest(spark, d):
     e = src.parquet(spark, d, "embeddings").withColumn("block", F.floor(F.col("vec_id") / 64))
-    return ledger.block_manifest(e, ["block"], "vec_id", F.col("label").cast("string"))
+    # Components as whole multiples of 2^-40, which both engines write alike; a changed vector changes its block's digest.
+    vector = F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * (1 << 40)).cast("string")), ",")
+    return ledger.block_manifest(e, ["block"], "vec_id", F.col("label").cast("string"), vector)
 
 
 @query("SELECT DISTINCT event_id // 50 AS block FROM events WHERE event_id // 50 NOT IN (SELECT event_id // 50 FROM events WHERE event_id % 450 = 0)")
