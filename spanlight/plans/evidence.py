@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite, frame_difference, in_group_scope, label_match, luminance, norm, normalised, payload, sharpness
-from ..operators import assemble, checks, decide, fuse, graph, intervals, ledger, pattern, retrieve
+from ..operators import assemble, boundary, checks, decide, fuse, graph, intervals, ledger, pattern, retrieve
 from ..sources import tables as src
+from ..sources.shared import materialize, new_path
 from . import catalogue as base
 
 HOUR = ledger.HOUR
@@ -533,3 +534,41 @@ def schema_errors(spark, d):
     v = F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.lit(',"v":2')).otherwise(F.lit(',"v":1'))
     doc = F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"tags":'), tags, v, F.when(k % 7 == 0, F.lit(',"z":0')).otherwise(F.lit("")), F.lit("}"))
     return src.parquet(spark, d, "events").select("event_id", F.array_join(errors(PROPS, F.try_parse_json(doc)), "; ").alias("errors"))
+
+
+def _fake_encoder(payloads: list) -> list:
+    """(event, value, user) -> (value, user); every 97th event poisons its batch."""
+    if any(int(p[0]) % 97 == 0 for p in payloads):
+        raise ValueError("poisoned")
+    return [p[1:] for p in payloads]
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 97 = 0 THEN 'ValueError: poisoned' WHEN value * value + user_id * user_id = 0 THEN 'no_direction' END AS error, CASE WHEN event_id % 97 <> 0 THEN round(value / nullif(sqrt(value * value + user_id::DOUBLE * user_id), 0), 6) END AS x FROM events")
+def encoded_events(spark, d):
+    """An injected encoder over all events; a poisoned row costs that row."""
+    e = src.parquet(spark, d, "events")
+    rows = e.select(F.col("event_id").alias("id"), F.array(F.col("event_id").cast("double"), "value", F.col("user_id").cast("double")).alias("payload"))
+    return base._round(boundary.encode(rows, _fake_encoder).select("id", "error", F.col("vector")[0].alias("x")), "x")
+
+
+def _fake_call(prompt: str, frames: list, wrong: str | None) -> str:
+    key = int(prompt)
+    if key % 11 == 0 or (key % 5 == 0 and wrong is None):
+        raise RuntimeError("no model")
+    return "supported" if key % 7 or wrong else "?"
+
+
+def _fake_valid(answer: str) -> bool:
+    return answer == "supported"
+
+
+@query("WITH r AS (SELECT o_orderkey AS k, 6 + o_orderkey % 20 AS n FROM orders) SELECT k AS \"key\", CASE WHEN n NOT BETWEEN 8 AND 24 THEN 'invalid_request' WHEN k % 11 = 0 THEN 'system_failure' ELSE 'stored' END AS outcome, CASE WHEN n BETWEEN 8 AND 24 AND k % 11 = 0 THEN 2 ELSE 0 END AS calls FROM r")
+def verified_again(spark, d):
+    """The second run over all requests: what the first one answered is read, only failures are asked again."""
+    k = F.col("o_orderkey")
+    o = src.parquet(spark, d, "orders").select(k.alias("key"), k.cast("string").alias("prompt"), F.sequence(F.lit(1).cast("long"), 6 + k % 20).alias("frames"))
+    requests = materialize(o.withColumn("digest", boundary.request_digest(F.col("prompt"), F.array_join("frames", ","))), "requests")
+    store = boundary.AnswerStore(spark, new_path(spark, "answers"))
+    boundary.verify_cached(requests, store, _fake_call, _fake_valid)
+    said = boundary.verify_cached(requests, store, _fake_call, _fake_valid)
+    return requests.select("key", "digest").join(said, "digest").select("key", "outcome", "calls")
