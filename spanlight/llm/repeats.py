@@ -293,12 +293,14 @@ def third_pass(runs: DataFrame, hot: set[int]) -> DataFrame:
         return out
     asked = materialize(windows(runs.where(is_hot)), "repeats-windows")
     place = F.struct(F.col("id").isNull().alias("late"), "id", "at")
-    groups = materialize(asked.groupBy("wa", "wb").agg(F.min(place).alias("first"), F.count("*").alias("deg")).where("deg > 1"), "repeats-groups")
-    # Groups of more than 1 / HEAVY of the windows, fewer than HEAVY, meet theirs by broadcast.
-    heavy = [r[0] for r in groups.where(F.col("deg") > max(1, asked.count() / HEAVY)).select("wa").distinct().collect()]
-    large = F.col("wa").isin(heavy)
-    few = asked.where(large).join(F.broadcast(groups.where(large)), ["wa", "wb"])
-    again = few.unionByName(asked.where(~large).join(groups.where(~large), ["wa", "wb"])).where(place != F.col("first"))
+    groups = asked.groupBy("wa", "wb").agg(F.min(place).alias("first"), F.count("*").alias("deg"))
+    # Groups of more than 1 / HEAVY of the windows, fewer than HEAVY, meet theirs by broadcast; the others are sorted as above.
+    most = materialize(groups.where(F.col("deg") > max(1, asked.count() / HEAVY)), "repeats-heavy")
+    large = F.col("wa").isin([r[0] for r in most.select("wa").distinct().collect()])
+    first = groups.where(large)  # with those that share wa alone with a heavy one
+    few = asked.where(large).join(F.broadcast(first), ["wa", "wb"]).where(place != F.col("first")).select("id", "at")
+    many = asked.where(~large).repartition("wa", "wb").sortWithinPartitions("wa", "wb", late, "at").mapInArrow(_again, "id long, at long")
+    again = few.unionByName(many)
     start = F.col("at").bitwiseAND(F.lit(LOW_32))
     return out.unionByName(again.select("id", F.shiftright("at", 32).alias("tie"), start.alias("a"), start.alias("b")))
 
