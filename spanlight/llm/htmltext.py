@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -47,16 +48,79 @@ SCOPE = {"table", "td", "th", "caption", "html", "body"}
 MAX_DEPTH = 150
 SPACE = " \t\n\r\f"
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL)
+_TOKEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL)
+_TAG_START = re.compile(r"</?[A-Za-z]")
+_MARK = re.compile("[>\"']")
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.IGNORECASE)
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_NAME_END = re.compile(r"[\s/>]")
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "tag")
+    """shown is False where visibility hides the node's own text and marker, but not its kids."""
+
+    __slots__ = ("attrs", "kids", "shown", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None) -> None:
-        self.tag, self.attrs, self.kids = tag, attrs or {}, []
+        self.tag, self.attrs, self.kids, self.shown = tag, attrs or {}, [], True
+
+
+class Tokens:
+    """Comments, declarations and tags in turn, in time linear in the page whatever stays open.
+
+    A tag that never closes is text. Whether one closes depends only on the quotes
+    and `>` from its name's end on. So the first failure makes a list of those, and
+    those from which no tag closes are remembered: each is walked once.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html, self.at = html, 0
+        self.last = html.rfind(">")
+        self.marks: list[int] | None = None
+        self.dead: set[int] = set()
+        self.name_end = -1  # the first end of a name at or after what was asked for last
+
+    def next(self, at: int) -> tuple[int, int, str | None, str | None, str] | None:
+        """(start, end, slash, name, attributes) of the first token from at on; name is None for what isn't a tag."""
+        html = self.html
+        while (i := html.find("<", at)) >= 0:
+            at = i + 1
+            if html.startswith("<!--", i):
+                end = html.find("-->", i + 4)
+                return i, end + 3 if end >= 0 else len(html), None, None, ""
+            if i > self.last:
+                continue
+            if html.startswith(("<!", "<?"), i):
+                return i, html.index(">", i) + 1, None, None, ""
+            if self.marks is None:
+                if m := _TOKEN.match(html, i):
+                    return i, m.end(), m[1], m[2], m[3]
+                if _TAG_START.match(html, i):
+                    self.marks = [m.start() for m in _MARK.finditer(html, i)]
+            if self.marks is not None and _TAG_START.match(html, i) and (found := self._tag(i)):
+                return found
+        return None
+
+    def _tag(self, i: int) -> tuple[int, int, str, str, str] | None:
+        html, marks = self.html, self.marks
+        if self.name_end < i + 2:
+            m = _NAME_END.search(html, i + 2)
+            self.name_end = m.start() if m else len(html)
+        if self.name_end == len(html):
+            return None
+        walked, k = [], bisect_left(marks, self.name_end)
+        while k < len(marks) and k not in self.dead:
+            walked.append(k)
+            p = marks[k]
+            if html[p] == ">":
+                m = _NAME.match(html, i)
+                return i, p + 1, m[1], m[2], html[m.end() : p]
+            close = html.find(html[p], p + 1)
+            if close < 0:
+                break
+            k = bisect_left(marks, close + 1)
+        self.dead.update(walked)
+        return None
 
 
 def attributes(said: str) -> dict[str, str]:
@@ -82,18 +146,19 @@ def parse(html: str) -> Node:
             elif stack[i].tag in stop:
                 return
 
-    at, n = 0, len(html)
+    at, n, tokens = 0, len(html), Tokens(html)
     while at < n:
-        m = _TOKEN.search(html, at)
+        m = tokens.next(at)
         if not m:
             text(html[at:])
             break
-        text(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        start, end, slash, name, said = m
+        text(html[at:start])
+        at = end
+        if name is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = name.lower()
+        if slash:
             if tag == "br":
                 stack[-1].kids.append(Node("br"))
             for i in range(len(stack) - 1, 0, -1):
@@ -113,51 +178,85 @@ def parse(html: str) -> Node:
             close({"p"}, SCOPE)
         if tag in IMPLIED:
             close(*IMPLIED[tag])
-        node = Node(tag, attributes(m[3]) if m[3].strip() else None)
+        node = Node(tag, attributes(said) if said.strip() else None)
         stack[-1].kids.append(node)
-        if tag in RAW and not (m[3].rstrip().endswith("/") and any(n.tag in ("svg", "math") for n in stack)):
+        if tag in RAW and not (said.rstrip().endswith("/") and any(n.tag in ("svg", "math") for n in stack)):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(html, at)
             node.kids.append(html[at : end.start()] if end else html[at:])
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].rstrip().endswith("/") and len(stack) < MAX_DEPTH:
+        elif tag not in VOID and not said.rstrip().endswith("/") and len(stack) < MAX_DEPTH:
             stack.append(node)
     return root
 
 
 _RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
 _COMPOUND = re.compile(r"(\*|[A-Za-z][\w-]*)?((?:[.#][\w-]+)*)\Z")
-_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*(?!none)\w|visibility\s*:\s*visible)", re.IGNORECASE)
+#: What hides by visibility, and elements that show something without text of their own (fixed values).
+UNSEEN = {"hidden", "collapse"}
+REPLACED = {"input", "textarea", "select"}
+
+
+def declared(css: str) -> dict[str, tuple[bool, str]]:
+    """display and visibility of a block of declarations as (important, value); the later one counts, but important ones first."""
+    out: dict[str, tuple[bool, str]] = {}
+    for one in css.split(";"):
+        name, colon, value = one.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        if colon and name in ("display", "visibility"):
+            value, mark, rest = value.partition("!")
+            new = (mark == "!" and rest.strip() == "important", value.strip())
+            if re.fullmatch(r"[a-z -]+", new[1]) and (name not in out or new[0] >= out[name][0]):
+                out[name] = new
+    return out
 
 
 class Styles:
     """What the page's style elements hide, by simple selectors: a tag, classes and an id, or several with commas.
 
     Selectors with combinators, attributes or pseudo-classes are left alone, as are
-    rules for other media. The more specific rule decides, then the later one.
+    rules for other media. Important rules go first, then the element's own style,
+    then the more specific rule, then the later one. Rules are found by id, class or
+    tag, so a node meets only those that name something of its own.
     """
 
     def __init__(self, root: Node) -> None:
-        self.rules: list[tuple[tuple[int, int, int], str, frozenset, str | None, bool]] = []
+        self.rules: dict[str, list[tuple[tuple, str, frozenset, str | None, dict]]] = {}
+        n = 0
         for css in _style_texts(root):
             css = _plain_rules(re.sub(r"/\*.*?(?:\*/|\Z)", "", css, flags=re.DOTALL))
             for m in _RULE.finditer(css):
-                hides = bool(_INVISIBLE.search(m[2]))
-                if hides or _SHOWN.search(m[2]):
+                if says := declared(m[2]):
                     for one in m[1].split(","):
                         if c := _COMPOUND.match(one.strip()) if one.strip() else None:
                             ids = re.findall(r"#([\w-]+)", c[2])
                             classes = frozenset(re.findall(r"\.([\w-]+)", c[2]))
                             tag = (c[1] or "*").lower()
                             if len(ids) < 2:
-                                self.rules.append(((len(ids), len(classes), tag != "*"), tag, classes, ids[0] if ids else None, hides))
-
-    def hides(self, node: Node) -> bool:
-        best, hidden = (-1, 0, 0), False
-        own = frozenset(node.attrs.get("class", "").split()) if "class" in node.attrs else frozenset()
-        for weight, tag, classes, id_, hides in self.rules:
-            if weight >= best and tag in ("*", node.tag) and classes <= own and (id_ is None or node.attrs.get("id") == id_):
-                best, hidden = weight, hides
-        return hidden
+                                n += 1
+                                key = f"#{ids[0]}" if ids else f".{min(classes)}" if classes else tag
+                                rule = (((len(ids), len(classes), tag != "*"), n), tag, classes, ids[0] if ids else None, says)
+                                self.rules.setdefault(key, []).append(rule)
+
+    def of(self, node: Node) -> dict[str, str]:
+        """The node's own display and visibility, where something says them."""
+        best: dict[str, tuple] = {}
+
+        def offer(says: dict, inline: bool, weight: tuple) -> None:
+            for name, (important, value) in says.items():
+                rank = (important, inline, weight, value)
+                if name not in best or rank[:3] >= best[name][:3]:
+                    best[name] = rank
+
+        if self.rules:
+            own = frozenset(node.attrs["class"].split()) if "class" in node.attrs else frozenset()
+            id_ = node.attrs.get("id")
+            for key in ("*", node.tag, *[f".{c}" for c in own], *([f"#{id_}"] if id_ is not None else [])):
+                for weight, tag, classes, wanted, says in self.rules.get(key, ()):
+                    if tag in ("*", node.tag) and classes <= own and wanted in (None, id_):
+                        offer(says, False, weight)
+        if "style" in node.attrs:
+            offer(declared(node.attrs["style"]), True, ())
+        return {name: rank[3] for name, rank in best.items()}
 
 
 def _style_texts(root: Node) -> Iterator[str]:
@@ -189,24 +288,45 @@ def _plain_rules(css: str) -> str:
 
 
 def hide_by_style(root: Node) -> None:
-    """Marks what the page's own style rules hide; an element's style attribute has the last word."""
+    """Marks what is not displayed, and takes out the text that visibility hides.
+
+    display: none takes an element with all it holds. visibility is inherited and
+    may be turned on again within; a table cell keeps its column though its text is
+    hidden, a collapsed row goes. A details element that isn't open shows its summary.
+    """
     styles = Styles(root)
-    if not styles.rules:
-        return
-    stack = [root]
-    while stack:
-        node = stack.pop()
+
+    def cascade(node: Node, seen: bool) -> bool:
+        """Whether anything in the node is shown."""
+        kids, some = [], False
+        if node.tag == "details" and "open" not in node.attrs:
+            node.kids = [k for k in node.kids if isinstance(k, Node) and k.tag == "summary"][:1]
         for kid in node.kids:
-            if isinstance(kid, Node):
-                if styles.hides(kid) and not ("style" in kid.attrs and _SHOWN.search(kid.attrs["style"])):
-                    kid.attrs["hidden"] = ""
-                else:
-                    stack.append(kid)
+            if isinstance(kid, str):
+                if seen:
+                    kids.append(kid)
+                    some = some or not kid.isspace()
+                continue
+            says = styles.of(kid)
+            own = says.get("visibility")
+            kid_seen = seen if own is None or own == "inherit" else own not in UNSEEN
+            if says.get("display") == "none" or (own == "collapse" and kid.tag in ("tr", "thead", "tbody", "tfoot")):
+                kid.attrs["hidden"] = ""
+            kid.shown = kid_seen
+            inner = cascade(kid, kid_seen) or kid_seen
+            if (not inner and kid.tag not in ("td", "th", "br")) or (not kid_seen and kid.tag in REPLACED):
+                kid.attrs["hidden"] = ""
+            some = some or inner
+            kids.append(kid)
+        node.kids = kids
+        return some
+
+    cascade(root, True)
 
 
 def visible(node: Node) -> bool:
     a = node.attrs
-    return node.tag not in HIDDEN and "hidden" not in a and not (node.tag == "input" and a.get("type", "").lower() == "hidden") and not ("style" in a and _INVISIBLE.search(a["style"])) and not (node.tag == "dialog" and "open" not in a)
+    return node.tag not in HIDDEN and "hidden" not in a and not (node.tag == "input" and a.get("type", "").lower() == "hidden") and not (node.tag == "dialog" and "open" not in a)
 
 
 def width(s: str) -> int:
@@ -346,7 +466,11 @@ def foreign(node: Node, page: Page, kind: str) -> None:
 
 def list_lines(node: Node, page: Page) -> None:
     ordered = node.tag == "ol"
-    n = int(node.attrs["start"]) if re.fullmatch(r"-?\d{1,9}", node.attrs.get("start", "")) else 1
+    whole = lambda a: int(a) if re.fullmatch(r"\s*[-+]?[0-9]{1,9}\s*", a) else None
+    step = -1 if ordered and "reversed" in node.attrs else 1
+    n = whole(node.attrs.get("start", ""))
+    if n is None:
+        n = 1 if step > 0 else sum(isinstance(k, Node) and k.tag == "li" and visible(k) for k in node.kids)
     for kid in node.kids:
         if isinstance(kid, str):
             page.write(kid, False)
@@ -360,8 +484,10 @@ def list_lines(node: Node, page: Page) -> None:
         while own.lines and not own.lines[0]:  # the marker stands before the first text
             del own.lines[0]
         if kid.tag == "li":
-            page.place(own.lines or [""], f"{n}. " if ordered else "- ")
-            n += 1
+            said = whole(kid.attrs.get("value", ""))
+            n = n if said is None else said
+            page.place(own.lines or [""], "  " if not kid.shown else f"{n}. " if ordered else "- ")
+            n += step
         else:
             page.place(own.lines, "  ")
     page.end_line()
