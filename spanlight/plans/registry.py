@@ -1,7 +1,7 @@
 """All named queries of the engine."""
 
-from . import catalogue, evidence, governance, measures
+from . import catalogue, evidence, governance, measures, search
 
-_MODULES = (catalogue, governance, evidence, measures)
+_MODULES = (catalogue, governance, evidence, measures, search)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
