@@ -6,22 +6,28 @@ a tree for each 32-bit half. Two fingerprints at most 3 bits apart are at most o
 bit apart on one half at least, and at radius 1 only those whose distance is
 exactly the cut lie on a boundary, about 14 %.
 
-A level of a tree has one vantage point for all its nodes and cuts at the median
-of all fingerprints' distances to it. By the triangle bound two codes one bit
-apart are at distances that differ by one at most; so both are inside, or both
-outside, or one is at the cut, and that one goes to both sides. Every link is
-thus within a leaf. The leaves are the shards; within one, a vantage-point tree on
-all 64 bits finds the pairs.
+Each node of a tree has a vantage point and a cut of its own. By the triangle
+bound two codes one bit apart are at distances that differ by one at most; so both
+are inside, or both outside, or one is at the cut, and that one goes to both sides.
+Every link is thus within a leaf. Where no vantage point splits a node cheaply, as
+among codes that share the half, its codes are dealt by the other half instead: at
+most 3 of its bits differ, so one of its four bytes is equal in both. The leaves are
+the shards; within one, a vantage-point tree on all 64 bits finds the pairs.
+
+Vantage points and cuts are chosen on a sample of fingerprints, a fixed share of
+them and 2^18 at most. It decides how even the leaves are, never which links are
+found: every fingerprint goes down both trees, and any cut keeps all links.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, discard, materialize, table
@@ -29,8 +35,12 @@ from .common import attach, discard, materialize, table
 #: Fixed values of the fingerprint.
 SHINGLE, SEED, RADIUS = 3, 42, 3
 HALF = 32
-#: Fingerprints that a leaf has on average, at most; levels a tree may have (there are no more vantage points as good).
-LEAF, MAX_LEVELS = 2000, 31
+#: Fingerprints that a leaf should have at most, by estimate; leaves of a tree, which is sent to all tasks (0.2 MB at most).
+LEAF, MAX_LEAVES = 2000, 1 << 13
+#: Fingerprints of a leaf in the sample that the trees are grown on; bound of the sample.
+SAMPLED, MAX_SAMPLE = 32, 1 << 18
+#: Doublings of the rows that a split may cost for each halving of a node. Dealing by bytes makes 4 rows of one for 1/256 of the node: 2 / 8.
+RATE = 0.25
 #: Fingerprints compared directly at the bottom of a tree.
 BOTTOM = 256
 
@@ -149,32 +159,105 @@ def vantage_point(level: int) -> int:
     return sum(1 << i for i in range(HALF) if ((level + 1) & i).bit_count() % 2) | (level % 2)
 
 
-def _descend(codes: Column, step: Column) -> Column:
-    """Nodes a level further down: the inner child, the outer one, or both at the cut."""
-    inner, outer = F.transform(codes, lambda c: c * 2), F.transform(codes, lambda c: c * 2 + 1)
-    return F.when(step["at"] < step["cut"], inner).when(step["at"] > step["cut"], outer).otherwise(F.concat(inner, outer))
+VANTAGE = np.array([vantage_point(j) for j in range(HALF - 1)], dtype=U64)
+
+
+def choose(codes: np.ndarray) -> tuple[int, int] | None:
+    """The vantage point and cut that split these codes of a half at the least cost: Hadamard rows and some of the codes are tried.
+
+    The cost is the growth of rows (those at the cut go to both sides) against the
+    entropy of the split. Sides of 70 % at most are preferred to those of 90 %.
+    None: no split costs RATE or less.
+    """
+    v = np.concatenate([VANTAGE, codes[np.linspace(0, len(codes) - 1, 5).astype(np.int64)]])
+    n, wide = len(codes), HALF + 1
+    away = np.bitwise_count(codes[:, None] ^ v[None, :]) + np.arange(len(v)) * wide
+    at = np.bincount(away.ravel(), minlength=wide * len(v)).reshape(len(v), wide)
+    inner = at.cumsum(axis=1)
+    widest = np.maximum(inner, n - inner + at)
+    share = np.clip((inner - at / 2) / n, 1e-9, 1 - 1e-9)
+    rate = np.log2(1 + at / n) / -(share * np.log2(share) + (1 - share) * np.log2(1 - share))
+    for most in (0.7, 0.9):
+        fit = np.where(widest <= most * n, rate, np.inf)
+        best = int(fit.argmin())
+        if fit.flat[best] <= RATE:
+            return int(v[best // wide]), best % wide
+    return None
+
+
+class Tree:
+    """A vantage-point tree over one half of fingerprints; cuts below 0 mark leaves."""
+
+    PLAIN, DEALT = -1, -2
+
+    def __init__(self, codes: np.ndarray, weight: int, leaf: int) -> None:
+        """codes: the sampled halves; each stands for `weight` fingerprints. Largest nodes are split first."""
+        self.vantage, self.cut, self.inner = [0], [self.PLAIN], [0]  # the outer child follows the inner one
+        leaves, heap = 1, [(-len(codes), 0, codes)]
+        while -heap[0][0] * weight > leaf:
+            size, node, own = heapq.heappop(heap)
+            found = choose(own) if leaves < MAX_LEAVES else None
+            if found is None:
+                self.cut[node] = self.DEALT if -size * weight > 2 * leaf else self.PLAIN
+                if not heap:
+                    break
+                continue
+            self.vantage[node], self.cut[node] = found
+            self.inner[node] = len(self.cut)
+            away = np.bitwise_count(own ^ U64(found[0]))
+            for side in (own[away <= found[1]], own[away >= found[1]]):
+                heapq.heappush(heap, (-len(side), len(self.cut), side))
+                self.vantage.append(0)
+                self.cut.append(self.PLAIN)
+                self.inner.append(0)
+            leaves += 1
+
+    def leaves(self, codes: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(leaf, place) arrays: where each code goes; other: the other halves. A leaf's number holds its node, byte and the byte's value."""
+        stack = [(0, np.arange(len(codes)))]
+        while stack:
+            node, at = stack.pop()
+            cut = self.cut[node]
+            if not len(at):
+                continue
+            if cut == self.PLAIN:
+                yield np.full(len(at), node << 11, dtype=np.int64), at
+            elif cut == self.DEALT:
+                for b in range(4):
+                    value = (other[at] >> U64(8 * b)) & U64(255)
+                    yield (node << 11) + 1024 + 256 * b + value.astype(np.int64), at
+            else:
+                away = np.bitwise_count(codes[at] ^ U64(self.vantage[node]))
+                stack += [(self.inner[node], at[away <= cut]), (self.inner[node] + 1, at[away >= cut])]
+
+
+def _halves(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return fps & U64((1 << HALF) - 1), fps >> U64(HALF)
 
 
 def shards(fps: DataFrame, leaf: int = LEAF) -> DataFrame:
     """fps: distinct (fp). Rows (leaf, fp): the leaves of both trees that a fingerprint is in.
 
-    As many levels as bring leaves to `leaf` fingerprints on average. A level makes
-    1.14 times the rows of random fingerprints: 2 trees of 9 levels make 7 rows of
-    each (12 million fingerprints), of 20 levels 27 (2 thousand million). Cuts are
-    exact medians over all fingerprints, from one pass that keeps 33 counts a level.
+    Random fingerprints make about 1.14 times the rows a level: 2 trees of 9 levels
+    make 7 rows of each (12 million fingerprints). From some 12 million on, trees
+    have all their leaves, and those too large are dealt by bytes: 4 times the rows
+    for 1/256 of the size.
     """
     n = fps.count()
-    levels = min(MAX_LEVELS, max(0, int(np.ceil(np.log2(max(n, 1) / leaf)))))
-    half = [F.col("fp").bitwiseAND(F.lit((1 << HALF) - 1)), F.shiftrightunsigned("fp", HALF)]
-    d = [[F.bit_count(x.bitwiseXOR(F.lit(vantage_point(j)).cast("long"))) for j in range(levels)] for x in half]
-    cuts = fps.agg(F.lit(0), *[F.percentile(d[t][j], F.lit(0.5)).cast("int") for t in range(2) for j in range(levels)]).first()[1:]
-    trees = []
-    for t in range(2):
-        steps = F.array(*[F.struct(d[t][j].cast("int").alias("at"), F.lit(cuts[t * levels + j]).alias("cut")) for j in range(levels)])
-        root = F.array(F.lit(1).cast("long"))  # a leading one, so that codes of any depth differ
-        codes = F.aggregate(steps, root, _descend) if levels else root
-        trees.append(F.transform(codes, lambda c: c * 2 + t))  # noqa: B023
-    return fps.select(F.explode(F.concat(*trees)).alias("leaf"), "fp")
+    weight = max(1, leaf // SAMPLED, -(-n // MAX_SAMPLE))
+    sample = np.array([r["fp"] for r in fps.where(F.pmod(F.xxhash64("fp"), F.lit(weight)) == 0).collect()], dtype=np.int64)
+    trees = [Tree(half, weight, leaf) for half in _halves(np.sort(sample).view(U64))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy()
+            low, high = _halves(fp.view(U64))
+            dealt = [(2 * number + t, at) for t, (own, other) in enumerate(((low, high), (high, low))) for number, at in trees[t].leaves(own, other)]
+            if dealt:
+                where = np.concatenate([at for _, at in dealt])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([number for number, _ in dealt])), pa.array(fp[where])], ["leaf", "fp"])
+
+    return fps.select("fp").mapInArrow(run, "leaf long, fp long")
 
 
 #: Fingerprints of a shard up to which all its pairs are compared, the shards of a batch side by side; the links are the same.
@@ -209,26 +292,28 @@ def edges(fps: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(t: pa.Table) -> pa.RecordBatch:
+            t = t.combine_chunks()
             leaf, fp = t.column("leaf").to_numpy(), t.column("fp").to_numpy().view(U64)
             turn = np.concatenate([[0], np.cumsum(leaf[1:] != leaf[:-1])])
             a, b = (x.view(np.int64) for x in link_sorted(turn, fp))
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
 
-        held: pa.Table | None = None  # whole shards are linked; the last one may go on in the next batch
+        held: list[pa.RecordBatch] = []  # whole shards are linked; the last one may go on in the next batch
+        rows, last = 0, None
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows < 50_000:
+            if not batch.num_rows:
                 continue
-            held = held.combine_chunks()
-            leaf = held.column("leaf").to_numpy()
-            other = np.flatnonzero(leaf != leaf[-1])
-            if len(other):
-                whole = int(other[-1]) + 1
-                yield linked(held.slice(0, whole))
-                held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield linked(held.combine_chunks())
+            leaf = batch.column(0).to_numpy()
+            held.append(batch)
+            rows += len(leaf)
+            ended = np.flatnonzero(leaf != leaf[-1])
+            if rows >= 50_000 and (len(ended) or last != leaf[-1]):  # nothing is joined anew while one shard goes on
+                whole = int(ended[-1]) + 1 if len(ended) else 0
+                yield linked(pa.Table.from_batches([*held[:-1], batch.slice(0, whole)]))
+                held, rows = [batch.slice(whole)], len(leaf) - whole
+            last = leaf[-1]
+        if held:
+            yield linked(pa.Table.from_batches(held))
 
     sorted_ = shards(fps).repartition("leaf").sortWithinPartitions("leaf", "fp")
     return sorted_.mapInArrow(run, "u long, v long").distinct()
