@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.shared import materialize
 
@@ -40,8 +41,10 @@ def _nearest_neighbours(targets: DataFrame, frames: DataFrame, keys: list[str],
     windows, one forwards and one backwards: linear in the rows.
     """
     bucket = F.floor(F.col(at) / width).alias("b_")
-    t = targets.select(*keys, bucket, F.col(at).alias("at_"), F.struct(*targets.columns).alias("target_"), F.lit(None).cast("struct<at:bigint,id:bigint>").alias("frame_"), F.lit(1).alias("kind_"))
-    own = F.struct(F.col(at).cast("bigint").alias("at"), F.col(frame_id).cast("bigint").alias("id"))
+    kind = frames.schema[frame_id].dataType
+    id_type = kind.simpleString() if isinstance(kind, StructType) else "bigint"  # a struct carries what the caller wants of a frame
+    t = targets.select(*keys, bucket, F.col(at).alias("at_"), F.struct(*targets.columns).alias("target_"), F.lit(None).cast(f"struct<at:bigint,id:{id_type}>").alias("frame_"), F.lit(1).alias("kind_"))
+    own = F.struct(F.col(at).cast("bigint").alias("at"), F.col(frame_id).cast(id_type).alias("id"))
     f = frames.where(F.col(at).isNotNull()).select(*keys, bucket, F.col(at).alias("at_"), F.lit(None).cast(t.schema["target_"].dataType).alias("target_"), own.alias("frame_"), F.lit(0).alias("kind_"))
     ends = t.select(*keys, "b_", "frame_").unionByName(f.select(*keys, "b_", "frame_")).groupBy(*keys, "b_").agg(F.min("frame_").alias("first_"), F.max("frame_").alias("last_"))
     by = Window.partitionBy(*keys)
