@@ -38,8 +38,8 @@ DEPTH, GRAM = 100, 24
 PLACES = DEPTH - GRAM + 1
 #: Starts whose first digits are found at once; with PLACES more they fit 16 bits.
 BLOCK = 1 << 15
-#: Bytes of texts that are taken together (one text, if longer).
-SLICE = 1 << 22
+#: Bytes of texts that are taken together (one text, if longer); some 60 times as many are held for them meanwhile.
+SLICE = 1 << 18
 #: Tasks that a hot first digit is dealt to; hot ones are found on one document of SAMPLE.
 SPLIT, SAMPLE = 64, 64
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanlight.llm import repeats
@@ -94,3 +95,24 @@ def test_sync_positions_depend_on_the_window_alone():
         assert (alone[0], own[0]) == (place[s] - s, code[s])
         h = repeats.gram_hashes(data[s : s + repeats.DEPTH]) >> np.uint64(16)
         assert alone[0] == int(np.argmin(h)) and own[0] == h.min()
+
+
+def test_first_digits_hold_few_texts_at_once():
+    """8 MB of texts in one batch, at under 30 MB (243 before)."""
+    import tracemalloc
+
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(97, 123, 2000, dtype=np.uint8).tobytes() for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array([0] * 4000), pa.array(texts)], ["id", "tie", "text"])
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in repeats.first_digits(Docs())(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n > 100_000 and peak < 30e6
