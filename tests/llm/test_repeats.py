@@ -101,7 +101,6 @@ def test_first_digits_hold_few_texts_at_once():
     """8 MB of texts in one batch, at under 30 MB (243 before)."""
     import tracemalloc
 
-
     class Docs:
         def mapInArrow(self, run, schema):
             return run
