@@ -263,6 +263,15 @@ def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from t.select(["id", "at"]).filter(pa.array(keep)).to_batches()
 
 
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted WINDOW rows of a task: the first of each group whole, the others, which are repeats whatever other tasks hold, with wa and wb null."""
+    for t, new, last in sorted_tables(batches, ("wa", "wb")):
+        n = t.num_rows if last else t.num_rows - 1
+        again = ~new[:n]
+        w = [pa.array(t.column(c).to_numpy()[:n], mask=again) for c in ("wa", "wb")]
+        yield pa.RecordBatch.from_arrays([*w, *(t.column(c).slice(0, n).combine_chunks() for c in ("id", "at"))], ["wa", "wb", "id", "at"])
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sorted (id, at) rows the spans of starts that follow each other."""
     for batch in batches:
@@ -283,7 +292,9 @@ def third_pass(runs: DataFrame, hot: set[int]) -> DataFrame:
     """SPAN rows of the windows of runs, (code, id, at, bytes), that an earlier one equals.
 
     Windows are made after the shuffle, by first digit, and sorted within the task
-    (which spills). Those of hot first digits are shuffled themselves.
+    (which spills). Runs of a hot first digit are dealt to SPLIT tasks at most; the first
+    window of each group in each of them, SPLIT a group at most, are shuffled and
+    sorted again.
     """
     late = F.col("id").asc_nulls_last()
     is_hot = F.col("code").isin(list(hot)) if hot else F.lit(False)
@@ -291,18 +302,11 @@ def third_pass(runs: DataFrame, hot: set[int]) -> DataFrame:
     out = cold.sortWithinPartitions("id", "at").mapInArrow(_joined, SPAN)
     if not hot:
         return out
-    asked = materialize(windows(runs.where(is_hot)), "repeats-windows")
-    place = F.struct(F.col("id").isNull().alias("late"), "id", "at")
-    groups = asked.groupBy("wa", "wb").agg(F.min(place).alias("first"), F.count("*").alias("deg"))
-    # Groups of more than 1 / HEAVY of the windows, fewer than HEAVY, meet theirs by broadcast; the others are sorted as above.
-    most = materialize(groups.where(F.col("deg") > max(1, asked.count() / HEAVY)), "repeats-heavy")
-    large = F.col("wa").isin([r[0] for r in most.select("wa").distinct().collect()])
-    first = groups.where(large)  # with those that share wa alone with a heavy one
-    few = asked.where(large).join(F.broadcast(first), ["wa", "wb"]).where(place != F.col("first")).select("id", "at")
-    many = asked.where(~large).repartition("wa", "wb").sortWithinPartitions("wa", "wb", late, "at").mapInArrow(_again, "id long, at long")
-    again = few.unionByName(many)
-    start = F.col("at").bitwiseAND(F.lit(LOW_32))
-    return out.unionByName(again.select("id", F.shiftright("at", 32).alias("tie"), start.alias("a"), start.alias("b")))
+    dealt = runs.where(is_hot).repartition("code", F.pmod(F.xxhash64("id", "at"), F.lit(SPLIT)))
+    seen = materialize(windows(dealt).sortWithinPartitions("wa", "wb", late, "at").mapInArrow(_firsts, WINDOW), "repeats-windows")
+    firsts = seen.where("wa IS NOT NULL").repartition("wa", "wb").sortWithinPartitions("wa", "wb", late, "at")
+    again = seen.where("wa IS NULL").select("id", "at").unionByName(firsts.mapInArrow(_again, "id long, at long"))
+    return out.unionByName(again.sortWithinPartitions("id", "at").mapInArrow(_joined, SPAN))
 
 
 def hot_digits(docs: DataFrame) -> set[int]:
