@@ -14,8 +14,9 @@ as a hash, so a pass is one shuffle of longs.
    some windows. Their third digit is each window's bytes; equal groups are exactly
    the repeated windows.
 
-A pass may keep a run too many (where a group crosses batches, or is split over
-tasks as it is hot): the third pass decides it. Groups compare 112 bits in pass 2
+A pass may keep a run too many (where a group crosses batches): the third pass
+decides it. A group that is split over tasks, as it is hot, leaves a run a task, of
+which a second look keeps the earliest. Groups compare 112 bits in pass 2
 and 128 in pass 3.
 """
 
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import HEAVY, discard, materialize, table
@@ -175,7 +176,7 @@ def sorted_tables(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> It
         yield held, np.array([before != tuple(held.column(c)[0].as_py() for c in key)]), True
 
 
-FOUND = "id long, at long, digit long, sure boolean"
+FOUND = "id long, at long, digit long, sure boolean, rest long"
 
 
 def _code(digit: Column) -> Column:
@@ -183,7 +184,7 @@ def _code(digit: Column) -> Column:
 
 
 def refine(rows: DataFrame, hot: set[int]) -> DataFrame:
-    """Passes 1 and 2 over RUN rows: those that are sure to be repeats, and those that pass 3 has to decide (sure is false)."""
+    """Passes 1 and 2 over RUN rows: those that are sure to be repeats, and those that pass 3 has to decide (sure is false; rest is left where `once` needs it)."""
     # A first digit is 48 bits; `digit` also holds the run's extent, and equal first digits stand together in its order.
     code = _code(F.col("digit"))
     salt = F.when(code.isin(list(hot)), F.pmod(F.xxhash64("id", "at"), F.lit(SPLIT))).otherwise(0) if hot else F.lit(0)
@@ -203,13 +204,21 @@ def refine(rows: DataFrame, hot: set[int]) -> DataFrame:
             if not last:
                 keep[n - 1] = False
                 open_ = group[n - 2]
-            t = t.select(["id", "at", "digit"]).append_column("sure", pa.array(~new)).filter(pa.array(keep))
+            rest = pa.array(t.column("rest").to_numpy(), mask=~new | ~np.isin(group, known))
+            t = t.select(["id", "at", "digit"]).append_column("sure", pa.array(~new)).append_column("rest", rest).filter(pa.array(keep))
             yield from t.to_batches()
 
     dealt = rows.repartition(code, salt).sortWithinPartitions("digit", "rest", F.col("id").asc_nulls_last(), "at")
     return dealt.mapInArrow(run, FOUND)
 
 
+def once(found: DataFrame, hot: set[int]) -> DataFrame:
+    """FOUND rows of hot first digits, of which each task has left the earliest of equal runs, SPLIT of them at most: all but the earliest of all are sure."""
+    own = found.where(~F.col("sure") & _code(F.col("digit")).isin(list(hot)))
+    order = Window.partitionBy("digit", "rest").orderBy(F.col("id").asc_nulls_last(), "at")
+    return own.withColumn("sure", F.row_number().over(order) > 1)
+
+
 LOW_32 = (1 << 32) - 1
 
 
@@ -249,27 +258,20 @@ def windows(runs: DataFrame) -> DataFrame:
                 w = np.frombuffer(b"".join([digest(t[s : s + DEPTH]) for t in texts for s in range(len(t) - DEPTH + 1)]), dtype=np.int64).reshape(-1, 2)
                 row = np.repeat(np.arange(len(texts)), size)
                 at = part.column("at").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-                yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), part.column("id").take(pa.array(row)), pa.array(at)], ["wa", "wb", "id", "at"])
+                one = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), part.column("id").take(one), pa.array(at), part.column("open").take(one)], ["wa", "wb", "id", "at", "open"])
 
-    return runs.select("id", "at", "bytes").mapInArrow(run, WINDOW)
+    return runs.select("id", "at", "bytes", "open").mapInArrow(run, f"{WINDOW}, open boolean")
 
 
-def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted WINDOW rows those that aren't the first of their group."""
+def _sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's sorted windows those that aren't the first of their group, which are repeats whatever other tasks hold, with wa and wb null; and the firsts that are open, as another task may hold an earlier one."""
     for t, new, last in sorted_tables(batches, ("wa", "wb")):
-        keep = ~new
+        keep = ~new | t.column("open").to_numpy()
         if not last:
             keep[-1] = False
-        yield from t.select(["id", "at"]).filter(pa.array(keep)).to_batches()
-
-
-def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted WINDOW rows of a task: the first of each group whole, the others, which are repeats whatever other tasks hold, with wa and wb null."""
-    for t, new, last in sorted_tables(batches, ("wa", "wb")):
-        n = t.num_rows if last else t.num_rows - 1
-        again = ~new[:n]
-        w = [pa.array(t.column(c).to_numpy()[:n], mask=again) for c in ("wa", "wb")]
-        yield pa.RecordBatch.from_arrays([*w, *(t.column(c).slice(0, n).combine_chunks() for c in ("id", "at"))], ["wa", "wb", "id", "at"])
+        w = [pa.array(t.column(c).to_numpy(), mask=~new) for c in ("wa", "wb")]
+        yield from pa.table([*w, t.column("id"), t.column("at")], ["wa", "wb", "id", "at"]).filter(pa.array(keep)).to_batches()
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,25 +290,27 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SPAN = "id long, tie long, a long, b long"
 
 
+def _decided(dealt: DataFrame) -> DataFrame:
+    """Windows dealt to tasks -> WINDOW rows: repeats (wa is null), and open firsts. The sort spills."""
+    return dealt.sortWithinPartitions("wa", "wb", F.col("id").asc_nulls_last(), "at").mapInArrow(_sifted, WINDOW)
+
+
 def third_pass(runs: DataFrame, hot: set[int]) -> DataFrame:
     """SPAN rows of the windows of runs, (code, id, at, bytes), that an earlier one equals.
 
-    Windows are made after the shuffle, by first digit, and sorted within the task
-    (which spills). Runs of a hot first digit are dealt to SPLIT tasks at most; the first
+    Windows are made after the shuffle, by first digit, and sorted within the task.
+    Runs of a hot first digit are dealt to SPLIT tasks at most; the first
     window of each group in each of them, SPLIT a group at most, are shuffled and
     sorted again.
     """
-    late = F.col("id").asc_nulls_last()
     is_hot = F.col("code").isin(list(hot)) if hot else F.lit(False)
-    cold = windows(runs.where(~is_hot).repartition("code")).sortWithinPartitions("wa", "wb", late, "at").mapInArrow(_again, "id long, at long")
-    out = cold.sortWithinPartitions("id", "at").mapInArrow(_joined, SPAN)
-    if not hot:
-        return out
-    dealt = runs.where(is_hot).repartition("code", F.pmod(F.xxhash64("id", "at"), F.lit(SPLIT)))
-    seen = materialize(windows(dealt).sortWithinPartitions("wa", "wb", late, "at").mapInArrow(_firsts, WINDOW), "repeats-windows")
-    firsts = seen.where("wa IS NOT NULL").repartition("wa", "wb").sortWithinPartitions("wa", "wb", late, "at")
-    again = seen.where("wa IS NULL").select("id", "at").unionByName(firsts.mapInArrow(_again, "id long, at long"))
-    return out.unionByName(again.sortWithinPartitions("id", "at").mapInArrow(_joined, SPAN))
+    salt = F.when(is_hot, F.pmod(F.xxhash64("id", "at"), F.lit(SPLIT))).otherwise(0) if hot else F.lit(0)
+    out = _decided(windows(runs.withColumn("open", is_hot).repartition("code", salt)))
+    if hot:
+        seen = materialize(out, "repeats-windows")
+        firsts = seen.where("wa IS NOT NULL").withColumn("open", F.lit(False)).repartition("wa", "wb")
+        out = seen.where("wa IS NULL").unionByName(_decided(firsts))
+    return out.select("id", "at").sortWithinPartitions("id", "at").mapInArrow(_joined, SPAN)
 
 
 def hot_digits(docs: DataFrame) -> set[int]:
@@ -323,6 +327,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     """docs: (id, tie, text binary). SPAN rows: starts a to b of windows that an earlier start equals."""
     hot = hot_digits(docs)
     found = materialize(refine(first_digits(docs), hot), "repeats-runs")
+    if hot:
+        cold = found.where(F.col("sure") | ~_code(F.col("digit")).isin(list(hot)))
+        found = cold.unionByName(materialize(once(found, hot), "repeats-once"))
     asked = materialize(contexts(docs, _spans(found.where("NOT sure"))), "repeats-contexts")
     return _spans(found.where("sure")).drop("digit").unionByName(third_pass(asked, hot))
 

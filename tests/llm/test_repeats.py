@@ -138,3 +138,24 @@ def test_hot_windows_are_sorted_not_joined(spark, monkeypatch):
         assert result(repeats.strip(df)) == brute(rows)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_hot_copies_leave_one_run_each(spark, monkeypatch):
+    """300 copies, every first digit hot: each of their windows is sorted again once, not once a task that they were dealt to."""
+    rng = random.Random(11)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    rows = [(i, text, "x") for i in range(300)] + [(None, text, "x"), (400, "Q" + text, "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    codes = {r[0] >> 16 for r in repeats.first_digits(repeats.documents(df)).select("digit").collect()}
+    monkeypatch.setattr(repeats, "hot_digits", lambda docs: codes)
+    kept, write = {}, repeats.materialize
+    monkeypatch.setattr(repeats, "materialize", lambda df, label: kept.setdefault(label, write(df, label)))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert result(repeats.strip(df)) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    firsts = kept["repeats-windows"].where("wa IS NOT NULL")
+    assert firsts.count() <= 2 * (len(text) + 2 - repeats.DEPTH), firsts.count()
