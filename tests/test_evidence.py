@@ -106,6 +106,49 @@ def test_pattern_bindings_against_brute_force(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 3
 
 
+ANCHOR = "id long, video_id string, camera_id string, t0 long, t1 long, actor long, score double"
+
+
+def _atoms(spark, seed, spans, n=60):
+    r = random.Random(seed)
+    row = lambda i: (lambda t: (i, r.choice(["v", "w"]), r.choice(["c", None]), t, t + r.choice(spans), r.randrange(2), r.random()))(r.randrange(100))
+    rows = {k: [row(i) for i in range(n)] + [row(7)] for k in "abce"}  # two anchors of id 7
+    return rows, {k: spark.createDataFrame(v, ANCHOR) for k, v in rows.items()}
+
+
+CHAIN, TREE = [("a", "b", 9, False), ("b", "c", 5, True)], [("a", "b", 9, False), ("b", "c", 9, False), ("a", "c", 12, False), ("a", "e", 4, False)]
+
+
+def _plain(rows, relations):
+    names = list(dict.fromkeys(n for r in relations for n in r[:2]))
+    out = [{}]
+    for n in names:
+        out = [{**o, n: x} for o in out for x in rows[n] if all((not o or x[1:3] == next(iter(o.values()))[1:3], *(0 <= {**o, n: x}[s][3] - {**o, n: x}[f][4] <= g and (not same or {**o, n: x}[s][5] == {**o, n: x}[f][5]) for f, s, g, same in relations if n in (f, s) and {f, s} <= {*o, n})))]
+    return names, out
+
+
+@pytest.mark.parametrize(("spans", "relations"), [([0], CHAIN), ([0], TREE), ([0, 1, 3], TREE), ([0, 1, 3], [("b", "a", 6, False), ("c", "a", 9, False)]), ([0, 1, 900], CHAIN), ([0, 1, 900], [("b", "a", 6, True), ("c", "a", 9, False)]), ([-2, 0, 3], CHAIN)])
+def test_episodes_are_those_of_plain_loops(spark, spans, relations):
+    """Repeated ids too: a binding is of anchors, not of ids."""
+    rows, atoms = _atoms(spark, len(spans), spans)
+    names, want = _plain(rows, relations)
+    got = assemble.episodes(atoms, relations)
+    assert sorted(str([tuple(r[n]) for n in names]) for r in got.collect()) == sorted(str([o[n] for n in names]) for o in want)
+    assert len(want) > 5
+
+
+def test_episodes_shuffle_anchors_not_bindings(spark):
+    """One exchange an atom, and none of bindings (round 4: four_atom_episode filled the disk with them)."""
+    atoms = _atoms(spark, 5, [0])[1]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = assemble.episodes(atoms, TREE)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange hashpartitioning") == 4 and plan.count("SortMergeJoin") == 3
+
+
 def test_bounded_scan_flags_units_of_their_own(spark):
     rows = spark.createDataFrame([("a", i) for i in range(5)] + [("b", i) for i in range(3)] + [(None, 1)], "unit string, t long")
     got = sorted((str(r.unit), r.t, r.truncated) for r in pattern.bounded_scan(rows, ["unit"], ["t"], 3).collect())
