@@ -135,6 +135,11 @@ def test_episodes_are_those_of_plain_loops(spark, spans, relations):
     got = assemble.episodes(atoms, relations)
     assert sorted(str([tuple(r[n]) for n in names]) for r in got.collect()) == sorted(str([o[n] for n in names]) for o in want)
     assert len(want) > 5
+    key = lambda o: (o[names[0]][1], o[names[0]][2] or "", min(x[3] for x in o.values()), max(x[4] for x in o.values()), *(o[n][0] for n in names))
+    for cap in (1, 7, 10**6):
+        few = assemble.first_episodes(atoms, relations, names, cap).collect()
+        assert [(r.video_id, r.camera_id or "", r.t0, r.t1, *(r[n].id for n in names)) for r in few] == sorted(map(key, want))[:cap]
+        assert {r.cap_bound for r in few} == {len(want) > cap}
 
 
 def test_episodes_shuffle_anchors_not_bindings(spark):
@@ -149,6 +154,15 @@ def test_episodes_shuffle_anchors_not_bindings(spark):
     assert plan.count("Exchange hashpartitioning") == 4 and plan.count("SortMergeJoin") == 3
 
 
+def test_first_episodes_are_not_enumerated(spark, monkeypatch):
+    """Only first anchors that begin one of the first episodes are bound (round 4: episode_order formed all episodes)."""
+    atoms = _atoms(spark, 5, [0])[1]
+    met, whole = [], assemble.episodes
+    monkeypatch.setattr(assemble, "episodes", lambda a, r: met.append(a["a"].count()) or whole(a, r))
+    assert assemble.first_episodes(atoms, CHAIN, ["a", "b", "c"], 2).count() == 2
+    assert 0 < met[0] <= 6
+
+
 def test_bounded_scan_flags_units_of_their_own(spark):
     rows = spark.createDataFrame([("a", i) for i in range(5)] + [("b", i) for i in range(3)] + [(None, 1)], "unit string, t long")
     got = sorted((str(r.unit), r.t, r.truncated) for r in pattern.bounded_scan(rows, ["unit"], ["t"], 3).collect())
