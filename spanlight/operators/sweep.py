@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import materialize
+
 #: Rows looked at for each border between parts, and pairs that a task holds before it hands them on.
 PROBES, PAIRS = 64, 65536
 
@@ -83,6 +86,36 @@ def sweep_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, t0
     return met.toDF(*[f.name for f in fields])
 
 
+def sweep_counts(points: DataFrame, spans: DataFrame, keys: list[str], at: str, t0: str, t1: str, parts: int | None = None) -> DataFrame:
+    """spans with `points`: how many points of the same keys (null keys are equal) lie within each, as sweep_join would find, without the pairs.
+
+    A count is the points before the end less those before the start. Both are read off
+    one running sum over the distinct instants, cut into parts even in instants; what
+    a part needs of those before it is a window over one row a part. So work grows
+    with the rows. A span that doesn't end after its start is an error.
+    """
+    n = parts or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    end = F.when(F.col(t1) > F.col(t0), F.col(t1)).otherwise(F.raise_error(F.lit("an interval ends before it begins")))
+    bounds = spans.select(*keys, F.explode(F.array(F.col(t0).cast("long"), end.cast("long"))).alias("at_"), F.lit(0).cast("long").alias("n_"))
+    seen = points.where(F.col(at).isNotNull()).select(*keys, F.col(at).cast("long").alias("at_"), F.lit(1).cast("long").alias("n_"))
+    # The number of the part is written with the rows, as borders of another run may differ.
+    instants = bounds.unionByName(seen).groupBy(*keys, "at_").agg(F.sum("n_").alias("n_"))
+    times = materialize(instants.repartitionByRange(n, *keys, "at_").withColumn("part_", F.spark_partition_id()), "instants")
+    before = lambda *order: Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    named = [F.col(k).alias(f"{k}_k") for k in keys]
+    whole = times.groupBy(*keys, "part_").agg(F.sum("n_").alias("n_"))
+    earlier = whole.select(*named, F.col("part_").alias("part__k"), F.coalesce(F.sum("n_").over(before("part_").partitionBy(*keys)), F.lit(0)).alias("earlier_"))
+    same = lambda a, b, pairs: reduce(lambda x, y: x & y, [a[x].eqNullSafe(b[y]) for x, y in pairs])
+    met = times.join(earlier, same(times, earlier, [(k, f"{k}_k") for k in [*keys, "part_"]])).drop(*[f"{k}_k" for k in [*keys, "part_"]])
+    local = F.coalesce(F.sum("n_").over(before("at_").partitionBy(*keys, "part_")), F.lit(0))
+    sums = materialize(met.select(*keys, "at_", (F.col("earlier_") + local).alias("sum_")), "running")
+    out = spans
+    for name, column in (("to_", t1), ("from_", t0)):
+        s = sums.select(*named, F.col("at_").alias("at_k"), F.col("sum_").alias(name))
+        out = out.join(s, same(out, s, [*[(k, f"{k}_k") for k in keys], (column, "at_k")])).drop(*[f"{k}_k" for k in keys], "at_k")
+    return out.withColumn("points", F.col("to_") - F.col("from_")).drop("to_", "from_")
+
+
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches in order of part, key, time and kind -> point and span columns of the pairs."""
     spans, ends, owner = None, np.zeros(0, np.int64), None  # the open spans, all of one part and key

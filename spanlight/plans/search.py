@@ -34,9 +34,9 @@ def sweep_windows(spark, d):
 @query(f"WITH p AS (SELECT o_custkey % 16 AS camera, {_DATE} AS at FROM orders), s AS (SELECT o_orderkey, o_custkey % 16 AS camera, {_DATE} AS t0, {_DATE} + 24 + o_orderkey % 72 AS t1 FROM orders) SELECT o_orderkey, count(*) AS starts FROM p JOIN s ON p.camera = s.camera AND p.at >= s.t0 AND p.at < s.t1 GROUP BY o_orderkey")
 def sweep_overlaps(spark, d):
     """For each span how many spans of its camera begin while it is open, itself included."""
-    spans = src.order_intervals(spark, d)
-    points = spans.select("camera", F.col("t0").alias("at"))
-    return sweep.sweep_join(points, spans, ["camera"], "at", "t0", "t1").groupBy("o_orderkey").agg(F.count("*").alias("starts"))
+    spans = src.order_intervals(spark, d).where("camera IS NOT NULL AND t0 IS NOT NULL AND t1 IS NOT NULL")
+    points = src.order_intervals(spark, d).select("camera", F.col("t0").alias("at"))
+    return sweep.sweep_counts(points, spans, ["camera"], "at", "t0", "t1").groupBy("o_orderkey").agg(F.sum("points").alias("starts"))
 
 
 _WORDS = f"w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{textindex.UPPER}', '{textindex.LOWER}'), '{textindex.WORD}') AS ws FROM documents), t AS (SELECT doc_id, i AS at, ws[i] AS term, len(ws) AS length FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w))"

@@ -70,3 +70,24 @@ def test_empty_sides_clashes_and_bad_spans(spark):
         join(p, s.withColumnRenamed("sid", "id"))
     with pytest.raises(Exception, match="ends before"):
         join(p, spark.createDataFrame([("a", 5, 5, 1)], S)).count()
+
+
+@pytest.mark.parametrize("parts", [1, 4, 13])
+def test_counts_are_those_of_pairs(spark, parts):
+    points, spans, p, s = _case(spark, parts)
+    want = sorted((j, sum(v == w and at is not None and t0 <= at < t1 for v, at, _ in points)) for w, t0, t1, j in spans)
+    got = sweep.sweep_counts(p, s, ["video"], "at", "t0", "t1", parts)
+    assert got.columns == [*s.columns, "points"] and sorted((r.sid, r.points) for r in got.collect()) == want
+    assert sweep.sweep_counts(p.limit(0), s, ["video"], "at", "t0", "t1", parts).where("points = 0").count() == len(spans)
+    with pytest.raises(Exception, match="ends before"):
+        sweep.sweep_counts(p, spark.createDataFrame([("a", 5, 5, 1)], S), ["video"], "at", "t0", "t1", parts).count()
+
+
+def test_overlaps_are_counted_without_pairs(spark, monkeypatch):
+    """sweep_overlaps (round 4: out of time, as it formed all pairs)."""
+    from conftest import DATA
+    from spanlight.plans import search
+
+    monkeypatch.setattr(sweep, "sweep_join", lambda *a: pytest.fail("pairs"))
+    got = search.sweep_overlaps(spark, DATA)
+    assert got.count() == 1500 and got.where("starts < 1").count() == 0
