@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio, t_iou
@@ -71,11 +71,29 @@ def bounded_logic(items: DataFrame) -> DataFrame:
 
 
 def best_overlap(truth: DataFrame, found: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """truth and found: keys, id, t0, t1. Each true interval with the greatest overlap ratio found for it (0 for none)."""
-    pairs = overlap_join(truth, found, keys, width)
-    iou = t_iou(F.col("l.t0"), F.col("l.t1"), F.col("r.t0"), F.col("r.t1"))
-    best = pairs.groupBy(F.col("l.id").alias("id")).agg(F.max(iou).alias("best"))
-    return truth.join(best, "id", "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
+    """truth and found: keys, id, t0, t1. Each true interval with the greatest overlap ratio found for it (0 for none).
+
+    Only distinct spans are paired, as a ratio depends on nothing else; so pairs grow
+    with the spans that differ, not with the rows. Rows of one id share their best; a null id has none.
+    """
+    span = [*keys, "t0", "t1"]
+    pairs = overlap_join(truth.select(*span).distinct(), found.select(*span).distinct(), keys, width)
+    best = pairs.groupBy(*_span_of(span)).agg(F.max(_iou()).alias("best"))
+    one = F.when(F.col("id").isNotNull(), F.max("best").over(Window.partitionBy("id")))
+    return _at_spans(truth, best, span).select("id", *[c for c in truth.columns if c != "id"], F.coalesce(one, F.lit(0.0)).alias("best"))
+
+
+def _iou() -> Column:
+    return t_iou(F.col("l.t0"), F.col("l.t1"), F.col("r.t0"), F.col("r.t1"))
+
+
+def _span_of(span: list[str]) -> list[Column]:
+    return [F.col(f"l.{c}").alias(f"{c}_s") for c in span]
+
+
+def _at_spans(rows: DataFrame, values: DataFrame, span: list[str]) -> DataFrame:
+    """rows with the values of their spans, null where there are none."""
+    return rows.join(values, reduce(lambda a, b: a & b, [rows[c].eqNullSafe(values[f"{c}_s"]) for c in span]), "left").drop(*[f"{c}_s" for c in span])
 
 
 def greedy_match(truth: DataFrame, found: DataFrame, key: str, width: int, threshold: float = 0.5) -> DataFrame:
@@ -151,12 +169,16 @@ def score_configs(truth: DataFrame, bundles: DataFrame, configs: list, query: st
 
     Interval recall weighs a query by its intervals; complete_set is the share of
     queries of which every interval is found. A configuration that found nothing
-    has zeros.
+    has zeros. Distinct spans alone are paired, as in best_overlap.
     """
-    every = truth.select("*", F.explode(F.array(*[F.lit(c) for c in configs])).alias("config"))
-    pairs = overlap_join(truth, bundles, [query], width)
-    iou = t_iou(F.col("l.t0"), F.col("l.t1"), F.col("r.t0"), F.col("r.t1"))
-    hits = pairs.groupBy(F.col("r.config").alias("config"), F.col("l.id").alias("id")).agg(F.max(iou).alias("best"))
-    met = every.join(hits, ["config", "id"], "left").withColumn("hit", F.coalesce(F.col("best") > threshold, F.lit(False)))
-    per = met.groupBy("config", query).agg(F.count("*").alias("total"), F.count_if("hit").alias("found"), F.bool_and("hit").alias("whole"))
+    span = [query, "t0", "t1"]
+    pairs = overlap_join(truth.select(*span).distinct(), bundles.select("config", *span).distinct(), [query], width)
+    hits = pairs.groupBy(*_span_of(span), F.col("r.config").alias("config")).agg(F.max(_iou()).alias("best")).where(F.col("best") > threshold)
+    met = _at_spans(truth, hits.groupBy(*[f"{c}_s" for c in span]).agg(F.collect_set("config").alias("hit_")), span)
+    # A column a configuration: rows of one id are hit together, and a null id never is.
+    hit = lambda c: F.coalesce(F.array_contains("hit_", F.lit(c)) & F.col("id").isNotNull(), F.lit(False))
+    rows = met.select(query, *[F.max(hit(c)).over(Window.partitionBy("id")).alias(f"hit_{i}") for i, c in enumerate(configs)])
+    per = rows.groupBy(query).agg(F.count("*").alias("total"), *[f(f"hit_{i}").alias(f"{name}_{i}") for i in range(len(configs)) for name, f in (("found", F.count_if), ("whole", F.bool_and))])
+    each = [F.struct(F.lit(c).alias("config"), F.col(f"found_{i}").alias("found"), F.col(f"whole_{i}").alias("whole")) for i, c in enumerate(configs)]
+    per = per.select("total", F.inline(F.array(*each)))
     return per.groupBy("config").agg(F.sum("found").alias("hits"), F.sum("total").alias("truths"), ratio(F.sum("found"), F.sum("total")).alias("interval_recall"), F.avg(F.col("whole").cast("double")).alias("complete_set"))
