@@ -154,6 +154,17 @@ def test_episodes_shuffle_anchors_not_bindings(spark):
     assert plan.count("Exchange hashpartitioning") == 4 and plan.count("SortMergeJoin") == 3
 
 
+def test_pairs_in_time_shuffle_what_is_read(spark):
+    """Ids and times alone are shuffled, in as many parts as are named; a gap of 0 is a gap (before, a division by zero)."""
+    rows, atoms = _atoms(spark, 5, [0, 2])
+    pairs = lambda gap: assemble.temporal_pairs(atoms["a"], atoms["b"], gap).select("l.id", F.col("r.id").alias("r"))
+    for gap in (0, 7):
+        want = sorted((x[0], y[0]) for x in rows["a"] for y in rows["b"] if x[1:3] == y[1:3] and 0 <= y[3] - x[4] <= gap)
+        assert sorted(map(tuple, pairs(gap).collect())) == want and want
+    plan = pairs(7)._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
+    assert "score" not in plan.split("LogicalRDD")[0] and "actor" not in plan.split("LogicalRDD")[0]
+
+
 def test_first_episodes_are_not_enumerated(spark, monkeypatch):
     """Only first anchors that begin one of the first episodes are bound (round 4: episode_order formed all episodes)."""
     atoms = _atoms(spark, 5, [0])[1]
