@@ -76,3 +76,27 @@ def test_ids_are_indexed_once(spark, index, tmp_path):
         t.TextIndex(spark, str(tmp_path)).append(spark.createDataFrame([(1, "a"), (1, "b")], "doc long, body string"), "doc", "body")
     with pytest.raises(ValueError, match="no segment"):
         t.TextIndex(spark, str(tmp_path / "none")).rows()
+
+
+def test_postings_go_to_their_block_once(spark, index, monkeypatch):
+    """40 equal phrases are a row a block, beside the block's postings (round 4: each query shuffled the postings of its words)."""
+    texts, ix = index
+    rows, look = [], t.TextIndex._at_blocks
+    monkeypatch.setattr(t.TextIndex, "_at_blocks", lambda self, columns, where, *a: rows.append(where.count()) or look(self, columns, where, *a))
+    phrases = spark.createDataFrame([(i, "the of", i % 2 == 0) for i in range(80)], "query_id long, phrase string, prefix boolean")
+    found = {r.query_id: r["count"] for r in ix.phrase(phrases).groupBy("query_id").count().collect()}
+    blocks = ix.rows().where("term = 'the'").count()
+    assert len(found) == 80 and len(set(found.values())) == 1 and rows == [2 * blocks]
+    ranks = ix.ranked(spark.createDataFrame([(i, "the of the") for i in range(40)], "query_id long, text string"), 3)
+    assert ranks.count() == 120 and max(rows[1:]) <= blocks + ix.rows().where("term = 'of'").count()
+
+
+def test_an_index_is_written_by_one_shuffle_of_texts(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a b" if i % 3 else None) for i in range(3000)], "doc long, text string")
+    plan = t.blocks(docs, "s")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+    ix = t.TextIndex(spark, str(tmp_path))
+    ix.append(docs.where("doc % 3 = 0"), "doc", "text")
+    assert ix.rows().where("term IS NULL").selectExpr("sum(n)").first()[0] == 1000 and ix.rows().where("term IS NOT NULL").count() == 0
+    ix.append(docs.where("doc % 3 > 0"), "doc", "text")
+    assert ix.phrase(spark.createDataFrame([(1, "a b", False)], "query_id long, phrase string, prefix boolean")).count() == 2000
