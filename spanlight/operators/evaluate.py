@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from functools import reduce
+from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,7 +100,121 @@ def _at_spans(rows: DataFrame, values: DataFrame, span: list[str]) -> DataFrame:
 
 
 def greedy_match(truth: DataFrame, found: DataFrame, key: str, width: int, threshold: float = 0.5) -> DataFrame:
-    """One-to-one matches by falling overlap ratio, ties to the lower true id, then the lower found id.
+    """One-to-one matches by falling overlap ratio, ties to the lower true id, then the lower found id: (key, gt, pred, iou).
+
+    Time is cut into blocks. A row that lies within a block meets all its partners
+    there; of one that reaches over an edge some may be elsewhere, so its pairs are
+    open, and so is what depends on them. A block decides all that doesn't (`_decide`). What is
+    open goes to the next round, whose blocks are twice as long and have the old edges
+    well inside, until nothing is. Rows of null ids take no part.
+    """
+    truth, found = (df.where(F.col("id").isNotNull()) for df in (truth, found))
+    if any(df.groupBy(key, "id").count().where("count > 1").take(1) for df in (truth, found)):
+        return _match_pairs(truth, found, key, width, threshold)
+    kinds = [df.schema["id"].dataType.simpleString() for df in (truth, found)]
+    side = lambda df, n: df.where("t1 > t0").select(F.lit(n).alias("kind"), F.col(key).alias("key"), *[(F.col("id") if i == n else F.lit(None).cast(kinds[i])).alias(f"id{i}") for i in (0, 1)], "t0", "t1")
+    rest = side(truth, 0).unionByName(side(found, 1))
+    span = [rest.schema[c].dataType.simpleString() for c in ("key", "t0", "t1")]
+    schema = f"kind int, key {span[0]}, id0 {kinds[0]}, id1 {kinds[1]}, t0 {span[1]}, t1 {span[2]}, iou double"
+    parts = int(truth.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    length, edge, matched, held = 2 * width, 0, None, None
+    while True:
+        block = lambda c: F.floor((c - edge) / length)  # noqa: B023, E731
+        cut = rest.withColumn("first", block(F.col("t0"))).withColumn("last", F.greatest("first", F.ceil((F.col("t1") - edge) / length) - 1))
+        dealt = cut.select(*rest.columns, (F.col("first") == F.col("last")).alias("whole"), F.explode(F.sequence("first", "last")).alias("block"))
+        said = materialize(dealt.repartition(parts, "key", "block").groupBy("key", "block").applyInArrow(_decide(threshold), schema), "greedy-said")
+        won = said.where("kind = 2").select(F.col("key").alias(key), F.col("id0").alias("gt"), F.col("id1").alias("pred"), "iou")
+        matched = won if matched is None else matched.unionByName(won)
+        nxt = materialize(said.where("kind < 2").drop("iou").unionByName(cut.where("first < last").select(*rest.columns)), "greedy-rest")
+        if held is not None:
+            discard(held)
+        rest = held = nxt
+        if not rest.take(1):
+            return matched
+        edge, length = edge + length // 2, 2 * length
+
+
+def _decide(threshold: float):
+    """Rows (kind, key, id0, id1, t0, t1, whole, block) of one key and block -> matches (kind 2), and whole rows that are open (kinds 0 and 1).
+
+    Pairs come in their order. Of two free ends whose earlier pairs are all decided the
+    pair is a match. A pair with an open end leaves both open. Rows of equal spans have the same
+    ratios, so they are a class: within it ids alone decide, and it is open as a whole.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        kind, t0, t1, whole = (t[c].to_numpy() for c in ("kind", "t0", "t1", "whole"))
+        sides = []
+        for n in (0, 1):
+            own = np.flatnonzero(kind == n)
+            ids = t[f"id{n}"].take(pa.array(own)).to_pylist()
+            classes: dict[tuple, list[int]] = {}
+            for i in sorted(range(len(own)), key=ids.__getitem__):
+                classes.setdefault((t0[own[i]], t1[own[i]]), []).append(i)
+            spans = sorted(classes)
+            rows = [classes[s] for s in spans]
+            sides.append((own, ids, spans, rows, [0] * len(rows), [not whole[own[r[0]]] for r in rows]))
+        (g_own, g_ids, g_spans, g_rows, g_head, g_open), (p_own, p_ids, p_spans, p_rows, p_head, p_open) = sides
+        links = _links(g_spans, p_spans, threshold)
+        matches: list[tuple[int, int, float]] = []
+        for iou, pairs in links:
+            of: dict[int, list[int]] = {}
+            for g, p in pairs:
+                of.setdefault(g, []).append(p)
+            heap = [(g_ids[g_rows[g][g_head[g]]], g) for g in of if g_head[g] < len(g_rows[g])]
+            heapify(heap)
+            while heap:
+                _, g = heappop(heap)
+                free = [(p_ids[p_rows[p][p_head[p]]], p) for p in of[g] if p_head[p] < len(p_rows[p])]
+                if not free:
+                    continue
+                p = min(free)[1]
+                if g_open[g] or p_open[p]:
+                    g_open[g] = True
+                    for _, q in free:
+                        p_open[q] = True
+                    continue
+                matches.append((g_rows[g][g_head[g]], p_rows[p][p_head[p]], iou))
+                g_head[g] += 1
+                p_head[p] += 1
+                if g_head[g] < len(g_rows[g]):
+                    heappush(heap, (g_ids[g_rows[g][g_head[g]]], g))
+        left = []
+        for own, _, _, rows, head, is_open in sides:
+            left += [own[i] for r, h, o in zip(rows, head, is_open, strict=True) if o for i in r[h:] if whole[own[i]]]
+        rest = t.select(["kind", "key", "id0", "id1", "t0", "t1"]).take(pa.array(np.array(left, np.int64))).append_column("iou", pa.nulls(len(left), pa.float64()))
+        g = t.take(pa.array(np.array([g_own[m[0]] for m in matches], np.int64)))
+        p = t.take(pa.array(np.array([p_own[m[1]] for m in matches], np.int64)))
+        won = pa.table([pa.array(np.full(len(matches), 2), rest.schema.field("kind").type), g["key"], g["id0"], p["id1"], g["t0"], g["t1"], pa.array([m[2] for m in matches], pa.float64())], rest.column_names)
+        return pa.concat_tables([rest, won])
+
+    return run
+
+
+def _links(left: list[tuple], right: list[tuple], threshold: float) -> list[tuple[float, list[tuple[int, int]]]]:
+    """Pairs of sorted spans whose ratio is positive and at least threshold, by falling ratio; equal ratios together."""
+    if not left or not right:
+        return []
+    a, b = np.array(left), np.array(right)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, (1 << 20) // len(b))
+    for at in range(0, len(a), step):
+        x = a[at : at + step]
+        inter = np.minimum(x[:, None, 1], b[None, :, 1]) - np.maximum(x[:, None, 0], b[None, :, 0])
+        i, j = np.nonzero(inter > 0)
+        both = inter[i, j].astype(np.float64)
+        ratio = both / ((x[i, 1] - x[i, 0]) + (b[j, 1] - b[j, 0]) - both)
+        keep = ratio >= threshold
+        found.append((ratio[keep], at + i[keep], j[keep]))
+    ratio, i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(-ratio, kind="stable")
+    ratio, pairs = ratio[order], list(zip(i[order].tolist(), j[order].tolist(), strict=True))
+    cuts = [0, *(np.flatnonzero(ratio[1:] != ratio[:-1]) + 1).tolist(), len(ratio)]
+    return [(float(ratio[x]), pairs[x:y]) for x, y in zip(cuts, cuts[1:], strict=False) if y > x]
+
+
+def _match_pairs(truth: DataFrame, found: DataFrame, key: str, width: int, threshold: float) -> DataFrame:
+    """The same for ids that repeat: an id is one end, whatever rows it has.
 
     The order is total, so a pair that comes first for both of its ends is in the
     greedy choice whatever else is. Each round takes those pairs, drops all pairs of

@@ -53,3 +53,31 @@ def test_equal_spans_are_paired_once(spark, monkeypatch):
     configs = rows.selectExpr("'x' AS config", "*")
     assert evaluate.score_configs(rows, configs, ["x"], "q", 7).first().hits == 400
     assert made == [4, 4]
+
+
+def _greedy(truth, found, threshold):
+    pairs = sorted((-_iou(x, y), x[0], y[0], str(x[1])) for x in truth for y in found if x[0] is not None and y[0] is not None and _iou(x, y) >= threshold and _iou(x, y) > 0)
+    gone, out = set(), []
+    for v, g, p, q in pairs:
+        if ("g", q, g) not in gone and ("p", q, p) not in gone:
+            gone |= {("g", q, g), ("p", q, p)}
+            out.append((q, g, p, round(-v, 9)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("seed", "ids", "threshold", "width"), [(1, None, 0.5, 3), (2, None, 0.0, 1), (3, None, 0.2, 200), (4, 30, 0.3, 7)])
+def test_matches_are_those_of_a_plain_loop(spark, seed, ids, threshold, width):
+    """Unique ids and, last, repeated and null ones; blocks shorter than a span, and one for all."""
+    r = random.Random(seed)
+    truth, found = ([(i if ids is None else x[0], *x[1:]) for i, x in zip(r.sample(range(500), 150), _rows(r, 150, ids or 1), strict=True)] for _ in range(2))
+    got = evaluate.greedy_match(spark.createDataFrame(truth, ROW), spark.createDataFrame(found, ROW), "q", width, threshold).collect()
+    assert sorted((str(x.q), x.gt, x.pred, round(x.iou, 9)) for x in got) == _greedy(truth, found, threshold) and len(got) > 10
+
+
+def test_equal_spans_take_few_rounds(spark, monkeypatch):
+    """300 rows of one span are matched at once (round 4: greedy_match took a round for each)."""
+    written, write = [], evaluate.materialize
+    monkeypatch.setattr(evaluate, "materialize", lambda df, name: written.append(name) or write(df, name))
+    rows = spark.createDataFrame([(i, "a", 1, 10) for i in range(300)], ROW)
+    got = evaluate.greedy_match(rows, rows, "q", 50)
+    assert got.where("gt = pred").count() == 300 and len(written) <= 2
